@@ -1,8 +1,9 @@
-"""Two text similarities that Spark lacks. Both run as Arrow batches over already blocked pairs."""
+"""Name similarities that Spark lacks, for pairs that an equi-join has already blocked."""
 
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -45,25 +46,18 @@ def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_jaro_winkler(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-def _in_order(term: str, word: str) -> int:
-    """Length of the longest run of the term's letters, from its start, found in order in the word."""
-    pos = hits = 0
-    for ch in term:
-        found = word.find(ch, pos)
-        if found < 0:
-            break
-        hits += 1
-        pos = found + 1
-    return hits
+def leading_hits(term: Column, word: Column) -> Column:
+    """Length of the longest leading part of ``term`` that occurs inside ``word``."""
+    steps = F.sequence(F.lit(1), F.length(term))
+    return F.aggregate(
+        steps,
+        F.lit(0),
+        lambda best, n: F.when(F.contains(word, F.substring(term, F.lit(1), n)), n).otherwise(best),
+    )
 
 
-@F.pandas_udf("double")
-def lastname_score(term: pd.Series, word: pd.Series) -> pd.Series:
-    """Share of the term's letters found in order, lowered by the length difference."""
-    out = []
-    for t, w in zip(term, word):
-        if not t or not w:
-            out.append(0.0)
-        else:
-            out.append(_in_order(t, w) / len(t) - abs(len(w) - len(t)) / max(len(t), len(w)) * 0.5)
-    return pd.Series(out, dtype="float64")
+def lastname_score(term: Column, word: Column) -> Column:
+    """Share of the term found in order in the word, lowered by the difference in length."""
+    hits = leading_hits(term, word).cast("double") / F.length(term)
+    gap = F.abs(F.length(word) - F.length(term)) / F.greatest(F.length(term), F.length(word))
+    return hits - gap * 0.5
