@@ -48,10 +48,8 @@ def portable(df: DataFrame, digits: int = 6) -> DataFrame:
     cols = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, T.DateType):
+        if isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
             c = c.cast("string")
-        elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
-            c = F.regexp_replace(F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS"), r"\.000000$", "")
         elif isinstance(f.dataType, T.BooleanType):
             c = c.cast("int")
         elif isinstance(f.dataType, (T.DoubleType, T.FloatType)):

@@ -11,7 +11,7 @@ from orgpulse.plans.registry import Registry, union_by_tag
 from orgpulse.sources import derive, landing
 
 V = VIEWS
-_TAIL = "'{src}' AS data_source, epoch_ms(_airbyte_extracted_at) AS _version, _airbyte_extracted_at::VARCHAR AS _airbyte_extracted_at"
+_TAIL = "'{src}' AS data_source, epoch_us(_airbyte_extracted_at) // 1000 AS _version, _airbyte_extracted_at::VARCHAR AS _airbyte_extracted_at"
 _GH = _TAIL.format(src="github")
 _BB = _TAIL.format(src="bitbucket_cloud")
 _KEYS = "tenant_id, source_id, unique_key"
