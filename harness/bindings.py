@@ -479,7 +479,7 @@ FROM <b_ev> e
 """
 B["b_aliases"] = """
 SELECT 't' || (c_custkey % 2)::string AS tenant_id, 'al' || c_custkey::string AS alias_id, 'P' || floor(c_custkey / 3)::bigint::string AS person_id, 'hr' AS source_type, c_custkey::string AS source_account_id, 'email' AS alias_type,
-  'user' || (c_custkey % 500)::string || '@example.com' AS alias_value, 1 AS is_active, CASE WHEN c_custkey % 40 = 0 THEN 1 ELSE 0 END AS is_deleted, c_custkey AS version
+  'user' || (floor(c_custkey / 8)::bigint * 2 + c_custkey % 2)::string || '@example.com' AS alias_value, 1 AS is_active, CASE WHEN c_custkey % 40 = 0 THEN 1 ELSE 0 END AS is_deleted, c_custkey AS version
 FROM <customer> c
 """
 B["b_obs"] = """

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import sys
+
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+# Ship this module's functions with the task, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def _jaro(a: str, b: str) -> float:
@@ -41,7 +48,7 @@ def _jaro_winkler(a: str | None, b: str | None) -> float | None:
     return base + prefix * 0.1 * (1 - base)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_jaro_winkler(x, y) for x, y in zip(a, b)], dtype="float64")
 
