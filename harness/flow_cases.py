@@ -290,11 +290,11 @@ def allocated(t):
     return dm.ai_api_cost(api_usage(t), t["b_ai_cost"], ["tenant_id", "model", "report_date"])
 
 
-case("ai_api_cost", "SELECT tenant_id, model, report_date, unique_key, total_tokens, round(allocated_cost, 3) AS allocated_cost FROM <v_allocated>")(
-    lambda t: allocated(t).select("tenant_id", "model", "report_date", "unique_key", "total_tokens", F.round("allocated_cost", 3).alias("allocated_cost"))
+case("ai_api_cost", "SELECT tenant_id, model, report_date, unique_key, total_tokens, round(allocated_cost, 6) AS allocated_cost FROM <v_allocated>")(
+    lambda t: allocated(t).select("tenant_id", "model", "report_date", "unique_key", "total_tokens", "allocated_cost")
 )
-case("ai_spend_by_key", "SELECT tenant_id, key_name, model, workspace_name, round(sum(allocated_cost), 4) AS cost, sum(total_tokens) AS tokens FROM <v_allocated> GROUP BY ALL")(
-    lambda t: dm.spend_by(allocated(t), ["tenant_id", "key_name", "model", "workspace_name"]).withColumn("cost", F.round("cost", 4))
+case("ai_spend_by_key", "SELECT tenant_id, key_name, model, workspace_name, round(sum(allocated_cost), 6) AS cost, sum(total_tokens) AS tokens FROM <v_allocated> GROUP BY ALL")(
+    lambda t: dm.spend_by(allocated(t), ["tenant_id", "key_name", "model", "workspace_name"])
 )
 case("ai_tool_adoption", "SELECT 't' AS tenant_id, role AS model, 'web' AS client, count(DISTINCT conv_id % 20) AS active_users, count(DISTINCT conv_id) AS conversations, count(*) AS messages FROM <conversations> GROUP BY role")(
     lambda t: dm.ai_tool_adoption(t["conversations"].select(F.lit("t").alias("tenant_id"), F.col("role").alias("model"), F.lit("web").alias("client"), (F.col("conv_id") % 20).alias("user_id"), F.col("conv_id").alias("conversation_id")))
