@@ -8,6 +8,7 @@ run, so the operator under test is the only difference between them.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,10 +34,18 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
+        # One view per input folder and table, so that file listing and schema reading happen once.
+        self._prefix = f"in_{zlib.crc32(sf_dir.encode()):08x}_"
+
+    def _base(self, name: str) -> str:
+        view = self._prefix + name
+        if not self.spark.catalog.tableExists(view):
+            self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet").createOrReplaceTempView(view)
+        return view
 
     def _text(self, name: str) -> str:
         if name in BASE_TABLES:
-            return f"parquet.`{self.sf_dir}/{name}.parquet`"
+            return self._base(name)
         return "(" + _REF.sub(lambda m: self._text(m.group(1)), BINDINGS[name]) + ")"
 
     def __getitem__(self, name: str) -> DataFrame:

@@ -188,7 +188,7 @@ def one_tenant_store(t):
 
 
 case("person_store", "SELECT * FROM <v_store>")(store)
-case("person_lookup", "SELECT * FROM <v_store> WHERE person_id = 'user17@example.com'")(lambda t: identity.person_lookup(store(t), "USER17@example.com"))
+case("person_lookup", "SELECT * FROM <v_store> WHERE person_id = 'user1@example.com'")(lambda t: identity.person_lookup(store(t), "USER1@example.com"))
 
 
 @case(

@@ -387,7 +387,7 @@ case("scalar_durations", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
 case("scalar_weeks", "SELECT o_orderkey, date_trunc('week', o_orderdate)::DATE::VARCHAR AS monday, (o_orderdate::DATE - dayofweek(o_orderdate)::INT)::VARCHAR AS sunday FROM <orders>")(
     lambda t: t["orders"].select("o_orderkey", fx.monday_week("o_orderdate").alias("monday"), fx.sunday_week("o_orderdate").alias("sunday"))
 )
-case("scalar_numbers", "SELECT event_id, round(value, 1) AS r, least(100.0, greatest(10.0, value)) AS c, abs(value - 50) AS a, value / nullif(event_id % 3, 0) AS q, round(value / 490.02 * 100, 2) AS p FROM <events>")(
+case("scalar_numbers", "SELECT event_id, round(value, 1) AS r, least(100.0, greatest(10.0, value)) AS c, abs(value - 50) AS a, value / nullif(event_id % 3, 0) AS q, round(round(value / 490.02 * 100, 9), 2) AS p FROM <events>")(
     lambda t: t["events"].select("event_id", F.round("value", 1).alias("r"), fx.clamp(F.col("value"), 10, 100).alias("c"), F.abs(F.col("value") - 50).alias("a"), fx.ratio("value", F.col("event_id") % 3).alias("q"), fx.percent("value", F.lit(490.02), 2).alias("p"))
 )
 case("scalar_regex", "SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)license') THEN 1 ELSE 0 END AS m, CASE WHEN text ILIKE '%copyright%' OR text ILIKE '%the%' THEN 1 ELSE 0 END AS i FROM <documents>")(

@@ -214,13 +214,18 @@ def clamp(c: Column, low: float, high: float) -> Column:
     return F.when(c.isNotNull(), F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), c)))
 
 
+def tidy_round(c: Column, digits: int) -> Column:
+    """Round half away from zero on the decimal value: binary noise such as 3.8499999999999996 counts as 3.85."""
+    return F.round(F.round(c, 9), digits)
+
+
 def ratio(a: ColumnLike, b: ColumnLike) -> Column:
     """a/b as double; NULL when b is 0 or NULL."""
     return F.try_divide(as_col(a).cast("double"), as_col(b).cast("double"))
 
 
 def percent(a: ColumnLike, b: ColumnLike, digits: int) -> Column:
-    return F.round(ratio(a, b) * 100, digits)
+    return tidy_round(ratio(a, b) * 100, digits)
 
 
 def count_where(cond: Column) -> Column:

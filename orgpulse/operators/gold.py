@@ -134,7 +134,7 @@ def _sessions(participants: DataFrame) -> DataFrame:
     )
 
 
-COMMS_MEASURES = ["emails_sent", "zoom_calls", "meeting_hours", "teams_messages", "teams_meetings", "files_shared"]
+COMMS_MEASURES = ["emails_sent", "zoom_calls", "_seconds", "teams_messages", "teams_meetings", "files_shared"]
 
 
 def comms_daily(
@@ -150,17 +150,18 @@ def comms_daily(
         fx.parse_day("activity_date").alias("metric_date"),
         F.col("emails_sent").cast("double").alias("emails_sent"),
     )
-    calls = _sessions(participants).select(
-        *PERSON_DAY, F.lit(1.0).alias("zoom_calls"), (F.col("_seconds") / F.lit(3600.0)).alias("meeting_hours")
-    )
+    calls = _sessions(participants).select(*PERSON_DAY, F.lit(1.0).alias("zoom_calls"), "_seconds")
     chat = teams_person_daily(teams).drop("teams_calls")
     files = _shared_files(onedrive, sharepoint)
     rows = mail
     for part in (calls, chat, files):
         rows = rows.unionByName(part, allowMissingColumns=True)
+    # Seconds are summed as integers, so hours do not depend on the order of rows.
+    totals = {m: F.coalesce(F.sum(m), F.lit(0)) for m in COMMS_MEASURES}
+    hours = totals.pop("_seconds") / F.lit(3600.0)
     return (
         rows.groupBy(*PERSON_DAY)
-        .agg(*[F.coalesce(F.sum(m), F.lit(0.0)).alias(m) for m in COMMS_MEASURES])
+        .agg(*[c.cast("double").alias(m) for m, c in totals.items()], hours.alias("meeting_hours"))
         .withColumn("metric_date", F.col("metric_date").cast("string"))
     )
 
@@ -260,7 +261,7 @@ def ai_bullet_rows(dev_usage: DataFrame | None, people_: DataFrame | None, spark
 
 def focus_share(hours: Column) -> Column:
     """Share of the working day outside meetings, in percent, bounded to 0..100."""
-    return fx.clamp(F.round(F.lit(100.0) - hours / F.lit(WORKDAY_HOURS) * 100, 1), 0, 100)
+    return fx.clamp(fx.tidy_round(F.lit(100.0) - hours / F.lit(WORKDAY_HOURS) * 100, 1), 0, 100)
 
 
 def exec_summary(people_: DataFrame, closed: DataFrame, comms_daily_: DataFrame, keep_all_days: bool = False) -> DataFrame:
@@ -282,7 +283,7 @@ def exec_summary(people_: DataFrame, closed: DataFrame, comms_daily_: DataFrame,
     focus = (
         comms_daily_.join(members, PERSON)
         .groupBy(*unit, "metric_date")
-        .agg(F.round(F.lit(100.0) - F.avg("meeting_hours") / F.lit(WORKDAY_HOURS) * 100, 1).alias("focus"))
+        .agg(fx.tidy_round(F.lit(100.0) - F.avg("meeting_hours") / F.lit(WORKDAY_HOURS) * 100, 1).alias("focus"))
     )
     days = tasks.join(focus, [*unit, "metric_date"], "full" if keep_all_days else "left")
     zero = F.lit(0.0)
@@ -293,7 +294,7 @@ def exec_summary(people_: DataFrame, closed: DataFrame, comms_daily_: DataFrame,
         fx.or_zero("tasks_closed").alias("tasks_closed"),
         fx.or_zero("bugs_fixed").alias("bugs_fixed"),
         F.lit(None).cast("double").alias("build_success_pct"),
-        fx.clamp(F.round(F.coalesce(F.col("focus"), F.lit(100.0)), 1), 0, 100).alias("focus_time_pct"),
+        fx.clamp(F.coalesce(F.col("focus"), F.lit(100.0)), 0, 100).alias("focus_time_pct"),
         zero.alias("ai_adoption_pct"),
         zero.alias("ai_loc_share_pct"),
         zero.alias("pr_cycle_time_h"),
@@ -319,7 +320,7 @@ def team_member(people_: DataFrame, closed: DataFrame, comms_daily_: DataFrame,
         "org_unit_id",
         fx.or_zero("tasks_closed").cast("double").alias("tasks_closed"),
         fx.or_zero("bugs_fixed").cast("double").alias("bugs_fixed"),
-        F.greatest(F.lit(0.0), F.round(F.lit(WORKDAY_HOURS) - met, 1)).alias("dev_time_h"),
+        F.greatest(F.lit(0.0), fx.tidy_round(F.lit(WORKDAY_HOURS) - met, 1)).alias("dev_time_h"),
         F.lit(0.0).alias("prs_merged"),
         F.lit(None).cast("double").alias("build_success_pct"),
         focus_share(met).alias("focus_time_pct"),

@@ -36,9 +36,9 @@ def metric_exec_summary(exec_rows: DataFrame) -> DataFrame:
         F.sum("tasks_closed").alias("tasks_closed"),
         F.sum("bugs_fixed").alias("bugs_fixed"),
         F.max("build_success_pct").alias("build_success_pct"),
-        F.round(F.avg("focus_time_pct"), 1).alias("focus_time_pct"),
-        F.round(F.avg("ai_adoption_pct"), 1).alias("ai_adoption_pct"),
-        F.round(F.avg("ai_loc_share_pct"), 1).alias("ai_loc_share_pct"),
+        fx.tidy_round(F.avg("focus_time_pct"), 1).alias("focus_time_pct"),
+        fx.tidy_round(F.avg("ai_adoption_pct"), 1).alias("ai_adoption_pct"),
+        fx.tidy_round(F.avg("ai_loc_share_pct"), 1).alias("ai_loc_share_pct"),
         F.avg("pr_cycle_time_h").alias("pr_cycle_time_h"),
     )
 
@@ -53,12 +53,12 @@ def metric_team_members(member_rows: DataFrame, people: DataFrame, employees: Da
         F.max("seniority").alias("_seniority"),
         F.sum("tasks_closed").alias("tasks_closed"),
         F.sum("bugs_fixed").alias("bugs_fixed"),
-        F.round(F.avg("dev_time_h"), 1).alias("dev_time_h"),
+        fx.tidy_round(F.avg("dev_time_h"), 1).alias("dev_time_h"),
         F.sum("prs_merged").alias("prs_merged"),
         F.max("build_success_pct").alias("build_success_pct"),
-        F.round(F.avg("focus_time_pct"), 1).alias("focus_time_pct"),
+        fx.tidy_round(F.avg("focus_time_pct"), 1).alias("focus_time_pct"),
         fx.distinct_flat("ai_tools").alias("ai_tools"),
-        F.round(F.avg("ai_loc_share_pct"), 1).alias("ai_loc_share_pct"),
+        fx.tidy_round(F.avg("ai_loc_share_pct"), 1).alias("ai_loc_share_pct"),
     )
     supervisors = (
         employees.where(fx.filled("workEmail"))
@@ -73,10 +73,10 @@ def metric_team_members(member_rows: DataFrame, people: DataFrame, employees: Da
 def metric_ic_kpis(kpi_rows: DataFrame) -> DataFrame:
     return kpi_rows.groupBy(*PERSON).agg(
         F.sum("loc").alias("loc"),
-        F.round(F.avg("ai_loc_share_pct"), 1).alias("ai_loc_share_pct"),
+        fx.tidy_round(F.avg("ai_loc_share_pct"), 1).alias("ai_loc_share_pct"),
         F.sum("prs_merged").alias("prs_merged"),
         F.avg("pr_cycle_time_h").alias("pr_cycle_time_h"),
-        F.round(F.avg("focus_time_pct"), 1).alias("focus_time_pct"),
+        fx.tidy_round(F.avg("focus_time_pct"), 1).alias("focus_time_pct"),
         F.sum("tasks_closed").alias("tasks_closed"),
         F.sum("bugs_fixed").alias("bugs_fixed"),
         F.max("build_success_pct").alias("build_success_pct"),

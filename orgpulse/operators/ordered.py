@@ -104,10 +104,8 @@ def value_positions(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame
     squeezed = F.asinh(F.col("_v"))
     span_keys = keys or ["_all"]
     counts = counts if keys else counts.withColumn("_all", F.lit(1))
-    spans = (df if keys else df.withColumn("_all", F.lit(1))).where(F.col(value).isNotNull()).groupBy(*span_keys).agg(
-        F.asinh(F.min(F.col(value).cast("double"))).alias("_lo"),
-        F.asinh(F.max(F.col(value).cast("double"))).alias("_hi"),
-        F.count(F.lit(1)).alias("total"),
+    spans = counts.groupBy(*span_keys).agg(
+        F.asinh(F.min("_v")).alias("_lo"), F.asinh(F.max("_v")).alias("_hi"), F.sum("n").alias("total")
     )
     share = F.coalesce(F.try_divide(squeezed - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
     placed = counts.join(spans, span_keys).withColumn(
