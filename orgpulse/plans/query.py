@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from orgpulse.functions import scalars as fx
 
@@ -121,10 +122,16 @@ def clamp_top(top: int | None) -> int:
 
 
 def top_with_has_next(df: DataFrame, top: int, order: Sequence[Column]) -> DataFrame:
-    """First ``top`` rows in order, each telling whether more rows exist. Reads ``top + 1`` rows."""
+    """First ``top`` rows in order, each telling whether more rows exist.
+
+    One pass: ``top + 1`` rows are read, and the windows span only those.
+    """
     head = df.orderBy(*order).limit(top + 1)
-    seen = head.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return head.orderBy(*order).limit(top).withColumn("has_next", seen > F.lit(top))
+    everything = Window.partitionBy(F.lit(0))
+    placed = head.withColumns(
+        {"_rank": F.row_number().over(everything.orderBy(*order)), "has_next": F.count(F.lit(1)).over(everything) > top}
+    )
+    return placed.where(F.col("_rank") <= top).orderBy("_rank").drop("_rank")
 
 
 def round_floats(df: DataFrame, digits: int = 4) -> DataFrame:
