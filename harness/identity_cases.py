@@ -47,9 +47,40 @@ WHERE a.unique_key IS NULL OR b.displayName IS DISTINCT FROM a.displayName OR b.
 def snapshot_hr(t):
     rows = t["b_employees"]
     first = rows.where(F.col("_airbyte_extracted_at") < F.lit("2024-02-02").cast("timestamp"))
-    cols = list(TRACKED["hr_employees"].fields)
-    stored = history.snapshot_scd2(first, None, "unique_key", cols, F.col("_airbyte_extracted_at"), ["shirt"])
-    return history.snapshot_scd2(t["b_employees_now"], stored, "unique_key", cols, F.col("_airbyte_extracted_at"), ["shirt"]).select("unique_key", "displayName", "jobTitle", "department")
+    at = F.col("_airbyte_extracted_at")
+    stored = history.snapshot_model("hr_employees", first, None, at, ["shirt"])
+    return history.snapshot_model("hr_employees", t["b_employees_now"], stored, at, ["shirt"]).select("unique_key", "displayName", "jobTitle", "department")
+
+
+_HR_FIELDS = list(TRACKED["hr_employees"].fields)
+_HR_LOG = " UNION ALL ".join(
+    f"SELECT tenant_id, source_id, unique_key, id AS entity_id, _airbyte_extracted_at AS at, '{f}' AS field_name, {f}::VARCHAR AS now, lag({f}::VARCHAR) OVER w AS was, row_number() OVER w AS vn FROM <b_employees> WINDOW w AS (PARTITION BY unique_key ORDER BY _airbyte_extracted_at)"
+    for f in _HR_FIELDS
+)
+
+
+@case(
+    "history_hr_employees",
+    f"SELECT entity_id, tenant_id, source_id, field_name, CASE WHEN vn = 1 THEN '' ELSE was END AS old_value, now AS new_value, x.at::VARCHAR AS updated_at FROM ({_HR_LOG}) x WHERE (vn = 1 AND now <> '') OR (vn > 1 AND now <> was)",
+)
+def hr_field_log(t):
+    return history.history_model("hr_employees", t["b_employees"].withColumn("_tracked_at", F.col("_airbyte_extracted_at")))
+
+
+_MEMBER_LOG = " UNION ALL ".join(
+    f"SELECT id AS entity_id, tenant_id, source_id, '{f}' AS field_name, CASE WHEN vn = 1 THEN '' ELSE was_{f} END AS old_value, now_{f} AS new_value, _tracked_at::VARCHAR AS updated_at FROM v WHERE (vn = 1 AND now_{f} <> '') OR (vn > 1 AND now_{f} <> was_{f})"
+    for f in _MEMBER_COLS
+)
+
+
+@case(
+    "history_cursor_members",
+    "WITH v AS (SELECT *, row_number() OVER w AS vn, "
+    + ", ".join(f"{f}::VARCHAR AS now_{f}, lag({f}::VARCHAR) OVER w AS was_{f}" for f in _MEMBER_COLS)
+    + f" FROM <v_versions> WINDOW w AS (PARTITION BY unique_key ORDER BY _tracked_at, event_id)) {_MEMBER_LOG}",
+)
+def member_field_log(t):
+    return history.history_model("cursor_members", member_versions(t), order=["event_id"])
 
 
 _LOGGED = ["name", "role", "isRemoved", "label"]

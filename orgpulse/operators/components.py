@@ -161,9 +161,14 @@ def lastname_review_list(
     ).where(F.length("word") >= gram)
     starts = F.sequence(F.lit(1), F.length("word") - (gram - 1))
     grams = F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("word"), i, F.lit(gram))))
-    pairs = words.withColumn("gram", F.explode(grams)).join(terms, "gram").where(F.col("name_group") != F.col("email_group"))
-    scored = pairs.withColumn("score", lastname_score(F.col("last_name"), F.col("word")))
-    keys = ["last_name", "name_group", "email", "email_group"]
-    return scored.groupBy(*keys).agg(
+    # Distinct names meet distinct words; only pairs that reach the score are spread to groups and mails.
+    by_gram = words.select("word").distinct().withColumn("gram", F.explode(grams))
+    close = (
+        by_gram.join(terms.select("last_name", "gram").distinct(), "gram")
+        .select("last_name", "word", lastname_score(F.col("last_name"), F.col("word")).alias("score"))
+        .where(F.col("score") >= min_score)
+    )
+    hits = close.join(terms.drop("gram"), "last_name").join(words, "word").where(F.col("name_group") != F.col("email_group"))
+    return hits.groupBy("last_name", "name_group", "email", "email_group").agg(
         F.max_by("word", F.struct("score", "word")).alias("best_word"), F.max("score").alias("score")
-    ).where(F.col("score") >= min_score)
+    )

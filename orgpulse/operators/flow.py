@@ -19,28 +19,43 @@ def field_history_full_values(deltas: DataFrame) -> DataFrame:
     """Complete value list of a field after each event.
 
     ``deltas``: tenant, issue, field, event_at, event_id, field_cardinality
-    (single/multi), delta_action (set/add/remove), delta_value. Each value that
-    is set or added holds from its event until the next event that concerns
-    it: the next event of the field when single, of the value when multi. An
-    event's list is then the values whose interval covers the event.
+    (single/multi), delta_action (set/add/remove), delta_value. A single field
+    holds what its event set. In a multi field each added value holds until the
+    next event on that value, and an event's list is the values whose interval
+    covers it. Events and intervals also meet on the month, so a field with
+    very many events is split over its months.
     """
     single = F.col("field_cardinality") == "single"
-    lane = F.when(single, F.lit("")).otherwise(F.concat(F.lit("v"), fx.or_empty("delta_value")))
-    rows = deltas.withColumns({"_lane": lane, "_pos": F.struct("event_at", "event_id")})
+    gives = F.col("delta_action").isin("set", "add") & F.col("delta_value").isNotNull()
+    alone = deltas.where(single).withColumn(
+        "value_ids", F.when(gives, F.array("delta_value")).otherwise(F.array().cast("array<string>"))
+    )
+
+    def month(at: Column) -> Column:
+        return F.date_trunc("month", at)
+
+    rows = deltas.where(~single).withColumn("_pos", F.struct("event_at", "event_id"))
     near = with_neighbour(
-        rows, [*FIELD, "_lane"], ["event_at", "event_id"], {"_until": "_pos"}, F.to_date("event_at"), "next"
+        rows, [*FIELD, "delta_value"], ["event_at", "event_id"], {"_until": "_pos"}, month(F.col("event_at")), "next"
     )
-    held = near.where(F.col("delta_action").isin("set", "add") & F.col("delta_value").isNotNull()).select(
-        *FIELD, F.col("_pos").alias("_from"), "_until", "delta_value"
+    ends = rows.groupBy(*FIELD).agg(F.max("event_at").alias("_end"))
+    last = F.coalesce(F.col("_until.event_at"), F.col("_end"))
+    held = near.where(gives).join(ends, FIELD).select(
+        *FIELD,
+        F.explode(F.sequence(month(F.col("event_at")), month(last), F.expr("INTERVAL 1 MONTH"))).alias("_month"),
+        F.col("_pos").alias("_from"),
+        "_until",
+        "delta_value",
     )
-    left, right = rows.alias("e"), held.alias("h")
-    same = fx.all_of(F.col(f"e.{k}") == F.col(f"h.{k}") for k in FIELD)
+    left, right = rows.withColumn("_month", month(F.col("event_at"))).alias("e"), held.alias("h")
+    same = fx.all_of(F.col(f"e.{k}") == F.col(f"h.{k}") for k in [*FIELD, "_month"])
     covers = (F.col("h._from") <= F.col("e._pos")) & (F.col("h._until").isNull() | (F.col("e._pos") < F.col("h._until")))
-    return (
+    several = (
         left.join(right, same & covers, "left")
         .groupBy(*[F.col(f"e.{c}") for c in deltas.columns])
         .agg(F.array_sort(F.collect_set("h.delta_value")).alias("value_ids"))
     )
+    return alone.unionByName(several)
 
 
 def initial_state(snapshot: DataFrame, deltas: DataFrame) -> DataFrame:

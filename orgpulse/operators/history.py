@@ -144,6 +144,17 @@ TRACKED = {
 }
 
 
+def snapshot_model(source: str, rows: DataFrame, target: DataFrame | None, at: Column, raw_cols: Sequence[str] = ()) -> DataFrame:
+    """Version-log rows of one of the tracked sources."""
+    return snapshot_scd2(rows, target, "unique_key", TRACKED[source].fields, at, raw_cols)
+
+
+def history_model(source: str, snapshot: DataFrame, raw_fields: Sequence[str] = (), order: Sequence[str] = ()) -> DataFrame:
+    """Field-change log of one of the tracked sources."""
+    spec = TRACKED[source]
+    return fields_history(snapshot, spec.entity, spec.fields, raw_fields, order=order)
+
+
 def bootstrap_inputs_from_history(history: DataFrame, source_type: str, spec: TrackedSource) -> DataFrame:
     """UPSERT per identity field change, and on deactivation one DELETE per identity field.
 
