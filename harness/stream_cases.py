@@ -1,7 +1,6 @@
 """Incremental and streaming forms, data-quality checks, relational and scalar primitives."""
 
-import os
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -18,14 +17,8 @@ V = VIEWS
 
 
 def scratch(t: Tables, name: str) -> str:
-    """A fresh folder below the session's shared checkpoint folder."""
-    root = ensure_checkpoint_dir(t.spark)
-    if "://" not in root:
-        os.makedirs(root, exist_ok=True)
-        return tempfile.mkdtemp(prefix=f"{name}-", dir=root)
-    local = root.removeprefix("file://") if root.startswith("file:") else root
-    stamp = t.spark.sql("SELECT uuid() AS u").first().u
-    return f"{local.rstrip('/')}/{name}-{stamp}"
+    """A fresh path below the session's shared checkpoint folder; Spark creates it when it writes."""
+    return f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def event_stream(t: Tables):
