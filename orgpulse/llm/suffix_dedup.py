@@ -30,12 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from orgpulse.llm.blocks import bucket_count, deal_blocks, open_block, pack, slices, unpack
-from orgpulse.llm.bytehash import U64, gram_hash, mix, sliding_min
+from orgpulse.llm.bytehash import BASE, U64, gram_hash, mix, sliding_min
 
 GRAM = 12
 # Text bytes whose windows one bucket sorts, and bytes of a block that are looked at together.
 BUCKET_BYTES = 4 << 20
 SLICE_BYTES = 2 << 20
+# Leading bits of a digit that windows are counted by before they are sorted.
+COUNT_BITS = 22
 
 DEALT = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("lengths", pa.binary()), ("ids", pa.binary()), ("runs", pa.binary())])
 FOUND = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("places", pa.binary()), ("masks", pa.binary())])
@@ -54,12 +56,13 @@ def window_runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.
     A run has at most length - GRAM + 1 windows, so that a mask of them fits a number for lengths up to 74.
     """
     width = length - GRAM + 1
+    row_of = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     parts = []
     for at in range(0, max(len(data) - length + 1, 0), SLICE_BYTES):
         part = data[at : at + SLICE_BYTES + length - 1]
         least = sliding_min(gram_hash(part, GRAM), width)
-        row = np.searchsorted(offsets, np.arange(at, at + len(least)), side="right") - 1
-        inside = np.arange(at, at + len(least)) + length <= offsets[row + 1]
+        row = row_of[at : at + len(least)]
+        inside = row == row_of[at + length - 1 : at + length - 1 + len(least)]
         change = np.ones(len(least), bool)
         change[1:] = (least[1:] != least[:-1]) | (row[1:] != row[:-1]) | ~inside[:-1]
         first = np.flatnonzero(change & inside)
@@ -78,7 +81,8 @@ def equal_runs(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tup
     h = lengths.astype(U64)
     for at in range(0, int(lengths.max(initial=0)), 8):
         live = lengths >= at + 8
-        h[live] = mix(h[live] ^ words[starts[live] + at])
+        h[live] = (h[live] ^ words[starts[live] + at]) * BASE
+        h[live] ^= h[live] >> U64(31)
     h = mix(h ^ words[starts + lengths - 8])
     order = np.argsort(h, kind="stable")
     fresh = np.concatenate([[True], h[order][1:] != h[order][:-1]]) if len(h) else np.empty(0, bool)
@@ -139,7 +143,18 @@ def repeated_windows(data: np.ndarray, starts: np.ndarray, owner: np.ndarray, le
     for last, digits in enumerate((offsets[:3], offsets[3:])):
         h = group.astype(U64)
         for at in digits:
-            h = mix(h ^ words[starts[live] + at])
+            h = (h ^ words[starts[live] + at]) * BASE
+            h ^= h >> U64(31)
+        h = mix(h)
+        if not last:
+            # Counting by the leading bits first spares most windows that occur once the sort.
+            slot = (h >> U64(64 - COUNT_BITS)).astype(np.int32)
+            latest = np.empty(1 << COUNT_BITS, np.int32)
+            latest[slot] = np.arange(len(slot), dtype=np.int32)
+            shared = np.zeros(1 << COUNT_BITS, bool)
+            shared[slot[latest[slot] != np.arange(len(slot))]] = True
+            live = np.flatnonzero(shared[slot])
+            h = h[live]
         order = np.argsort(h, kind="stable")
         live, h = live[order], h[order]
         fresh = np.ones(len(live), bool)
