@@ -125,7 +125,7 @@ def _deal(length: int, buckets: int):
                     if j > i:
                         own = order[i:j]
                         spans = [data[s : s + n] for s, n in zip(starts[firsts[own]].tolist(), (windows[firsts[own]] + length - 1).tolist(), strict=True)]
-                        out.append((b, row["block"], pack(windows[firsts[own]].astype(np.uint8)), pack(least[own]), pack(np.concatenate(spans))))
+                        out.append((b, row["block"], pack(windows[firsts[own]].astype(np.uint8)), pack(np.diff(least[own], prepend=0)), pack(np.concatenate(spans))))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), DEALT, strict=True)], schema=DEALT)
 
@@ -184,7 +184,7 @@ def _sort(length: int):
     def sort(table: pa.Table) -> pa.Table:
         blocks, bucket = table.column("block").to_pylist(), table.column("bucket")[0].as_py()
         windows = [unpack(x.as_py(), "u1") for x in table.column("lengths")]
-        ids = np.concatenate([unpack(x.as_py(), "<i8") for x in table.column("ids")])
+        ids = np.concatenate([np.cumsum(unpack(x.as_py(), "<i8")) for x in table.column("ids")])
         data = np.concatenate([unpack(x.as_py(), "u1") for x in table.column("runs")])
         ends = np.cumsum([len(x) for x in windows])
         count = np.concatenate(windows).astype(np.int64)
