@@ -5,7 +5,8 @@ frequent, two sets with enough in common share at least l of the first
 n - ceil(t * n) + l shingles, for any l. Each document chooses its l: a longer prefix
 means more postings but asks for more shared shingles before a pair is verified, and the
 l of least estimated cost wins. A pair is a candidate if it shares as many prefix
-shingles as the smaller of its two l.
+shingles as the smaller of its two l, raised by what its two sizes say that a linked
+pair shares beyond the least that a partner of any size would.
 
 How rare a shingle is, is counted over all documents. Blocks of documents send each
 bucket the shingles they have, as packed sorted numbers, and get back those that more
@@ -175,14 +176,19 @@ def link_classes(classes: DataFrame, percent: int) -> DataFrame:
     high = F.when(F.col("node") == F.col("hub"), 0.0).otherwise(F.coalesce("apart", F.lit(1.0)))
     members = known.select("shingle", "node", "n_shingles", "matches", F.coalesce("label", "node").alias("label"), low.alias("low"), high.alias("high"))
     mixed = members.groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("shingle")
-    open_ = cut_lineage(members.join(mixed, "shingle"))
+    open_ = cut_lineage(members.join(mixed, "shingle").join(classes.select("node", "prefix"), "node"))
     slack = 1 - percent / 100 + 1e-9
     a, b = open_.alias("a"), open_.alias("b")
     meet = (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.label") != F.col("b.label"))
     meet &= (F.col("a.low") <= F.col("b.high") + slack) & (F.col("b.low") <= F.col("a.high") + slack)
     meet &= _near_in_size(F.col("a.n_shingles"), F.col("b.n_shingles"), percent)
-    pairs = a.join(b, meet).groupBy(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
-    pairs = pairs.agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("a.matches", "b.matches")).alias("asked")).where("shared >= asked").select("a", "b")
+    # Sizes of both tell how many shingles a linked pair shares, so how many of these prefixes it must;
+    # the first shared one alone gives the pair.
+    both = F.array_intersect("a.prefix", "b.prefix")
+    shared = F.ceil((F.col("a.n_shingles") + F.col("b.n_shingles")) * percent / (100 + percent) - 1e-9)
+    spare = [F.ceil(F.col(f"{x}.n_shingles") * percent / 100 - 1e-9) - F.col(f"{x}.matches") for x in "ab"]
+    meet &= (F.element_at(both, 1) == F.col("a.shingle")) & (F.size(both) >= shared - F.greatest(*spare))
+    pairs = a.join(b, meet).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
     more = _verified(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), classes).where(F.col("common") * 100 >= F.col("all") * percent)
     return linked.union(more.select("a", "b"))
 
