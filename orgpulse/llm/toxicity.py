@@ -31,6 +31,7 @@ from orgpulse.llm.bytehash import LETTERS, column_bytes, span_hash, word_spans
 FEATURE_BITS = 20
 FIT_ROWS = 10_000
 FEATURES = 4096
+SLICE_BYTES = 2 << 20
 
 
 @dataclass
@@ -45,8 +46,22 @@ class SeverityModel:
 
 
 def text_features(texts: pa.Array, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, feature and value of every feature that a batch of texts has, sorted; ``only`` (sorted) leaves out all others."""
-    data, offsets = column_bytes(pc.utf8_lower(texts.cast(pa.large_string())))
+    """Row, feature and value of every feature that a batch of texts has, sorted; ``only`` (sorted) leaves out all others.
+
+    A few MB of text are worked on at a time, whatever the batch.
+    """
+    texts = texts.cast(pa.large_string())
+    ends, parts, at = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)), [], 0
+    while at < len(texts):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, side="right")))
+        rows, features, values = _slice_features(texts.slice(at, stop - at), only)
+        parts.append((rows + at, features, values))
+        at = stop
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+
+
+def _slice_features(texts: pa.Array, only: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    data, offsets = column_bytes(pc.utf8_lower(texts))
     starts, ends, rows = word_spans(data, offsets, LETTERS)
     numbers = (span_hash(data, starts, ends) & np.uint64((1 << FEATURE_BITS) - 1)).astype(np.int64)
     if only is not None:
@@ -104,10 +119,10 @@ def fit_severity(rows: np.ndarray, features: np.ndarray, values: np.ndarray, gra
 
 
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", holdout: DataFrame | None = None) -> SeverityModel:
-    """Fits three grades: 0 clean; 1 and 2 toxic rows with a weaker and a stronger share of telling words.
+    """Fits three grades: 0 clean; 1 and 2 toxic rows with less and more evidence of it.
 
     Labels only say toxic or not. So a two-grade model comes first, and toxic rows are graded
-    by their margin per feature under it, at the median. The sample is the ``fit_rows`` labels
+    by their margin under it, at the median. The sample is the ``fit_rows`` labels
     whose ids hash lowest; only its features reach the driver.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
@@ -133,8 +148,8 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col:
     rows = np.repeat(np.arange(len(toxic)), pc.list_value_length(lists).to_numpy())
     chosen = _choose(rows, features, toxic)
     first = fit_severity(rows, features, values, toxic.astype(np.int64), chosen)
-    share = score_features(first, rows, features, values, len(toxic)) / np.maximum(np.bincount(rows, minlength=len(toxic)), 1)
-    grades = toxic.astype(np.int64) + (toxic & (share > np.median(share[toxic])))
+    margin = score_features(first, rows, features, values, len(toxic))
+    grades = toxic.astype(np.int64) + (toxic & (margin > np.median(margin[toxic])))
     return fit_severity(rows, features, values, grades, chosen) if grades.max() == 2 else first
 
 
@@ -153,13 +168,11 @@ RESULT = T.StructType([T.StructField("p_toxic", T.DoubleType()), T.StructField("
 def score(docs: DataFrame, model: SeverityModel, reject_above: float = 0.5, text_col: str = "text") -> DataFrame:
     """Documents with p_toxic (chance of any grade above 0), expected severity (0 to K-1) and rejected (p_toxic above the limit)."""
 
-    @F.pandas_udf(RESULT)
-    def judge(texts):
-        import pandas as pd
-
-        rows, features, values = text_features(pa.array(texts.fillna(""), pa.large_string()), model.features)
+    @F.arrow_udf(RESULT)
+    def judge(texts: pa.Array) -> pa.Array:
+        rows, features, values = text_features(texts, model.features)
         above = model.above(score_features(model, rows, features, values, len(texts)))
-        return pd.DataFrame({"p_toxic": above[:, 0], "severity": above.sum(axis=1), "rejected": above[:, 0] > reject_above})
+        return pa.StructArray.from_arrays([pa.array(x) for x in (above[:, 0], above.sum(axis=1), above[:, 0] > reject_above)], RESULT.names)
 
     kept = [c for c in docs.columns if c not in RESULT.names]
     return docs.select(*kept, judge(F.col(text_col)).alias("_judged")).select(*kept, *[F.col(f"_judged.{n}").alias(n) for n in RESULT.names])
