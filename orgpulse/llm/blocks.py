@@ -19,13 +19,13 @@ from pyspark.sql import functions as F
 from orgpulse.llm.bytehash import column_bytes
 from orgpulse.session import cut_lineage
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 4 << 20
 ROW_BITS = 20
 BLOCK_SCHEMA = "block long, n_bytes long, ids binary, known binary, ends binary, texts binary"
 
 
-def pack(values: np.ndarray) -> bytes:
-    return zstandard.compress(np.ascontiguousarray(values).tobytes(), 3)
+def pack(values: np.ndarray, level: int = 3) -> bytes:
+    return zstandard.compress(np.ascontiguousarray(values).tobytes(), level)
 
 
 def unpack(data: bytes, dtype: str) -> np.ndarray:

@@ -125,7 +125,7 @@ def _deal(length: int, buckets: int):
                     if j > i:
                         own = order[i:j]
                         spans = [data[s : s + n] for s, n in zip(starts[firsts[own]].tolist(), (windows[firsts[own]] + length - 1).tolist(), strict=True)]
-                        out.append((b, row["block"], pack(windows[firsts[own]].astype(np.uint8)), pack(np.diff(least[own], prepend=0)), pack(np.concatenate(spans))))
+                        out.append((b, row["block"], pack(windows[firsts[own]].astype(np.uint8)), pack(np.diff(least[own], prepend=0)), pack(np.concatenate(spans), 5)))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), DEALT, strict=True)], schema=DEALT)
 
