@@ -53,7 +53,7 @@ def gram_hash(data: np.ndarray, k: int) -> np.ndarray:
         if span * 2 > k:
             return mix(out)
         power = power[:-span] * base + power[span:]
-        base, span = base * base, span * 2
+        base, span = U64(int(base) ** 2 % (1 << 64)), span * 2
 
 
 def sliding_min(h: np.ndarray, width: int) -> np.ndarray:

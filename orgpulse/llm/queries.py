@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orgpulse.llm import bpe, fingerprints, ngram_join, pii, poisson_mix, suffix_dedup, toxicity, url_cascade, vector_search, warc
-from orgpulse.session import cut_lineage, ensure_checkpoint_dir
+from orgpulse.session import ensure_checkpoint_dir
 
 PII_KEY = "surrogates-1"
 MIX_SEED = "mix-1"
@@ -40,7 +40,7 @@ def surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
-    written = cut_lineage(warc.write_archives(table(spark, sf_dir, "pages"), folder))
+    written = warc.write_archives(table(spark, sf_dir, "pages"), folder)
     return warc.read_archives(spark, folder, written).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
 

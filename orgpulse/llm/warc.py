@@ -24,6 +24,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orgpulse.session import cut_lineage
+
 MAGIC = 0x184D2A5D
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 # Bytes of records in one archive, records and bytes of each that the dictionary is built from, and its size.
@@ -112,7 +114,7 @@ def mark_revisits(pages: DataFrame, min_revisit: int) -> DataFrame:
 def write_archives(pages: DataFrame, folder: str, min_revisit: int = 1000, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Writes the pages under a folder that all executors reach (any store Arrow opens) and returns path, n_records and n_bytes of the archives.
 
-    A file is written under a name of its own attempt and only counts if it is in the returned
+    They are written when this is called. A file is written under a name of its own attempt and only counts if it is in the returned
     list, so a task that is run again or twice adds nothing to what is read.
     """
 
@@ -144,7 +146,7 @@ def write_archives(pages: DataFrame, folder: str, min_revisit: int = 1000, date:
 
     store, base = fs.FileSystem.from_uri(folder)
     store.create_dir(base, recursive=True)
-    return mark_revisits(pages, min_revisit).mapInArrow(write, "path string, n_records long, n_bytes long")
+    return cut_lineage(mark_revisits(pages, min_revisit).mapInArrow(write, "path string, n_records long, n_bytes long"))
 
 
 READ = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
