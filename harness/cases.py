@@ -20,8 +20,6 @@ BASE_TABLES = [
     "pages", "benchmark", "labels", "conversations",
 ]
 
-SPREAD_FROM_BYTES = 1 << 20
-
 BINDINGS: dict[str, str] = {}
 VIEWS: dict[str, str] = {}
 CASES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,12 +41,6 @@ class Tables:
         view = self._prefix + name
         if not self.spark.catalog.tableExists(view):
             df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-            # A file with one row group is read by one task. Where a sizeable input has fewer
-            # partitions than there are cores, spread it; large inputs never meet this condition.
-            cores = self.spark.sparkContext.defaultParallelism
-            size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-            if size > SPREAD_FROM_BYTES and df._jdf.rdd().getNumPartitions() < cores:
-                df = df.repartition(cores)
             df.createOrReplaceTempView(view)
         return view
 

@@ -120,7 +120,7 @@ def seed_aliases(members: DataFrame, persons: DataFrame, aliases: DataFrame | No
     if aliases is None:
         return out
     live = aliases.where(F.col("is_deleted") == 0)
-    return out.join(live, ["alias_type", "alias_value", "source_type", "source_account_id"], "left_anti").select(out.columns)
+    return out.join(live, ["tenant_uuid", "alias_type", "alias_value", "source_type", "source_account_id"], "left_anti").select(out.columns)
 
 
 def seed_bootstrap_inputs(members: DataFrame, existing: DataFrame | None, source: MemberSource, as_of: str) -> DataFrame:

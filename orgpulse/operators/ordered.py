@@ -44,6 +44,15 @@ def earliest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column
     return _unpack(picked, df.columns, keys)
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on columns of the same names, where NULL equals NULL."""
+    other = right.select(*[F.col(c).alias(f"_right_{c}") for c in on], *[c for c in right.columns if c not in set(on)])
+    equal = F.lit(True)
+    for c in on:
+        equal = equal & F.col(c).eqNullSafe(F.col(f"_right_{c}"))
+    return left.join(other, equal, how).drop(*[f"_right_{c}" for c in on])
+
+
 def with_neighbour(
     df: DataFrame,
     keys: Sequence[str],
@@ -72,7 +81,7 @@ def with_neighbour(
     across = Window.partitionBy(*keys).orderBy(F.col("_bucket").asc() if back else F.col("_bucket").desc())
     carried = summary.select(*by_bucket, F.lag("_last").over(across).alias("_carried"), F.lit(True).alias("_edge"))
 
-    joined = inside.join(carried, [*by_bucket, "_edge"], "left")
+    joined = null_safe_join(inside, carried, [*by_bucket, "_edge"], "left")
     near = F.coalesce(F.col("_near"), F.col("_carried"))
     return joined.select(*df.columns, *[near[new].alias(new) for new in values])
 
@@ -84,11 +93,9 @@ def with_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[str], bu
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     within = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    return (
-        placed.withColumn("_rn", F.row_number().over(within))
-        .join(offsets, [*keys, "_bucket"])
-        .select(*df.columns, (F.col("_rn") + F.col("_before")).alias(out))
-    )
+    numbered = placed.withColumn("_rn", F.row_number().over(within))
+    joined = null_safe_join(numbered, offsets, [*keys, "_bucket"])
+    return joined.select(*df.columns, (F.col("_rn") + F.col("_before")).alias(out))
 
 
 def value_positions(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

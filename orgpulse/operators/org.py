@@ -98,7 +98,7 @@ def repath_descendants(units: DataFrame, old_path: str, new_path: str) -> DataFr
     """Paths and depths after a subtree moved."""
     shift = new_path.count("/") - old_path.count("/")
     inside = in_subtree("path", old_path)
-    tail = F.substring("path", len(old_path) + 1, 100000)
+    tail = F.substring(F.col("path"), F.lit(len(old_path) + 1), F.length("path"))
     return units.withColumns(
         {
             "path": F.when(inside, F.concat(F.lit(new_path), tail)).otherwise(F.col("path")),

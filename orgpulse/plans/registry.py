@@ -28,12 +28,16 @@ class Registry:
         return [m for m in self.models if tag in m.tags]
 
 
+class TableMissing(LookupError):
+    """The table a model reads isn't there yet."""
+
+
 def table_model(spark, name: str) -> Callable[[], DataFrame]:
     """Build function of a stored table; a table that does not exist yet is skipped by the union."""
 
     def build() -> DataFrame:
         if not spark.catalog.tableExists(name):
-            raise LookupError(name)
+            raise TableMissing(name)
         return spark.table(name)
 
     return build
@@ -42,14 +46,14 @@ def table_model(spark, name: str) -> Callable[[], DataFrame]:
 def union_by_tag(registry: Registry, tag: str) -> DataFrame:
     """UNION ALL by column name of every model with the tag.
 
-    A model whose table is missing raises ``LookupError`` in its build function
-    and is skipped; columns absent from one model become NULL.
+    A model whose table is missing raises ``TableMissing`` in its build function
+    and is skipped, any other error is raised; columns absent from one model become NULL.
     """
     parts = []
     for model in registry.tagged(tag):
         try:
             parts.append(model.build())
-        except LookupError:
+        except TableMissing:
             continue
     if not parts:
         raise ValueError(f"no model with tag {tag!r} could be read")

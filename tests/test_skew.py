@@ -90,3 +90,12 @@ def test_running_field_values_match_a_replay(spark):
             held.clear()
         (held.discard if action == "remove" else held.add)(value)
         assert got[eid] == sorted(held)
+
+
+def test_positions_and_neighbours_keep_null_keys_and_times(spark):
+    rows = [(None, 1, "a"), (None, 9, "b"), (None, None, "c"), ("k", None, "d"), ("k", 3, "e")]
+    df = spark.createDataFrame(rows, "key string, at int, v string")
+    numbered = ordered.with_row_number(df, ["key"], ["at"], F.floor(F.col("at") / 5), "n")
+    assert sorted((r.key or "", r.v, r.n) for r in numbered.collect()) == [("", "a", 2), ("", "b", 3), ("", "c", 1), ("k", "d", 1), ("k", "e", 2)]
+    before = ordered.with_neighbour(df.where("at IS NOT NULL"), ["key"], ["at"], {"last": "v"}, F.floor(F.col("at") / 5), "previous")
+    assert {r.v: r.last for r in before.collect()} == {"a": None, "b": "a", "e": None}
