@@ -438,18 +438,16 @@ def mails_of_groups(t):
     "lastname_review_list",
     """
 WITH terms AS (SELECT DISTINCT split_part(p_name, ' ', 2) AS last_name, p_size AS name_group FROM <part> WHERE split_part(p_name, ' ', 2) <> 'gear'),
-  words AS (SELECT DISTINCT s_suppkey, lower(CASE WHEN s_suppkey % 3 = 0 THEN 'a' || w WHEN s_suppkey % 3 = 1 THEN w || 's' ELSE substr(w, 1, 3) || 'x' END) AS word FROM <supplier> JOIN (SELECT DISTINCT split_part(p_name, ' ', 2) AS w FROM <part>) ON true),
-  hits AS (SELECT last_name, name_group, word || '.' || s_suppkey || '@x.test' AS email, s_suppkey AS email_group, word, (SELECT max(n) FROM range(1, length(last_name) + 1) r(n) WHERE contains(word, substr(last_name, 1, n::INT))) AS h FROM words JOIN terms ON contains(word, substr(last_name, 1, 3)) WHERE name_group <> s_suppkey)
-SELECT last_name, name_group, email, email_group, word AS best_word, round(h / length(last_name) - abs(length(word) - length(last_name)) / greatest(length(word), length(last_name)) * 0.5, 6) AS score FROM hits
-WHERE h / length(last_name) - abs(length(word) - length(last_name)) / greatest(length(word), length(last_name)) * 0.5 >= 0.5""",
+  words AS (SELECT s_suppkey, lower(CASE s_suppkey % 3 WHEN 0 THEN 'a' || w WHEN 1 THEN w || 's' ELSE left(w, 3) || 'x' END) AS word FROM (SELECT s_suppkey, split_part(p_name, ' ', 2) AS w FROM <supplier> JOIN <part> ON p_partkey = s_suppkey)),
+  hits AS (SELECT *, list_max([n FOR n IN range(1, length(last_name) + 1) IF contains(word, left(last_name, n))]) / length(last_name) - abs(length(word) - length(last_name)) / greatest(length(word), length(last_name)) / 2 AS score FROM terms JOIN words ON name_group <> s_suppkey)
+SELECT last_name, name_group, word || '.' || s_suppkey || '@x.test' AS email, s_suppkey AS email_group, word AS best_word, round(score, 6) AS score FROM hits WHERE score >= 0.5""",
 )
 def review_list(t):
     last = F.split_part("p_name", F.lit(" "), F.lit(2))
     names = t["part"].select(last.alias("last_name"), F.col("p_size").alias("group_id"))
-    listed = t["part"].select(last.alias("w")).distinct().agg(F.collect_set("w").alias("ws")).select("ws").scalar()
-    k = F.col("s_suppkey")
-    rows = t["supplier"].withColumn("w", F.explode(listed))
-    word = F.lower(F.when(k % 3 == 0, F.concat(F.lit("a"), "w")).when(k % 3 == 1, F.concat("w", F.lit("s"))).otherwise(F.concat(F.substring("w", 1, 3), F.lit("x"))))
+    k, w = F.col("s_suppkey"), F.col("w")
+    rows = t["supplier"].join(t["part"], F.col("p_partkey") == k).withColumn("w", last)
+    word = F.lower(F.when(k % 3 == 0, F.concat(F.lit("a"), w)).when(k % 3 == 1, F.concat(w, F.lit("s"))).otherwise(F.concat(F.substring(w, 1, 3), F.lit("x"))))
     emails = rows.select(F.concat(word, F.lit("."), k.cast("string"), F.lit("@x.test")).alias("email"), k.alias("group_id"))
     return components.lastname_review_list(names, emails, ["gear"], 0.5)
 

@@ -8,7 +8,7 @@ from harness.cases import VIEWS, Tables, case
 from harness.metric_cases import closed
 from orgpulse.functions import scalars as fx
 from orgpulse.functions.similarity import jaro_winkler
-from orgpulse.operators import gold, matching, ordered, quality
+from orgpulse.operators import gold, matching, ordered, org, quality
 from orgpulse.session import ensure_checkpoint_dir
 from orgpulse.sources import landing, schemas
 from orgpulse.streaming import incremental, windows
@@ -179,7 +179,7 @@ def fired(t):
     path = scratch(t, "alerts")
     rules = t.spark.createDataFrame([("t", "amount", "gt", 300.0, "critical")], "tenant_id string, metric_key string, operator string, threshold double, level string")
     values = event_stream(t).select(F.lit("t").alias("tenant_id"), F.lit("amount").alias("metric_key"), "event_id", "user_id", F.col("value").alias("metric_value"))
-    alert_stream(values, rules, "2024-02-01", path, scratch(t, "alerts-ckpt"), available_now=True).awaitTermination()
+    alert_stream(values, lambda: rules, path, scratch(t, "alerts-ckpt"), available_now=True).awaitTermination()
     return t.spark.read.parquet(path).select("event_id", "user_id", "level")
 
 
@@ -227,29 +227,17 @@ case("right_join", "SELECT o_orderkey, c_custkey FROM <orders> RIGHT JOIN <custo
     lambda t: t["orders"].where(F.col("o_orderstatus") == "P").join(t["customer"], F.col("o_custkey") == F.col("c_custkey"), "right").select("o_orderkey", "c_custkey")
 )
 case("dictionary_lookup", "SELECT s_suppkey, n_name, r_name FROM <supplier> LEFT JOIN <nation> ON n_nationkey = s_nationkey LEFT JOIN <region> ON r_regionkey = n_regionkey")(
-    # nation and region are fixed lists of 25 and 5 rows, so broadcasting them is bounded.
-    lambda t: t["supplier"].join(F.broadcast(t["nation"]), F.col("n_nationkey") == F.col("s_nationkey"), "left").join(F.broadcast(t["region"]), F.col("r_regionkey") == F.col("n_regionkey"), "left").select("s_suppkey", "n_name", "r_name")
+    lambda t: t["supplier"].join(t["nation"], F.col("n_nationkey") == F.col("s_nationkey"), "left").join(t["region"], F.col("r_regionkey") == F.col("n_regionkey"), "left").select("s_suppkey", "n_name", "r_name")
 )
 _AS_OF_SQL = "SELECT l_partkey, l_orderkey, l_linenumber, l_suppkey, (SELECT max(o_orderkey) FROM (SELECT o_orderkey, o_orderdate FROM <orders> WHERE o_custkey = l_partkey) o WHERE o.o_orderdate = (SELECT max(o_orderdate) FROM <orders> x WHERE x.o_custkey = l_partkey AND x.o_orderdate <= l_shipdate)) AS last_order FROM <lineitem>"
 
 
 @case("as_of_lookup", _AS_OF_SQL)
 def as_of(t):
-    """Latest order at or before the ship date: both tables in one ordered stream per key, last seen value carried."""
-    from pyspark.sql.window import Window
-
-    orders = t["orders"].groupBy(F.col("o_custkey").alias("key"), F.col("o_orderdate").alias("at")).agg(F.max("o_orderkey").alias("seen"))
-    facts = t["lineitem"].select(F.col("l_partkey").alias("key"), F.col("l_shipdate").alias("at"), "l_orderkey", "l_linenumber", "l_suppkey")
-    rows = orders.withColumn("_side", F.lit(0)).unionByName(facts.withColumn("_side", F.lit(1)), allowMissingColumns=True)
-    # The year splits a hot key; what was seen before a year starts is carried in by one row per key and year.
-    rows = rows.withColumn("_year", F.year("at"))
-    inside = Window.partitionBy("key", "_year").orderBy("at", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    near = rows.withColumn("_near", F.last("seen", ignorenulls=True).over(inside))
-    per_year = rows.groupBy("key", "_year").agg(F.max_by("seen", F.when(F.col("seen").isNotNull(), F.col("at"))).alias("_last"))
-    before = Window.partitionBy("key").orderBy("_year").rowsBetween(Window.unboundedPreceding, -1)
-    carried = per_year.select("key", "_year", F.last("_last", ignorenulls=True).over(before).alias("_carried"))
-    out = near.where(F.col("_side") == 1).join(carried, ["key", "_year"])
-    return out.select(F.col("key").alias("l_partkey"), "l_orderkey", "l_linenumber", "l_suppkey", F.coalesce("_near", "_carried").alias("last_order"))
+    """Latest order at or before the ship date; of several on one day the largest key."""
+    orders = t["orders"].select(F.col("o_custkey").alias("l_partkey"), F.col("o_orderdate").alias("l_shipdate"), F.col("o_orderkey").alias("last_order"))
+    facts = t["lineitem"].select("l_partkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey")
+    return ordered.as_of_join(facts, orders, ["l_partkey"], "l_shipdate", "last_order", F.year).drop("l_shipdate")
 
 
 case("range_join_days", "SELECT c_custkey, o_orderkey, l_orderkey, l_linenumber, l_suppkey FROM <customer> JOIN <orders> ON o_custkey = c_custkey JOIN <lineitem> ON l_partkey = c_custkey AND abs(date_diff('day', o_orderdate, l_shipdate)) <= 5")(
@@ -259,11 +247,8 @@ case("range_join_days", "SELECT c_custkey, o_orderkey, l_orderkey, l_linenumber,
     .join(t["lineitem"].withColumn("day", F.to_date("l_shipdate")), (F.col("l_partkey") == F.col("c_custkey")) & (F.col("day") == F.col("near")))
     .select("c_custkey", "o_orderkey", "l_orderkey", "l_linenumber", "l_suppkey")
 )
-case("recursive_ancestry", "WITH RECURSIVE a AS (SELECT unit_id, parent_id AS ancestor FROM <b_units> WHERE parent_id IS NOT NULL UNION ALL SELECT a.unit_id, u.parent_id FROM a JOIN <b_units> u ON u.unit_id = a.ancestor WHERE u.parent_id IS NOT NULL) SELECT * FROM a")(
-    lambda t: t.spark.sql(
-        f"""WITH RECURSIVE a(unit_id, ancestor) AS (SELECT unit_id, parent_id FROM {t._text('b_units')} u WHERE parent_id IS NOT NULL
-        UNION ALL SELECT a.unit_id, u.parent_id FROM a JOIN {t._text('b_units')} u ON u.unit_id = a.ancestor WHERE u.parent_id IS NOT NULL) SELECT unit_id, ancestor FROM a"""
-    )
+case("recursive_ancestry", "WITH RECURSIVE a AS (SELECT unit_id, parent_id AS ancestor FROM <b_units> WHERE parent_id IS NOT NULL UNION SELECT a.unit_id, u.parent_id FROM a JOIN <b_units> u ON u.unit_id = a.ancestor WHERE u.parent_id IS NOT NULL) SELECT * FROM a")(
+    lambda t: org.ancestors(t["b_units"])
 )
 case("conditional_aggregates", "SELECT o_custkey, count_if(o_orderstatus = 'F') AS done, COALESCE(round(sum(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END),4),0) AS open_value, round(avg(CASE WHEN o_orderpriority = '1-URGENT' THEN o_totalprice END),4) AS urgent_avg FROM <orders> GROUP BY ALL")(
     lambda t: t["orders"].groupBy("o_custkey").agg(
@@ -404,23 +389,35 @@ case("scalar_casts", "SELECT page_id, TRY_CAST(split_part(url, '/', 5) AS BIGINT
 case("scalar_jaro_winkler", "SELECT a.s_suppkey, round(jaro_winkler_similarity(s_name, 'Supplier#000000042'), 6) AS sim FROM <supplier> a")(
     lambda t: t["supplier"].select("s_suppkey", jaro_winkler("s_name", F.lit("Supplier#000000042")).alias("sim"))
 )
-case("scalar_soundex")(lambda t: t["part"].select("p_partkey", F.soundex("p_name").alias("code")))
+
+
+def _soundex(text: str) -> str:
+    """Soundex in SQL: digits of all letters, h and w skipped, runs joined, the first letter kept, vowels gone."""
+    digits = f"regexp_replace(translate(upper({text}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '01230127022455012623017202'), '[^0-7]', '0', 'g')"
+    run = f"left({digits}, 1) || replace(substr({digits}, 2), '7', '')"
+    for digit in "123456":
+        run = f"regexp_replace({run}, '{digit}+', '{digit}', 'g')"
+    return f"upper(left({text}, 1)) || rpad(left(replace(substr({run}, 2), '0', ''), 3), 3, '0')"
+
+
+case("scalar_soundex", f"SELECT p_partkey, {_soundex('p_name')} AS code FROM <part>")(lambda t: t["part"].select("p_partkey", F.soundex("p_name").alias("code")))
+
+# Names of random letters; the known form has one letter, at some place, replaced by an x.
+_NAME = "translate(substr(md5(c_custkey::string), 1, 14), '0123456789', 'ghijklmnop')"
+_KNOWN_NAME = f"substr({_NAME}, 1, (c_custkey % 14)::int) || 'x' || substr({_NAME}, (c_custkey % 14)::int + 2)"
 
 
 @case(
     "match_names",
-    """
-WITH d AS (SELECT DISTINCT tenant_id, 'git' AS source_type, 'display_name' AS alias_type, lastName || ' ' || firstName AS alias_value FROM <b_employees_now>), k AS (SELECT tenant_id, 'P' || id AS person_id, lastName || ' ' || firstName || 's' AS p FROM <b_employees_now>)
-SELECT tenant_id, person_id, source_type, alias_type, alias_value, 'name_jaro_winkler' AS rule, 0.75 AS confidence FROM d JOIN k USING (tenant_id) WHERE jaro_winkler_similarity(lower(alias_value), lower(p)) >= 0.95 AND p = alias_value || 's'""",
+    f"""
+WITH d AS (SELECT 't' || (c_custkey % 2) AS tenant_id, 'git' AS source_type, 'display_name' AS alias_type, {_NAME} AS alias_value FROM <customer>), k AS (SELECT 't' || (c_custkey % 2) AS tenant_id, 'P' || c_custkey AS person_id, {_KNOWN_NAME} AS p FROM <customer>),
+rated AS (SELECT d.*, person_id, jaro_winkler_similarity(alias_value, p) >= 0.95 AS near, {_soundex('alias_value')} = {_soundex('p')} AS alike FROM d JOIN k USING (tenant_id))
+SELECT tenant_id, person_id, source_type, alias_type, alias_value, if(near, 'name_jaro_winkler', 'name_soundex') AS rule, if(near, 0.75, 0.6)::DOUBLE AS confidence FROM rated WHERE near OR alike""",
 )
 def fuzzy_names(t):
-    """Names against the same names with a letter added: of the phonetic matches, those of the same person."""
-    rows = t["b_employees_now"]
-    name = F.concat_ws(" ", "lastName", "firstName")
-    shape = [F.col("tenant_id"), F.lit("git").alias("source_type"), F.lit("display_name").alias("alias_type")]
-    seen = rows.select(*shape, name.alias("alias_value"))
-    known = rows.select(*shape, F.concat(F.lit("P"), "id").alias("person_id"), F.concat(name, F.lit("s")).alias("alias_value"))
-    found = matching.match_candidates(seen, known, fuzzy=True).where(F.col("rule") == "name_jaro_winkler")
-    own = known.select("tenant_id", "person_id", F.col("alias_value").alias("_full"))
-    return found.join(own, ["tenant_id", "person_id"]).where(F.col("_full") == F.concat("alias_value", F.lit("s"))).drop("_full")
-
+    """All pairs of names by either rule."""
+    rows = t["customer"]
+    shape = [F.concat(F.lit("t"), (F.col("c_custkey") % 2).cast("string")).alias("tenant_id"), F.lit("git").alias("source_type"), F.lit("display_name").alias("alias_type")]
+    seen = rows.select(*shape, F.expr(_NAME).alias("alias_value"))
+    known = rows.select(*shape, F.concat(F.lit("P"), F.col("c_custkey").cast("string")).alias("person_id"), F.expr(_KNOWN_NAME).alias("alias_value"))
+    return matching.match_candidates(seen, known, fuzzy=True)

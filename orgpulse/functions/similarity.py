@@ -31,7 +31,8 @@ def _jaro(a: str, b: str) -> float:
     if not left:
         return 0.0
     right = [b[j] for j, used in enumerate(taken) if used]
-    moved = sum(x != y for x, y in zip(left, right)) / 2
+    # Half of the letters out of order, rounded down, as is usual.
+    moved = sum(x != y for x, y in zip(left, right)) // 2
     m = len(left)
     return (m / len(a) + m / len(b) + (m - moved) / m) / 3
 

@@ -6,6 +6,7 @@ linked through any chain of shared tokens form one group.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -26,7 +27,7 @@ def usable_tokens(pairs: DataFrame) -> DataFrame:
     return pairs.where(~F.lower("token").isin(BLACKLIST) & (F.length("token") >= SHORTEST_TOKEN))
 
 
-def identity_components(pairs: DataFrame, max_iter: int = 20, rank: bool = True) -> DataFrame:
+def identity_components(pairs: DataFrame, max_iter: int | None = None, rank: bool = True) -> DataFrame:
     """(rid, group_id, profile_group_id): smallest rid reachable through shared tokens.
 
     Each round takes the minimum per token, then per rid, then follows the
@@ -34,7 +35,7 @@ def identity_components(pairs: DataFrame, max_iter: int = 20, rank: bool = True)
     shrinking by one. Every step is an aggregate with map-side combine or a
     join against one row per key, so a token shared by a third of all accounts
     is split by AQE rather than collected. Stops when no group changes;
-    raises if ``max_iter`` rounds were not enough.
+    with ``max_iter`` it raises if that many rounds were not enough.
     """
     links = cut_lineage(pairs.select("token", F.col("rid").cast("bigint").alias("rid")).distinct())
     # Tokens used by a single account link nothing; only shared ones take part in the rounds.
@@ -42,7 +43,7 @@ def identity_components(pairs: DataFrame, max_iter: int = 20, rank: bool = True)
     active = cut_lineage(links.join(shared, "token", "left_semi"))
     accounts = active.select("rid").distinct()
     groups = accounts.withColumn("group_id", F.col("rid"))
-    for _ in range(max_iter):
+    for done in itertools.count(1):
         per_token = active.join(groups, "rid").groupBy("token").agg(F.min("group_id").alias("_low"))
         lowest = active.join(per_token, "token").groupBy("rid").agg(F.min("_low").alias("_low"))
         jump = lowest.select(F.col("rid").alias("_low"), F.col("_low").alias("_lower"))
@@ -55,8 +56,8 @@ def identity_components(pairs: DataFrame, max_iter: int = 20, rank: bool = True)
         groups = step.select("rid", "group_id")
         if step.where("_changed").isEmpty():
             break
-    else:
-        raise RuntimeError(f"groups still change after {max_iter} rounds; raise max_iter")
+        if done == max_iter:
+            raise RuntimeError(f"groups still change after {max_iter} rounds; raise max_iter")
     everyone = links.select("rid").distinct().join(groups, "rid", "left").withColumn("group_id", F.coalesce("group_id", "rid"))
     return dense_rank_all(everyone, "group_id", "profile_group_id") if rank else everyone
 
@@ -103,7 +104,7 @@ def identity_enrichment(pairs: DataFrame, manual: DataFrame, names: DataFrame, d
     return out.distinct()
 
 
-def augmented_groups(pairs: DataFrame, max_iter: int = 20) -> DataFrame:
+def augmented_groups(pairs: DataFrame, max_iter: int | None = None) -> DataFrame:
     """Synthetic pairs that bridged distinct natural groups.
 
     A synthetic token is kept when the accounts using it (really or
@@ -140,29 +141,32 @@ def profile_emails(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     return mails.join(groups.select("rid", "profile_group_id"), "rid").select("email", "profile_group_id").distinct()
 
 
-def lastname_review_list(
-    names: DataFrame, emails: DataFrame, common: Sequence[str], min_score: float, gram: int = 3
-) -> DataFrame:
+def lastname_review_list(names: DataFrame, emails: DataFrame, common: Sequence[str], min_score: float) -> DataFrame:
     """Last names against the words of e-mail local parts, across different groups, for manual review.
 
-    ``names``: (last_name, group_id); ``emails``: (email, group_id). A hit must
-    share at least the first ``gram`` letters somewhere in the word, so an
-    equi-join on that gram finds every pair with so many leading letters.
+    ``names``: (last_name, group_id); ``emails``: (email, group_id). A name of n letters reaches
+    ``min_score`` only if its first ceil(min_score * n) letters occur together in the word, so an
+    equi-join on these finds every pair. ``min_score`` must be above 0, where no letter is needed.
     """
+    if min_score <= 0:
+        raise ValueError("min_score must be above 0")
+    name = F.lower("last_name")
+    # The small amount keeps 0.6 * 5 at 3 in spite of binary noise.
+    needed = F.ceil(F.length("last_name") * F.lit(float(min_score)) - 1e-9).cast("int")
     terms = (
-        names.withColumn("last_name", F.lower("last_name"))
-        .where(~F.col("last_name").isin(list(common)) & (F.length("last_name") >= gram))
-        .select("last_name", F.col("group_id").alias("name_group"), F.substring("last_name", 1, gram).alias("gram"))
+        names.select(name.alias("last_name"), F.col("group_id").alias("name_group"))
+        .where(~F.col("last_name").isin(list(common)) & (F.col("last_name") != ""))
+        .withColumn("gram", F.substring(F.col("last_name"), F.lit(1), needed))
         .distinct()
     )
     local = F.lower(F.substring_index("email", "@", 1))
     words = emails.select(
         "email", F.col("group_id").alias("email_group"), F.explode(F.array_distinct(F.split(local, "[^a-z]+"))).alias("word")
-    ).where(F.length("word") >= gram)
-    starts = F.sequence(F.lit(1), F.length("word") - (gram - 1))
-    grams = F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("word"), i, F.lit(gram))))
+    ).where(F.col("word") != "")
+    ends = F.sequence(F.lit(1), F.length("word"))
+    grams = F.flatten(F.transform(ends, lambda e: F.transform(F.sequence(F.lit(1), e), lambda i: F.substring(F.col("word"), i, e - i + 1))))
     # Distinct names meet distinct words; only pairs that reach the score are spread to groups and mails.
-    by_gram = words.select("word").distinct().withColumn("gram", F.explode(grams))
+    by_gram = words.select("word").distinct().withColumn("gram", F.explode(F.array_distinct(grams)))
     close = (
         by_gram.join(terms.select("last_name", "gram").distinct(), "gram")
         .select("last_name", "word", lastname_score(F.col("last_name"), F.col("word")).alias("score"))

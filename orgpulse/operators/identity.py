@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -175,44 +176,29 @@ def person_lookup(people: DataFrame, email: str) -> DataFrame:
 def subordinates(people: DataFrame, root: str | None = None) -> DataFrame:
     """All direct and indirect reports as (root, person, depth, path); a person shows once per root.
 
-    Without ``root`` every person with reports is a root. Each round moves one
-    level down; the path stops cycles. The loop ends on the first empty level.
+    Without ``root`` every person with reports is a root. Each round moves one level down and keeps
+    who was not found before, so depth is the shortest one and cycles end; of several shortest paths
+    the smallest stays. The loop ends on the first empty level.
     """
     line = people.where(F.col("supervisor_id").isNotNull()).select(
-        "tenant_id", F.col("supervisor_id").alias("_boss"), F.col("person_id").alias("_report")
+        "tenant_id", F.col("supervisor_id").alias("person_id"), F.col("person_id").alias("_report")
     ).distinct()
-    roots = people.select("tenant_id", "person_id").distinct()
+    roots = people.where(F.col("person_id").isNotNull()).select("tenant_id", "person_id").distinct()
     if root is not None:
         roots = roots.where(F.col("person_id") == root.lower())
-    level = roots.select(
-        "tenant_id",
-        F.col("person_id").alias("root_id"),
-        F.col("person_id").alias("person_id"),
-        F.lit(0).alias("depth"),
-        F.array("person_id").alias("path"),
-    )
-    found: DataFrame | None = None
-    depth = 0
-    while True:
-        depth += 1
-        level = (
-            level.join(line, (level["tenant_id"] == line["tenant_id"]) & (level["person_id"] == line["_boss"]))
-            .where(~F.array_contains("path", F.col("_report")))
-            .select(
-                level["tenant_id"],
-                "root_id",
-                F.col("_report").alias("person_id"),
-                F.lit(depth).alias("depth"),
-                F.concat("path", F.array("_report")).alias("path"),
-            )
+    level = roots.select("tenant_id", F.col("person_id").alias("root_id"), "person_id", F.array("person_id").alias("path"))
+    key = ["tenant_id", "root_id", "person_id"]
+    seen, found = level.select(*key), None
+    for depth in itertools.count(1):
+        below = level.join(line, ["tenant_id", "person_id"]).select(
+            "tenant_id", "root_id", F.col("_report").alias("person_id"), F.concat("path", F.array("_report")).alias("path")
         )
-        level = cut_lineage(level)
-        if level.isEmpty():
-            break
+        fresh = below.join(seen, key, "left_anti").groupBy(*key).agg(F.min("path").alias("path"))
+        level = cut_lineage(fresh.select(*key, F.lit(depth).alias("depth"), "path"))
         found = level if found is None else found.unionByName(level)
-    if found is None:
-        return level
-    return found
+        if level.isEmpty():
+            return found
+        seen = seen.unionByName(level.select(*key))
 
 
 def people_tree(people: DataFrame, root: str) -> DataFrame:

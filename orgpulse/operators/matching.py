@@ -81,11 +81,59 @@ def _keyed(df: DataFrame, side: str, fuzzy: bool) -> DataFrame:
         entry("user_mail" if side == "left" else "mail_user", k.folded, user),
     ]
     if fuzzy:
-        entries.append(entry("name", F.soundex(F.lower(k.trimmed)), (kind == "display_name") & (k.trimmed != "")))
+        named = (kind == "display_name") & (k.trimmed != "")
+        entries.append(entry("name", F.soundex(F.lower(k.trimmed)), named))
     found = F.filter(F.array(*entries), lambda e: e.isNotNull())
     return df.withColumn("_e", F.explode(found)).select("*", "_e.family", "_e.key").drop("_e")
 
 
+def shared_letter_keys(name: Column) -> Column:
+    """Keys of which two names at ``NAME_SIMILARITY`` or above always have one in common.
+
+    With a common start of at most four letters such names have a Jaro similarity of 11/12 or
+    more, so that at least three quarters of the letters of either are matched. Letters are taken as
+    a set (the second e is another member than the first) in one order, seldom ones first. Of n
+    letters at least o = ceil(3n/4) are shared, so the first three shared ones lie among the
+    first n - o + 3 on both sides. Each three of these are a key. Of names of one or two letters
+    only equal ones are so near.
+    """
+    letters = F.split(name, "")
+    numbered = F.transform(
+        letters, lambda c, i: F.concat(F.lpad(F.size(F.filter(F.slice(letters, F.lit(1), i + 1), lambda x: x == c)).cast("string"), 6, "0"), c)
+    )
+    n = F.size(letters)
+    first = F.slice(F.sort_array(numbered, asc=False), F.lit(1), n - F.ceil(n * 3 / 4).cast("int") + 3)
+
+    def after(i: Column) -> Column:
+        return F.slice(first, i, F.size(first))
+
+    threes = F.flatten(
+        F.transform(first, lambda a, i: F.flatten(F.transform(after(i + 2), lambda b, j: F.transform(after(i + j + 3), lambda c: F.concat(a, b, c)))))
+    )
+    return F.when(n < 3, F.array(name)).otherwise(threes)
+
+
+def similar_names(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(tenant_id, name, other, similarity): pairs of distinct (tenant_id, name) at ``NAME_SIMILARITY`` or above."""
+
+    def keyed(df: DataFrame, out: str) -> DataFrame:
+        names = df.select("tenant_id", F.col("name").alias(out)).where(F.col(out) != "").distinct()
+        return names.withColumn("_key", F.explode(shared_letter_keys(F.col(out))))
+
+    pairs = keyed(left, "name").join(keyed(right, "other"), ["tenant_id", "_key"]).select("tenant_id", "name", "other").distinct()
+    return pairs.withColumn("similarity", jaro_winkler(F.col("name"), F.col("other"))).where(F.col("similarity") >= NAME_SIMILARITY)
+
+
+def _name_rules(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Display names that are similar, by whatever letters differ."""
+    shown = (F.col("alias_type") == "display_name") & (F.trim("alias_value") != "")
+    mine = left.select(*VALUE).distinct().where(shown).withColumn("name", F.lower(F.trim("alias_value")))
+    theirs = right.where(shown).select("tenant_id", "person_id", F.lower(F.trim("alias_value")).alias("other")).distinct()
+    near = similar_names(mine, theirs.withColumnRenamed("other", "name"))
+    hits = mine.join(near, ["tenant_id", "name"]).join(theirs, ["tenant_id", "other"])
+    return hits.select(*VALUE, "person_id", F.lit("name").alias("family"), F.lit("name_jaro_winkler").alias("rule"))
+
+
 def match_candidates(
     observations: DataFrame, aliases: DataFrame, domain_groups: DataFrame | None = None, fuzzy: bool = False
 ) -> DataFrame:
@@ -108,15 +156,13 @@ def match_candidates(
         ((family == "username") & same_system, F.lit("username_same_sys")),
         (family == "username", F.lit("username_cross_sys")),
         (family.isin("mail_user", "user_mail") & ~same_system, F.lit("email_to_username")),
+        (family == "name", F.lit("name_soundex")),
         default=F.lit(None),
     )
-    decided = pairs.withColumn("rule", rule)
+    decided = pairs.withColumn("rule", rule).select(*VALUE, "person_id", "family", "rule")
     if fuzzy:
-        names = decided.where(family == "name").withColumn(
-            "_sim", jaro_winkler(F.lower(F.trim("alias_value")), F.lower(F.trim("p_alias_value")))
-        )
-        close = F.when(F.col("_sim") >= NAME_SIMILARITY, F.lit("name_jaro_winkler")).otherwise(F.lit("name_soundex"))
-        decided = decided.where(family != "name").unionByName(names.withColumn("rule", close).drop("_sim"))
+        # Both name rules are one group below, so where both hold the stronger one stays.
+        decided = decided.unionByName(_name_rules(observations, known))
     score = F.create_map(*[x for r, c in CONFIDENCE.items() for x in (F.lit(r), F.lit(c))])
     rated = decided.where(F.col("rule").isNotNull()).withColumn("confidence", score[F.col("rule")])
     group = F.when(family.isin("mail_user", "user_mail"), F.lit("cross")).otherwise(family)

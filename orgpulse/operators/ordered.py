@@ -11,13 +11,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-RANK_BUCKETS = 512
+# Stretches that a key's values are cut into; a square number.
+RANK_BUCKETS = 1024
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
@@ -98,44 +100,66 @@ def with_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[str], bu
     return joined.select(*df.columns, (F.col("_rn") + F.col("_before")).alias(out))
 
 
-def value_positions(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+def as_of_join(facts: DataFrame, log: DataFrame, keys: Sequence[str], at: str, value: str, bucket: Callable[[Column], Column]) -> DataFrame:
+    """``facts`` with the ``value`` that ``log`` held for the same keys at or before ``at``; NULL if none.
+
+    Both sides have columns ``keys`` and ``at``. Of log rows with one key and time the largest value
+    counts; log rows without time or value never do, and facts without time find nothing. NULL keys
+    meet each other. ``bucket`` must not fall as time rises: it splits a hot key, and what was seen
+    before a bucket is carried in by one row per key and bucket.
+    """
+    seen = log.where(F.col(at).isNotNull()).groupBy(*keys, at).agg(F.max(value).alias(value))
+    sides = seen.withColumn("_side", F.lit(0)).unionByName(facts.withColumn("_side", F.lit(1)), allowMissingColumns=True)
+    rows = sides.withColumn("_bucket", bucket(F.col(at)))
+    by_bucket = [*keys, "_bucket"]
+    inside = Window.partitionBy(*by_bucket).orderBy(at, "_side").rowsBetween(Window.unboundedPreceding, 0)
+    near = rows.withColumn("_near", F.last(value, ignorenulls=True).over(inside)).where(F.col("_side") == 1)
+    summary = rows.groupBy(*by_bucket).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(at))).alias("_last"))
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = summary.select(*by_bucket, F.last("_last", ignorenulls=True).over(before).alias("_carried"))
+    joined = null_safe_join(near, carried, by_bucket)
+    return joined.select(*facts.columns, F.coalesce("_near", "_carried").alias(value))
+
+
+def value_positions(df: DataFrame, keys: Sequence[str], value: str, buckets: int = RANK_BUCKETS) -> DataFrame:
     """Per key and distinct value: rows with it (``n``), rows strictly below (``below``), values below
-    (``values_below``) and rows of the key (``total``). NULL values are left out."""
-    keys = list(keys)
-    counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    # Monotone squeeze so that a long tail does not push everything into one bucket.
-    squeezed = F.asinh(F.col("_v"))
-    span_keys = keys or ["_all"]
-    counts = counts if keys else counts.withColumn("_all", F.lit(1))
-    spans = counts.groupBy(*span_keys).agg(
-        F.asinh(F.min("_v")).alias("_lo"), F.asinh(F.max("_v")).alias("_hi"), F.sum("n").alias("total")
-    )
-    share = F.coalesce(F.try_divide(squeezed - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
-    placed = counts.join(spans, span_keys).withColumn(
-        "_bucket", F.least(F.floor(share * RANK_BUCKETS), F.lit(RANK_BUCKETS - 1)).cast("int")
-    )
-    per_bucket = placed.groupBy(*span_keys, "_bucket").agg(F.sum("n").alias("_rows"), F.count(F.lit(1)).alias("_vals"))
-    before = Window.partitionBy(*span_keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    (``values_below``) and rows of the key (``total``). NULL values are left out, a NULL key is a group of its own.
+
+    Bucket bounds are quantiles of the key's own distinct values, so that an outlier or a long tail
+    leaves the buckets even. Positions are exact whatever the bounds; ``buckets`` only sets how many
+    tasks share a key.
+    """
+    keys = list(keys) or ["_all"]
+    rows = df if keys != ["_all"] else df.withColumn("_all", F.lit(1))
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("n"))
+    step = max(1, math.isqrt(buckets))
+    marks = [(i + 1) / (step * step) for i in range(step * step - 1)]
+    bounds = F.array_distinct(F.percentile_approx("_v", marks, 10 * len(marks))) if marks else F.array(F.min("_v"))
+    spans = counts.groupBy(*keys).agg(bounds.alias("_bounds"), F.sum("n").alias("total"))
+    v = F.col("_v")
+    # Two short looks instead of one long one: which stretch of bounds, then where in it.
+    heads = F.transform(F.sequence(F.lit(1), F.size("_bounds"), F.lit(step)), lambda i: F.element_at("_bounds", i))
+    stretch = F.greatest(F.size(F.filter(heads, lambda b: b < v)) - 1, F.lit(0)) * step
+    inside = F.size(F.filter(F.slice("_bounds", stretch + 1, F.lit(step)), lambda b: b < v))
+    placed = null_safe_join(counts, spans, keys).withColumn("_bucket", stretch + inside).drop("_bounds")
+    per_bucket = placed.groupBy(*keys, "_bucket").agg(F.sum("n").alias("_rows"), F.count(F.lit(1)).alias("_vals"))
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select(
-        *span_keys,
+        *keys,
         "_bucket",
         F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_rows_before"),
         F.coalesce(F.sum("_vals").over(before), F.lit(0)).alias("_vals_before"),
     )
-    within = Window.partitionBy(*span_keys, "_bucket").orderBy("_v")
-    ranked = placed.join(offsets, [*span_keys, "_bucket"]).select(
-        *span_keys,
+    within = Window.partitionBy(*keys, "_bucket").orderBy("_v")
+    ranked = null_safe_join(placed, offsets, [*keys, "_bucket"]).select(
+        *keys,
         F.col("_v").alias(value),
         "n",
         (F.col("_rows_before") + F.sum("n").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("below"),
         (F.col("_vals_before") + F.row_number().over(within) - 1).alias("values_below"),
         "total",
     )
-    return ranked if keys else ranked.drop("_all")
+    return ranked.drop("_all")
 
 
 def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, p: float, out: str) -> DataFrame:
@@ -146,29 +170,17 @@ def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, p: float, out
 
 
 def percent_rank_by(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
-    """Percent rank of each row's value inside its key: rows below / (rows - 1), 0 for a single row."""
+    """Percent rank of each row's value inside its key: rows below / (rows - 1), 0 for a single row.
+
+    Rows whose value is NULL have no rank and don't count.
+    """
     ranks = value_positions(df, keys, value).select(
-        *keys,
-        F.col(value).alias("_v"),
-        F.coalesce(F.try_divide(F.col("below"), F.col("total") - 1), F.lit(0.0)).alias(out),
+        *keys, value, F.coalesce(F.try_divide(F.col("below"), F.col("total") - 1), F.lit(0.0)).alias(out)
     )
-    return df.withColumn("_v", F.col(value).cast("double")).join(ranks, [*keys, "_v"], "left").drop("_v")
+    return null_safe_join(df, ranks, [*keys, value], "left")
 
 
 def dense_rank_all(df: DataFrame, value: str, out: str) -> DataFrame:
-    """Dense rank of a numeric column over the whole table, starting at 1, without one global window."""
-    distinct = df.select(F.col(value)).distinct()
-    low_high = distinct.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    lo = low_high.select(F.col("_lo").cast("double")).scalar()
-    hi = low_high.select(F.col("_hi").cast("double")).scalar()
-    share = F.coalesce(F.try_divide(F.col(value).cast("double") - lo, hi - lo), F.lit(0.0))
-    placed = distinct.withColumn("_bucket", F.least(F.floor(share * RANK_BUCKETS), F.lit(RANK_BUCKETS - 1)).cast("int"))
-    sizes = placed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_vals"))
-    # At most RANK_BUCKETS rows, so this one-partition window stays tiny.
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_bucket", F.coalesce(F.sum("_vals").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("_bucket").orderBy(value)
-    ranks = placed.join(offsets, "_bucket").select(
-        value, (F.col("_before") + F.row_number().over(within)).cast("bigint").alias(out)
-    )
+    """Dense rank of a column over the whole table, starting at 1, without one global window; NULL has no rank."""
+    ranks = value_positions(df, [], value).select(value, (F.col("values_below") + 1).cast("bigint").alias(out))
     return df.join(ranks, value, "left")

@@ -94,6 +94,18 @@ def scd2_close_and_insert(current: DataFrame, changes: DataFrame, keys: Sequence
     return scd2_merge(current, changes, keys, cols, at)
 
 
+def ancestors(units: DataFrame) -> DataFrame:
+    """(unit_id, ancestor) for every unit above a unit, however deep; what was found before ends a cycle."""
+    parents = units.where(F.col("parent_id").isNotNull()).select("unit_id", "parent_id").distinct()
+    found = level = cut_lineage(parents.withColumnRenamed("parent_id", "ancestor"))
+    above = parents.select(F.col("unit_id").alias("ancestor"), "parent_id")
+    while not level.isEmpty():
+        higher = level.join(above, "ancestor").select("unit_id", F.col("parent_id").alias("ancestor")).distinct()
+        level = cut_lineage(higher.join(found, ["unit_id", "ancestor"], "left_anti"))
+        found = found.unionByName(level)
+    return found
+
+
 def repath_descendants(units: DataFrame, old_path: str, new_path: str) -> DataFrame:
     """Paths and depths after a subtree moved."""
     shift = new_path.count("/") - old_path.count("/")

@@ -1,10 +1,12 @@
 """Worked examples of identity: reporting lines, grouping, matching, merge and split."""
 
 import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from orgpulse.functions.similarity import _jaro_winkler
 from orgpulse.operators import components, history, identity, matching
 
 STAFF = "tenant_id string, id string, unique_key string, status string, workEmail string, supervisorEmail string, stamp int"
@@ -177,3 +179,33 @@ def test_deactivation_deletes_every_identity_field(spark, rows):
     log = spark.createDataFrame([("t", "s", "7", "status", "", "Terminated"), ("t", "s", "7", "workEmail", "", "a@x.test")], "tenant_id string, source_id string, entity_id string, field_name string, old_value string, new_value string")
     out = history.bootstrap_inputs_from_history(log.withColumn("updated_at", F.lit("2024-01-01").cast("timestamp")), "bamboohr", history.TRACKED["hr_employees"])
     assert rows(out, "operation_type", "alias_type", "alias_value") == [("DELETE", "display_name", ""), ("DELETE", "email", ""), ("DELETE", "employee_id", ""), ("UPSERT", "email", "a@x.test")]
+
+
+def test_review_list_finds_short_names_and_one_letter_starts(spark, rows):
+    names = spark.createDataFrame([("li", 1), ("smith", 2)], "last_name string, group_id int")
+    mails = spark.createDataFrame([("li@x.test", 3), ("smyth@x.test", 4), (None, 5)], "email string, group_id int")
+    got = rows(components.lastname_review_list(names, mails, [], 0.1), "last_name", "email")
+    assert got == [("li", "li@x.test"), ("smith", "smyth@x.test")]
+    with pytest.raises(ValueError):
+        components.lastname_review_list(names, mails, [], 0.0)
+
+
+def test_similar_names_match_all_pairs(spark, rows):
+    rng = random.Random(3)
+    base = ["".join(rng.choice("abcde ") for _ in range(rng.randrange(1, 18))).strip() for _ in range(120)]
+    others = base[:40] + ["Marta Nowosielec".lower()]
+    for name in base:
+        spot = rng.randrange(len(name) + 1)
+        others.append(rng.choice([name[:spot] + "z" + name[spot:], name[:spot] + name[spot + 1 :], name[:spot] + name[spot + 1 : spot + 2] + name[spot : spot + 1] + name[spot + 2 :]]))
+    base.append("marka nowosielec")
+    frame = lambda names: spark.createDataFrame([("t", n) for n in names], "tenant_id string, name string")
+    got = rows(matching.similar_names(frame(base), frame(others)), "name", "other")
+    want = sorted({(a, b) for a in base for b in others if a and b and _jaro_winkler(a, b) >= matching.NAME_SIMILARITY}, key=repr)
+    assert got == want and ("marka nowosielec", "marta nowosielec") in got
+
+
+def test_two_supervisors_give_one_row(spark, rows):
+    lines = [("t", "top", None), ("t", "b", "top"), ("t", "c", "top"), ("t", "d", "b"), ("t", "d", "c"), ("t", "d", "top"), ("t", "e", "d")]
+    store = spark.createDataFrame(lines, "tenant_id string, person_id string, supervisor_id string")
+    got = rows(identity.subordinates(store, "top"), "person_id", "depth")
+    assert got == [("b", 1), ("c", 1), ("d", 1), ("e", 2)]

@@ -99,3 +99,22 @@ def test_positions_and_neighbours_keep_null_keys_and_times(spark):
     assert sorted((r.key or "", r.v, r.n) for r in numbered.collect()) == [("", "a", 2), ("", "b", 3), ("", "c", 1), ("k", "d", 1), ("k", "e", 2)]
     before = ordered.with_neighbour(df.where("at IS NOT NULL"), ["key"], ["at"], {"last": "v"}, F.floor(F.col("at") / 5), "previous")
     assert {r.v: r.last for r in before.collect()} == {"a": None, "b": "a", "e": None}
+
+
+def test_positions_keep_null_groups_large_integers_and_outliers(spark):
+    big = 2**60
+    rows = [(None, big), (None, big + 1), (None, None), ("k", 5), ("k", 10**15)] + [("k", i) for i in range(5000)]
+    df = spark.createDataFrame(rows, "key string, value bigint")
+    got = {(r.key, r.value): (r.n, r.below, r.values_below, r.total) for r in ordered.value_positions(df, ["key"], "value", 16).collect()}
+    assert got[None, big] == (1, 0, 0, 2) and got[None, big + 1] == (1, 1, 1, 2)
+    assert got["k", 10**15] == (1, 5001, 5000, 5002) and got["k", 6] == (1, 7, 6, 5002)
+    ranks = {(r.key, r.value): r.pr for r in ordered.percent_rank_by(df, ["key"], "value", "pr").collect()}
+    assert ranks[None, None] is None and ranks[None, big + 1] == 1.0
+    assert {r.key: r.q for r in ordered.exact_quantile(df, ["key"], "value", 0.5, "q").collect()} == {None: big + 1, "k": 2500}
+
+
+def test_as_of_join_keeps_facts_without_key_or_time(spark):
+    facts = spark.createDataFrame([("a", 5, 1), ("a", 25, 2), ("a", None, 3), (None, 7, 4), ("b", 1, 5)], "key string, at int, id int")
+    log = spark.createDataFrame([("a", 5, 1), ("a", 5, 2), ("a", 9, None), (None, 3, 8), ("b", 2, 9), ("a", None, 7)], "key string, at int, seen int")
+    got = {r.id: r.seen for r in ordered.as_of_join(facts, log, ["key"], "at", "seen", lambda at: F.floor(at / 10)).collect()}
+    assert got == {1: 2, 2: 2, 3: None, 4: 8, 5: None}
