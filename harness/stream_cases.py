@@ -410,8 +410,8 @@ _KNOWN_NAME = f"substr({_NAME}, 1, (c_custkey % 14)::int) || 'x' || substr({_NAM
 @case(
     "match_names",
     f"""
-WITH d AS (SELECT 't' || (c_custkey % 2) AS tenant_id, 'git' AS source_type, 'display_name' AS alias_type, {_NAME} AS alias_value FROM <customer>), k AS (SELECT 't' || (c_custkey % 2) AS tenant_id, 'P' || c_custkey AS person_id, {_KNOWN_NAME} AS p FROM <customer>),
-rated AS (SELECT d.*, person_id, jaro_winkler_similarity(alias_value, p) >= 0.95 AS near, {_soundex('alias_value')} = {_soundex('p')} AS alike FROM d JOIN k USING (tenant_id))
+WITH d AS (SELECT 't' || (c_custkey % 2) AS tenant_id, 'git' AS source_type, 'display_name' AS alias_type, {_NAME} AS alias_value, {_soundex(_NAME)} AS sound FROM <customer>), k AS (SELECT 't' || (c_custkey % 2) AS tenant_id, 'P' || c_custkey AS person_id, {_KNOWN_NAME} AS p, {_soundex(_KNOWN_NAME)} AS known_sound FROM <customer>),
+rated AS (SELECT d.*, person_id, jaro_winkler_similarity(alias_value, p) >= 0.95 AS near, sound = known_sound AS alike FROM d JOIN k USING (tenant_id))
 SELECT tenant_id, person_id, source_type, alias_type, alias_value, if(near, 'name_jaro_winkler', 'name_soundex') AS rule, if(near, 0.75, 0.6)::DOUBLE AS confidence FROM rated WHERE near OR alike""",
 )
 def fuzzy_names(t):
