@@ -12,7 +12,7 @@ SAMPLE = ["mtr_git_person_weekly", "bullet_ic_collab", "temporal_join", "fields_
 def test_every_sql_belongs_to_a_query():
     queries, sql = contract.queries(), contract.oracle_sql()
     assert set(sql) <= set(queries)
-    # Queries without SQL: a queue checked against the walk-through, a sketch, two hashes without a SQL twin.
+    # Queries without SQL: a queue checked against the walk-through, a sketch, a hash without a SQL twin.
     # The training-data subpackage tests its own and may be absent.
     own = set(queries) - set(contract.LLM)
     assert own - set(sql) == {"bootstrap_job_unmapped", "distinct_aggregate_approx", "scalar_row_hash"}
