@@ -98,11 +98,13 @@ case("throughput", "SELECT tenant_id, date_trunc('week', done_at)::DATE::VARCHAR
 @case(
     "wip_snapshots",
     """
-WITH cal AS (SELECT DISTINCT o_orderdate::DATE AS day FROM <orders> WHERE o_orderdate < TIMESTAMP '1996-01-01'), p AS (SELECT tenant_id, status, entered_at::DATE AS a, exited_at::DATE AS b FROM <v_periods>)
-SELECT k.tenant_id, k.status, day::VARCHAR AS day, (SELECT count(*) FROM p WHERE p.tenant_id = k.tenant_id AND p.status = k.status AND p.a <= cal.day AND (p.b IS NULL OR p.b > cal.day)) AS items FROM cal, (SELECT DISTINCT tenant_id, status FROM p) k""",
+WITH cal AS (SELECT DISTINCT o_orderdate::DATE AS day FROM <orders>), p AS (SELECT tenant_id, status, entered_at::DATE AS a, exited_at::DATE AS b FROM <v_periods>),
+  moves AS (SELECT tenant_id, status, a AS day, 1 AS d FROM p UNION ALL SELECT tenant_id, status, b, -1 FROM p WHERE b IS NOT NULL UNION ALL SELECT tenant_id, status, day, 0 FROM (SELECT DISTINCT tenant_id, status FROM p), cal),
+  stock AS (SELECT tenant_id, status, day, sum(sum(d)) OVER (PARTITION BY tenant_id, status ORDER BY day)::BIGINT AS items FROM moves GROUP BY tenant_id, status, day)
+SELECT tenant_id, status, s.day::VARCHAR AS day, items FROM stock s SEMI JOIN cal USING (day)""",
 )
 def wip(t):
-    calendar = t["orders"].where(F.col("o_orderdate") < F.lit("1996-01-01").cast("timestamp")).select(F.to_date("o_orderdate").alias("day")).distinct()
+    calendar = t["orders"].select(F.to_date("o_orderdate").alias("day")).distinct()
     return flow.wip_snapshots(periods(t), calendar, ["tenant_id", "status"])
 
 
@@ -206,10 +208,21 @@ case(
     "comm_volume_by_platform",
     "SELECT tenant_id, user_email, sum(count) AS total_events, " + ", ".join(f"COALESCE(sum(CASE WHEN source = '{s}' THEN count END),0) AS {s}_events" for s in _SRC) + " FROM <v_comm_events> GROUP BY tenant_id, user_email ORDER BY total_events DESC, tenant_id, user_email LIMIT 20",
 )(lambda t: communication.comm_volume_by_platform(comm_events(t), _SRC, 20))
-case("comm_daily_trend", "SELECT tenant_id, e.event_date::VARCHAR AS event_date, source, sum(count) AS total_events, count(DISTINCT user_email) AS active_users FROM <v_comm_events> e GROUP BY tenant_id, e.event_date, source")(
+# How often a user did what, said of the events: per source, channel and direction a remainder of k.
+_DONE_BY = [
+    ("ms365_teams", "chat_group", "outbound", "CASE WHEN event_id % 11 > 0 THEN k % 7 END"), ("ms365_teams", "chat_private", "outbound", "k % 5"), ("ms365_teams", "channel_post", "outbound", "k % 9"),
+    ("ms365_teams", "channel_reply", "outbound", "k % 8"), ("ms365_teams", "call", "outbound", "k % 4"), ("ms365_teams", "meeting", "engagement", "CASE WHEN event_id % 7 > 0 THEN k % 3 END"),
+    ("ms365_email", "email_sent", "outbound", "CASE WHEN event_id % 17 > 0 THEN k % 10 END"), ("ms365_email", "email_received", "inbound", "k % 12"), ("ms365_email", "email_read", "engagement", "k % 11"),
+]
+V["v_done_by"] = (
+    " UNION ALL ".join(f"SELECT tenant_id, day, lower(office_name) AS who, '{s}' AS source, '{c}' AS channel, '{d}' AS direction, {n} AS times FROM <v_named_events> WHERE event_id % 53 > 0" for s, c, d, n in _DONE_BY)
+    + " UNION ALL SELECT 't' || (user_id % 2), ts::DATE, 'user' || user_id || '@example.com', 'zulip', 'chat', 'outbound', regexp_extract(props, '([0-9]+)', 1)::BIGINT % 6 + 1 FROM <events> WHERE user_id IN (SELECT c_custkey FROM <customer>)"
+)
+V["v_done_by_some"] = "SELECT tenant_id, day, who, source, channel, direction, sum(times)::DOUBLE AS times FROM <v_done_by> WHERE times > 0 GROUP BY ALL"
+case("comm_daily_trend", "SELECT tenant_id, day::VARCHAR AS event_date, source, sum(times) AS total_events, len(list_distinct(list(who))) AS active_users FROM <v_done_by_some> GROUP BY tenant_id, day, source")(
     lambda t: communication.comm_daily_trend(comm_events(t))
 )
-case("comm_channel_breakdown", "SELECT tenant_id, source, channel, direction, sum(count) AS total_events, count(DISTINCT user_email) AS unique_users FROM <v_comm_events> GROUP BY ALL")(
+case("comm_channel_breakdown", "SELECT tenant_id, source, channel, direction, sum(times) AS total_events, len(list_distinct(list(who))) AS unique_users FROM <v_done_by_some> GROUP BY ALL")(
     lambda t: communication.comm_channel_breakdown(comm_events(t))
 )
 case(
@@ -237,8 +250,9 @@ case(
 )(lambda t: communication.sharepoint_onedrive_join(t["b_sharepoint"], t["b_onedrive"]))
 case(
     "active_users_trend",
-    "SELECT tenant_id, reportRefreshDate, sum(visitedPageCount) AS total, count(DISTINCT CASE WHEN visitedPageCount > 0 THEN userPrincipalName END) AS active_users FROM <b_sharepoint> WHERE userPrincipalName IS NOT NULL GROUP BY ALL",
-)(lambda t: communication.active_users_trend(t["b_sharepoint"].where(F.col("userPrincipalName").isNotNull()), "visitedPageCount"))
+    """WITH visits AS (SELECT tenant_id, day, office_name, sum(k % 13)::DOUBLE AS n FROM <v_named_events> GROUP BY ALL)
+SELECT tenant_id, day::VARCHAR AS reportRefreshDate, sum(n) AS total, count(office_name) FILTER (n > 0) AS active_users FROM visits GROUP BY tenant_id, day""",
+)(lambda t: communication.active_users_trend(t["b_sharepoint"], "visitedPageCount"))
 
 case(
     "ticket_refs_to_tasks",
@@ -275,8 +289,8 @@ case(
     + ", ".join(f"round(COALESCE(sum(CASE WHEN tool = '{x}' THEN cost END),0),4) AS {x}_cost, COALESCE(sum(CASE WHEN tool = '{x}' THEN ai_lines END),0) AS {x}_lines" for x in ("cursor", "code"))
     + " FROM <b_tool_usage> GROUP BY ALL",
 )(lambda t: dm.cross_tool_comparison(t["b_tool_usage"], ["cursor", "code"]).select("tenant_id", "person_id", *[F.coalesce(F.round(f"{x}_{m}", 4), F.lit(0.0)).alias(f"{x}_{m}") for x in ("cursor", "code") for m in ("cost", "lines")]))
-case("seat_activity", "SELECT user_id, last_at::VARCHAR AS last_activity_at, CASE WHEN last_at > TIMESTAMP '2024-01-20' - INTERVAL 1 DAY AND last_at <= TIMESTAMP '2024-01-20' THEN 1 ELSE 0 END AS is_active FROM (SELECT user_id, max(ts) AS last_at FROM <events> WHERE ts <= TIMESTAMP '2024-01-20' GROUP BY ALL)")(
-    lambda t: dm.seat_activity(t["events"].where(F.col("ts") <= F.lit("2024-01-20").cast("timestamp")).groupBy("user_id").agg(F.max("ts").alias("last_activity_at")), "2024-01-20", 1)
+case("seat_activity", "SELECT user_id, last_at::VARCHAR AS last_activity_at, CASE WHEN last_at > TIMESTAMP '2024-01-20' - INTERVAL 1 DAY AND last_at <= TIMESTAMP '2024-01-20' THEN 1 ELSE 0 END AS is_active FROM (SELECT user_id, max(ts) AS last_at FROM <events> GROUP BY ALL)")(
+    lambda t: dm.seat_activity(t["events"].groupBy("user_id").agg(F.max("ts").alias("last_activity_at")), "2024-01-20", 1)
 )
 case("org_ai_usage", "SELECT tenant_id, day::VARCHAR AS day, sum(tabs_shown) AS shown, sum(tabs_accepted) AS accepted, round(sum(tabs_accepted) / nullif(sum(tabs_shown),0), 6) AS acceptance_rate FROM <b_tool_usage> u GROUP BY tenant_id, u.day")(
     lambda t: dm.org_ai_usage(t["b_tool_usage"].withColumnsRenamed({"tabs_shown": "shown", "tabs_accepted": "accepted"}))

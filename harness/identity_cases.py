@@ -129,9 +129,11 @@ def _uuid(*parts: str) -> str:
     return "concat_ws('-', " + ", ".join(f"substr({digest}, {s}, {n})" for s, n in cuts) + ")"
 
 
+# A customer is one member, seen twice; the second time stands. Every 33rd has an empty e-mail and every 35th none.
 V["v_latest_members"] = f"""
-SELECT *, lower(trim(email)) AS mail, {_uuid("'tenant'", "COALESCE(tenant_id,'')")} AS tenant_uuid FROM <b_members> WHERE email IS NOT NULL AND trim(email) <> ''
-QUALIFY row_number() OVER (PARTITION BY lower(trim(email)), COALESCE(tenant_id,'') ORDER BY _airbyte_extracted_at DESC, id DESC) = 1"""
+SELECT {_uuid("'tenant'", "'t' || (c_custkey % 2)")} AS tenant_uuid, 'm' || c_custkey || '-1' AS id, 'user' || c_custkey || '@example.com' AS mail, ' User' || c_custkey || '@Example.com' AS email,
+  CASE WHEN c_custkey % 12 > 0 THEN c_name || ' ' END AS name, CASE WHEN c_custkey % 5 > 0 THEN c_mktsegment END AS role, c_acctbal < 0 AS isRemoved
+FROM <customer> WHERE c_custkey % 33 > 0 AND c_custkey % 35 > 0"""
 V["v_persons"] = f"""
 SELECT {_uuid("'person'", "tenant_uuid", "mail")} AS id, tenant_uuid, COALESCE(name,'') AS display_name, CASE WHEN isRemoved THEN 'inactive' ELSE 'active' END AS status, mail AS email, COALESCE(role,'') AS role,
   ((CASE WHEN name <> '' THEN 1 ELSE 0 END) + 1 + (CASE WHEN role <> '' THEN 1 ELSE 0 END)) / 7.0 AS completeness_score FROM <v_latest_members>"""

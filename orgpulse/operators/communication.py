@@ -158,10 +158,10 @@ def sharepoint_onedrive_join(sharepoint: DataFrame, onedrive: DataFrame) -> Data
 
 
 def active_users_trend(report: DataFrame, measure: str) -> DataFrame:
-    """Total of a measure and users with any of it, per report day."""
+    """Total of a measure and known users with any of it, per report day. Rows without a user count in the total."""
     per_user = report.groupBy("tenant_id", "reportRefreshDate", "userPrincipalName").agg(
         F.sum(measure).alias("_total"), F.max(measure).alias("_most")
     )
     return per_user.groupBy("tenant_id", "reportRefreshDate").agg(
-        F.sum("_total").alias("total"), fx.count_where(F.col("_most") > 0).alias("active_users")
+        F.sum("_total").alias("total"), fx.count_where(F.col("userPrincipalName").isNotNull() & (F.col("_most") > 0)).alias("active_users")
     )
