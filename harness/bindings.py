@@ -467,6 +467,17 @@ SELECT tenant_id, 'cursor' AS source_id, 'u' || user_id::string AS unique_key, '
   'Name ' || floor(user_id / 2)::bigint::string AS name, event_type AS role, k % 4 = 0 AS isRemoved, CASE WHEN k % 9 = 0 THEN '' ELSE 'w' || (k % 3)::string END AS label, '{"team":"' || (k % 2)::string || '"}' AS raw_data
 FROM <b_ev> e
 """
+B["b_slack_log"] = """
+SELECT tenant_id, 'slack' AS source_id, 's' || user_id::string AS unique_key, event_id, ts AS _tracked_at, mail AS email, 'Nick' || (k % 2)::string AS display_name, 'Real ' || floor(k / 50)::bigint::string AS real_name,
+  k % 7 = 0 AS is_admin, false AS is_owner, k % 11 = 0 AS is_restricted, false AS is_ultra_restricted, CASE WHEN k % 13 = 0 THEN NULL ELSE k % 2 = 0 END AS is_bot, event_type = 'error' AS deleted, 'zone ' || (user_id % 3)::string AS tz
+FROM <b_ev> e
+"""
+B["b_zoom_log"] = """
+SELECT tenant_id, 'zoom' AS source_id, 'z' || user_id::string AS unique_key, 'z' || user_id::string AS id, event_id, ts AS _tracked_at, 'First' || (user_id % 50)::string AS first_name, 'Last' || floor(k / 40)::bigint::string AS last_name,
+  CASE WHEN k % 6 = 0 THEN '' ELSE 'Shown ' || (k % 2)::string END AS display_name, mail AS email, 'dept ' || floor(k / 30)::bigint::string AS dept, CASE WHEN event_type = 'error' THEN 'inactive' ELSE 'active' END AS status,
+  (k % 3)::string AS role_id, 'UTC' AS timezone, CASE WHEN k % 17 = 0 THEN NULL ELSE 'en' END AS language, '+1' || (user_id % 9)::string AS phone_number, 'E' || user_id::string AS employee_unique_id, (k % 2 + 1)::string AS type
+FROM <b_ev> e
+"""
 B["b_members_now"] = """
 SELECT 't' || (c_custkey % 2)::string AS tenant_id, 'cursor' AS source_id, 'u' || c_custkey::string AS unique_key, 'u' || c_custkey::string AS id,
   'Name ' || floor(c_custkey / 2)::bigint::string AS name, CASE WHEN c_custkey % 3 = 0 THEN 'view' WHEN c_custkey % 3 = 1 THEN 'click' ELSE 'error' END AS role, c_custkey % 5 = 0 AS isRemoved

@@ -67,6 +67,49 @@ def hr_field_log(t):
     return history.history_model("hr_employees", t["b_employees"].withColumn("_tracked_at", F.col("_airbyte_extracted_at")))
 
 
+# Tracked fields of chat and call accounts, said of the events that change them.
+_KEYED = "SELECT *, regexp_extract(props, '([0-9]+)', 1)::BIGINT AS k FROM <events>"
+_SLACK_NOW = {
+    "email": "'User' || user_id || '@Example.com'", "display_name": "CASE WHEN k % 2 = 0 THEN 'Nick0' ELSE 'Nick1' END", "real_name": "'Real ' || (k // 50)", "is_admin": "k % 7 = 0", "is_owner": "false", "is_restricted": "k % 11 = 0",
+    "is_ultra_restricted": "false", "is_bot": "CASE WHEN k % 13 > 0 THEN k % 2 = 0 END", "deleted": "event_type = 'error'", "tz": "'zone ' || (user_id % 3)",
+}
+_ZOOM_NOW = {
+    "first_name": "'First' || (user_id % 50)", "last_name": "'Last' || (k // 40)", "display_name": "CASE WHEN k % 6 > 0 THEN 'Shown ' || (k % 2) ELSE '' END", "email": "'User' || user_id || '@Example.com'", "dept": "'dept ' || (k // 30)",
+    "status": "CASE event_type WHEN 'error' THEN 'inactive' ELSE 'active' END", "role_id": "k % 3", "timezone": "'UTC'", "language": "CASE WHEN k % 17 > 0 THEN 'en' END", "phone_number": "'+1' || (user_id % 9)", "employee_unique_id": "'E' || user_id", "type": "1 + k % 2",
+}
+
+
+def _changed_accounts(letter: str, fields: dict[str, str]) -> str:
+    """Accounts whose newest event leaves any field otherwise than their first one did."""
+    state = "struct_pack(" + ", ".join(f"{f} := ({e})::VARCHAR" for f, e in fields.items()) + ")"
+    return f"""WITH ends AS (SELECT user_id, min_by({state}, (ts, event_id)) AS was, max_by({state}, (ts, event_id)) AS now FROM ({_KEYED}) GROUP BY user_id)
+SELECT '{letter}' || user_id AS unique_key, now.email AS email, now.display_name AS display_name FROM ends WHERE was IS DISTINCT FROM now"""
+
+
+def _field_changes(letter: str, source: str, fields: dict[str, str]) -> str:
+    """Every event that sets a field otherwise than the event before it, and first values that aren't empty."""
+    values = ", ".join(f"struct_pack(f := '{f}', v := ({e})::VARCHAR)" for f, e in fields.items())
+    return f"""WITH told AS (SELECT user_id, ts, event_id, x.f AS f, x.v AS v FROM (SELECT *, unnest([{values}]) AS x FROM ({_KEYED}))), beside AS (SELECT *, lag(v) OVER w AS was, row_number() OVER w AS nth FROM told WINDOW w AS (PARTITION BY user_id, f ORDER BY ts, event_id))
+SELECT '{letter}' || user_id AS entity_id, 't' || (user_id % 2) AS tenant_id, '{source}' AS source_id, f AS field_name, CASE WHEN nth > 1 THEN was ELSE '' END AS old_value, v AS new_value, ts::VARCHAR AS updated_at FROM beside WHERE v <> CASE WHEN nth > 1 THEN was ELSE '' END"""
+
+
+def _account_snapshot(t, source: str, log: str):
+    """First states stored, then the newest ones offered."""
+    rows = t[log].withColumn("at_", F.struct("_tracked_at", "event_id"))
+    at = F.col("_tracked_at")
+
+    def end(pick):
+        return rows.groupBy("unique_key").agg(pick(F.struct(*[c for c in rows.columns if c not in ("unique_key", "at_")]), "at_").alias("r")).select("unique_key", "r.*")
+
+    stored = history.snapshot_model(source, end(F.min_by), None, at)
+    return history.snapshot_model(source, end(F.max_by), stored, at).select("unique_key", "email", "display_name")
+
+
+case("snapshot_slack_users", _changed_accounts("s", _SLACK_NOW))(lambda t: _account_snapshot(t, "slack_users", "b_slack_log"))
+case("snapshot_zoom_users", _changed_accounts("z", _ZOOM_NOW))(lambda t: _account_snapshot(t, "zoom_users", "b_zoom_log"))
+case("history_slack_users", _field_changes("s", "slack", _SLACK_NOW))(lambda t: history.history_model("slack_users", t["b_slack_log"], order=["event_id"]))
+case("history_zoom_users", _field_changes("z", "zoom", _ZOOM_NOW))(lambda t: history.history_model("zoom_users", t["b_zoom_log"], order=["event_id"]))
+
 _MEMBER_LOG = " UNION ALL ".join(
     f"SELECT id AS entity_id, tenant_id, source_id, '{f}' AS field_name, CASE WHEN vn = 1 THEN '' ELSE was_{f} END AS old_value, now_{f} AS new_value, _tracked_at::VARCHAR AS updated_at FROM v WHERE (vn = 1 AND now_{f} <> '') OR (vn > 1 AND now_{f} <> was_{f})"
     for f in _MEMBER_COLS

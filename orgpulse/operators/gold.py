@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from orgpulse.functions import scalars as fx
@@ -387,8 +388,32 @@ def ic_chart_loc(closed: DataFrame, people_: DataFrame, weekly_code: DataFrame |
     )
 
 
-def ic_drill(spark: SparkSession) -> DataFrame:
-    return empty_relation(spark, schemas.DRILL_ROWS)
+def ic_drill(spark: SparkSession, commits: DataFrame | None = None, max_listed: int | None = None) -> DataFrame:
+    """Drill rows of commits: one per person, day and source, with the commits' hashes as ``rows``; typed and empty without commits.
+
+    ``value`` counts every commit. A person-day is one row by its nature; with ``max_listed`` only
+    that many hashes, the first in order, are listed, for days on which a bot writes very many.
+    Commits without a date have no day to be listed under.
+    """
+    if commits is None:
+        return empty_relation(spark, schemas.DRILL_ROWS)
+    keys = ["tenant_id", "person_id", "metric_date", "source"]
+    named = commits.where(F.col("date").isNotNull()).select(
+        "tenant_id", F.col("person_key").alias("person_id"), F.to_date("date").cast("string").alias("metric_date"), F.col("data_source").alias("source"), "commit_hash"
+    )
+    total = F.count(F.lit(1)).cast("string").alias("value")
+    if max_listed is None:
+        found = named.groupBy(*keys).agg(total, F.array_sort(F.collect_list("commit_hash")).alias("rows"))
+    else:
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy("commit_hash"))
+        # The window's limit is applied before the shuffle, so a long day is cut where it is read.
+        listed = named.withColumn("_n", place).where(F.col("_n") <= max_listed).groupBy(*keys).agg(F.array_sort(F.collect_list("commit_hash")).alias("rows"))
+        same = [F.col(f"n.{k}").eqNullSafe(F.col(f"l.{k}")) for k in keys]
+        found = named.groupBy(*keys).agg(total).alias("n").join(listed.alias("l"), same, "left").select("n.*", "l.rows")
+    return found.select(
+        "tenant_id", "person_id", F.lit(None).cast("string").alias("org_unit_id"), "metric_date", F.lit("commits").alias("drill_id"), F.lit("Commits").alias("title"),
+        "source", F.lit("git").alias("src_class"), "value", F.lit("").alias("filter"), F.array(F.lit("commit_hash"), F.lit("repo_slug")).alias("columns"), "rows",
+    )
 
 
 def ic_timeoff(leave_events: DataFrame | None, spark: SparkSession | None = None) -> DataFrame:

@@ -117,8 +117,13 @@ def date_range_inside(rows: DataFrame, date_from: str | None, date_to: str | Non
     return rows
 
 
-def clamp_top(top: int | None) -> int:
-    return min(max(DEFAULT_TOP if top is None else top, MIN_TOP), MAX_TOP)
+def page_size(top: int | None) -> int:
+    """Rows of one page: the default if none is asked for. What is outside the bounds is refused, not cut; ask for further pages."""
+    if top is None:
+        return DEFAULT_TOP
+    if not MIN_TOP <= top <= MAX_TOP:
+        raise ValueError(f"a page has {MIN_TOP} to {MAX_TOP} rows, not {top}; go on with after= for more")
+    return top
 
 
 def top_with_has_next(df: DataFrame, top: int, order: Sequence[Column]) -> DataFrame:
@@ -167,9 +172,15 @@ def query_metric(
     select: Sequence[str] | None = None,
     orderby: Sequence[str] = (),
     top: int | None = None,
+    after: Sequence[object] | None = None,
 ) -> DataFrame:
     """Run a catalogued metric. Dates bound the input rows; scope filters are on result columns,
-    which Catalyst pushes below the aggregate when they are grouping keys."""
+    which Catalyst pushes below the aggregate when they are grouping keys.
+
+    A page with ``has_next`` is followed by the one ``after`` the values its last row has in the
+    ordering's columns, which must then tell all rows apart. Values are those of the page, rounded
+    as they are there; nulls come first in ascending and last in descending order.
+    """
     spec = catalog.enabled(name)
     out = spec.compute(date_range_inside(spec.rows(), date_from, date_to))
     for col, wanted in (("person_id", person_id), ("org_unit_id", org_unit_id), ("drill_id", drill_id)):
@@ -177,8 +188,29 @@ def query_metric(
             out = out.where(F.col(col) == wanted)
     if select:
         out = out.select(*select)
-    order = ordering(*orderby) or [F.col(c).asc() for c in out.columns if c not in ("ai_tools", "columns", "rows")]
-    return round_floats(top_with_has_next(out, clamp_top(top), order))
+    out = round_floats(out)
+    keys = list(orderby) or [c for c in out.columns if c not in ("ai_tools", "columns", "rows")]
+    order = ordering(*keys)
+    if after is not None:
+        out = out.where(_past(keys, after))
+    return top_with_has_next(out, page_size(top), order)
+
+
+def _past(keys: Sequence[str], values: Sequence[object]) -> Column:
+    """Rows that come after one with the given values, in the order of the keys."""
+    if len(values) != len(keys):
+        raise ValueError(f"{len(keys)} values are needed, one for each of {list(keys)}")
+    out, same = F.lit(False), F.lit(True)
+    for key, value in zip(keys, values):
+        name, _, way = key.partition(" ")
+        col = F.col(name)
+        if way.lower() == "desc":
+            beyond = F.lit(False) if value is None else col.isNull() | (col < F.lit(value))
+        else:
+            beyond = col.isNotNull() if value is None else col > F.lit(value)
+        out = out | (same & F.coalesce(beyond, F.lit(False)))
+        same = same & col.eqNullSafe(F.lit(value))
+    return out
 
 
 def tenant_query(

@@ -40,6 +40,26 @@ def read_if_exists(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
+def in_partitions(batch: DataFrame, partition_by: Sequence[str], max_values: int = 10_000) -> Column:
+    """Condition on the partition columns that holds for every partition a batch touches.
+
+    Its values stand in the query, so that the scan lists and reads only these folders. They are
+    folded on the executors; the driver gets at most ``max_values`` of each column. A column with more
+    (a batch that touches most of the table) gets a range instead, which holds for all of them too.
+    """
+    keep = F.lit(True)
+    for name in partition_by:
+        found = [r[0] for r in batch.select(name).distinct().limit(max_values + 1).collect()]
+        if len(found) > max_values:
+            low, high = batch.agg(F.min(name), F.max(name)).first()
+            inside, nulls = F.col(name).between(F.lit(low), F.lit(high)), True
+        else:
+            values = [v for v in found if v is not None]
+            inside, nulls = F.col(name).isin(values), len(values) < len(found)
+        keep = keep & (inside | F.col(name).isNull() if nulls else inside)
+    return keep
+
+
 def upsert_by_key(
     batch: DataFrame,
     path: str,
@@ -50,8 +70,8 @@ def upsert_by_key(
 ) -> None:
     """Replace stored rows that share a key with the batch; newest by ``order`` wins.
 
-    ``partition_by`` columns must follow from the key. Only partitions the
-    batch touches are read and rewritten. The merged rows are staged first, so
+    ``partition_by`` columns must follow from the key. Only partitions that have
+    the batch's values of each column are read and rewritten. The merged rows are staged first, so
     the target is never read while it is overwritten; running a batch twice
     gives the same target.
     """
@@ -60,8 +80,7 @@ def upsert_by_key(
     rows = batch
     if stored is not None:
         if partition_by:
-            touched = batch.select(*partition_by).distinct()
-            stored = stored.join(touched, list(partition_by), "left_semi")
+            stored = stored.where(in_partitions(batch, partition_by))
         rows = stored.unionByName(batch.select(stored.columns))
     merged = latest_per_key(rows, keys, order)
     stage = staging or f"{path.rstrip('/')}__staging"

@@ -2,6 +2,8 @@
 
 from datetime import datetime
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,7 +124,10 @@ def test_ordering_refuses(spark, bad):
 
 
 def test_top_is_clamped_and_has_next(spark):
-    assert [query.clamp_top(x) for x in (None, 0, 5, 999)] == [25, 1, 5, 200]
+    assert [query.page_size(x) for x in (None, 1, 5, 200)] == [25, 1, 5, 200]
+    for outside in (0, 201, 999):
+        with pytest.raises(ValueError, match="1 to 200"):
+            query.page_size(outside)
     df = spark.range(3)
     assert [r.has_next for r in query.top_with_has_next(df, 2, [F.col("id")]).collect()] == [True, True]
     assert [r.has_next for r in query.top_with_has_next(df, 3, [F.col("id")]).collect()] == [False] * 3
@@ -147,6 +152,47 @@ def test_dates_apply_before_aggregation(spark):
         query.query_metric(query.Catalog(), "m")
 
 
+def test_metric_pages_go_on_to_the_end(spark):
+    data = spark.createDataFrame([(f"p{i}", None if i % 5 == 0 else float(i % 3) / 3) for i in range(23)], "person_id string, v double")
+    catalog = query.Catalog().add(query.MetricSpec("m", "", lambda: data, lambda rows: rows))
+    for orderby in (["v desc", "person_id"], ["v", "person_id desc"]):
+        seen, after = [], None
+        while True:
+            page = query.query_metric(catalog, "m", orderby=orderby, top=4, after=after).collect()
+            seen += [r.person_id for r in page]
+            if not page[-1].has_next:
+                break
+            after = [page[-1].v, page[-1].person_id]
+        assert len(seen) == 23 and len(set(seen)) == 23
+        assert seen == [r.person_id for r in query.query_metric(catalog, "m", orderby=orderby, top=100).collect()]
+    with pytest.raises(ValueError, match="2 values"):
+        query.query_metric(catalog, "m", orderby=["v", "person_id"], after=[1.0])
+
+
+def test_drill_rows_of_commits(spark):
+    commits = spark.createDataFrame([("t", "p", "2024-01-01 10:00:00", "git", f"c{i}") for i in range(5)] + [("t", "q", None, "git", "x")], "tenant_id string, person_key string, date string, data_source string, commit_hash string")
+    (row,) = gold.ic_drill(spark, commits).collect()
+    assert (row.person_id, row.metric_date, row.value, row.rows) == ("p", "2024-01-01", "5", ["c0", "c1", "c2", "c3", "c4"])
+    (short,) = gold.ic_drill(spark, commits, max_listed=2).collect()
+    assert (short.value, short.rows) == ("5", ["c0", "c1"]) and set(gold.ic_drill(spark).columns) == set(short.asDict())
+
+
+def test_upsert_reads_only_touched_partitions(spark, tmp_path, capsys):
+    from orgpulse.streaming import incremental
+
+    path = f"{tmp_path}/t"
+    for batch in ([("a", 1, 1), ("b", 1, 1), (None, 1, 1)], [("a", 1, 2), ("a", 2, 1)], [(None, 1, 3)]):
+        incremental.upsert_by_key(spark.createDataFrame(batch, "part string, id int, version int"), path, ["part", "id"], ["version"], ["part"])
+    assert sorted(((r.part or "", r.id, r.version) for r in spark.read.parquet(path).collect())) == [("", 1, 3), ("a", 1, 2), ("a", 2, 1), ("b", 1, 1)]
+    batch = spark.createDataFrame([("a", 9, 9), ("a", 8, 9)], "part string, id int, version int")
+    read = spark.read.parquet(path).where(incremental.in_partitions(batch, ["part"]))
+    capsys.readouterr()
+    read.explain("formatted")
+    assert re.search(r"PartitionFilters: \[[^\]]*part#", capsys.readouterr().out)
+    wide = spark.read.parquet(path).where(incremental.in_partitions(spark.createDataFrame([("a",), ("b",)], "part string"), ["part"], max_values=1))
+    assert wide.count() == 4
+
+
 def test_union_skips_missing_tables_and_needs_one(spark):
     registry = Registry().add("gone", {"x", "y"}, table_model(spark, "no_such_table")).add("here", {"x"}, lambda: spark.range(2))
     assert union_by_tag(registry, "x").count() == 2
