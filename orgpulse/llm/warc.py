@@ -8,7 +8,8 @@ revisit records.
 A null payload is an empty one. Among equal payloads of at least ``min_revisit`` bytes the
 row with the largest id is the response; rows that tie for it are all responses, and rows
 without an id are revisits of it (responses, if no row has one). A null URL is written as
-an empty one. Line breaks in a URL are percent-encoded. Extra columns are not archived.
+an empty one. A URL is written as it is; one with line breaks, which a header can't hold, is
+percent-encoded and marked by a header of its own. Extra columns are not archived.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from orgpulse.session import cut_lineage
 
 MAGIC = 0x184D2A5D
+ESCAPED = "X-Target-URI-Escaped"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 # Bytes of records in one archive, records and bytes of each that the dictionary is built from, and its size.
 ARCHIVE_BYTES = 16 << 20
@@ -35,13 +37,18 @@ SAMPLES, SAMPLE_BYTES, DICTIONARY_BYTES = 500, 16 << 10, 64 << 10
 
 def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
     """One record. A revisit has the HTTP header of the response but not its payload."""
-    uri = (url or "").replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
+    uri = url or ""
+    broken = "\r" in uri or "\n" in uri
+    if broken:
+        uri = uri.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     lines = [
         "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
         f"WARC-Date: {date}", f"WARC-Target-URI: {uri}", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}",
     ]
+    if broken:
+        lines.append(f"{ESCAPED}: line-breaks")
     if refers_to is not None:
         lines += [f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Profile: {PROFILE}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -56,7 +63,9 @@ def parse_record(data: bytes) -> dict:
     length = int(dict(line.split(": ", 1) for line in http.decode().split("\r\n")[1:])["Content-Length"])
     number = lambda name: int(v) if (v := fields.get(name, "")[10:-1]) else None
     response = fields["WARC-Type"] == "response"
-    uri = fields["WARC-Target-URI"].replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
+    uri = fields["WARC-Target-URI"]
+    if ESCAPED in fields:
+        uri = uri.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
     return {"page_id": number("WARC-Record-ID"), "url": uri, "record_type": fields["WARC-Type"], "payload_bytes": length,
             "payload_digest": fields["WARC-Payload-Digest"][5:], "refers_to": number("WARC-Refers-To"), "payload": payload if response else None}
 

@@ -166,6 +166,15 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_archives(spark, empty, warc.write_archives(pages.limit(0), empty)).count() == 0
 
 
+def test_urls_are_archived_as_they_are():
+    for url in ("http://a/b%20c?d=%25", "http://a/%0A", "http://ä.example/ x", ""):
+        record = warc.record_bytes(1, url, b"x", "d", None, "2024-01-01T00:00:00Z")
+        assert f"WARC-Target-URI: {url}\r\n".encode() in record and warc.parse_record(record)["url"] == url
+    for url in ("http://a/\r\nWARC-Type: x%0A", "\n"):
+        record = warc.record_bytes(1, url, b"x", "d", 2, "2024-01-01T00:00:00Z")
+        assert warc.parse_record(record)["url"] == url and warc.parse_record(record)["record_type"] == "revisit"
+
+
 def test_archive_has_its_dictionary_first():
     records = [f"record {i} with common words and more common words {i}".encode() * 20 for i in range(300)]
     data = warc.build_archive(records)
