@@ -45,7 +45,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).drop("text")
+    """Token ids (array<int>) in place of the text, their number, and the digests of ids and decoded bytes to check them by."""
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = bpe.encode_texts(docs, ranks, public_tokenizers.PATTERN).drop("text")
+    return bpe.digest_ids(encoded, ranks, public_tokenizers.PATTERN)
 
 
 STAGES = [

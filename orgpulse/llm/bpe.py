@@ -189,6 +189,8 @@ def encoder(path: str, pattern: str) -> Encoder:
 IDS = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 DIGESTS = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
+SUMS = T.StructType(DIGESTS.fields[1:])
+
 
 def encode_texts(docs: DataFrame, rank_path: str, pattern: str, text_col: str = "text") -> DataFrame:
     """Rows with n_tokens and ids (array<int>) of their whole text."""
@@ -212,6 +214,20 @@ def decode_ids(encoded: DataFrame, rank_path: str, pattern: str, ids_col: str =
     return _widened(encoded, decode(F.col(ids_col)), T.StructType([T.StructField("decoded", T.BinaryType())]))
 
 
+def digest_ids(encoded: DataFrame, rank_path: str, pattern: str, ids_col: str = "ids") -> DataFrame:
+    """Rows with the SHA-256 of their ids (little-endian, 32 bits) and of the bytes they decode to; null ids count as none."""
+
+    @F.pandas_udf(SUMS)
+    def digests(ids: pd.Series) -> pd.DataFrame:
+        own, rows = encoder(rank_path, pattern), []
+        for i in ids:
+            i = np.empty(0, "<u4") if i is None else np.asarray(i, "<u4")
+            rows.append((hashlib.sha256(i.tobytes()).hexdigest(), hashlib.sha256(own.decode(i)).hexdigest()))
+        return pd.DataFrame(rows, columns=SUMS.names)
+
+    return _widened(encoded, digests(F.col(ids_col)), SUMS)
+
+
 def round_trip(docs: DataFrame, rank_path: str, pattern: str, text_col: str = "text") -> DataFrame:
     """Rows with n_tokens and the SHA-256 of the ids (little-endian, 32 bits) and of the bytes they decode to.
 

@@ -69,3 +69,13 @@ def test_tokens_are_those_of_the_mixture(stages):
     text = {r.doc_id: r.text for r in before.collect()}
     for r in after.collect():
         assert r.n_tokens == len(encoding.encode_ordinary(text[r.doc_id])) and r.decoded_sha256 == hashlib.sha256(text[r.doc_id].encode()).hexdigest()
+
+
+def test_token_ids_are_kept(stages):
+    before, after = stages[4]
+    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(queries.rank_path()), special_tokens={})
+    text = {r.doc_id: r.text for r in before.collect()}
+    assert after.columns == ["doc_id", "lang", "source", "n_chars", "n_tokens", "ids", "ids_sha256", "decoded_sha256"]
+    for r in after.collect():
+        assert r.ids == encoding.encode_ordinary(text[r.doc_id]) and len(r.ids) == r.n_tokens
+        assert r.ids_sha256 == hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in r.ids)).hexdigest()
