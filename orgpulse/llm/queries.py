@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orgpulse.llm import bpe, fingerprints, ngram_join, pii, poisson_mix, suffix_dedup, toxicity, url_cascade, vector_search, warc
+from orgpulse.llm import bpe, fingerprints, hard_negatives, ngram_join, pii, poisson_mix, simhash, suffix_dedup, token_alignment, toxicity, url_cascade, vector_search, warc
 from orgpulse.session import ensure_checkpoint_dir
 
 PII_KEY = "surrogates-1"
@@ -73,6 +73,19 @@ def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.group_documents(table(spark, sf_dir, "documents"), words=3, radius=3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": repeats,
     "op2_ngram_jaccard": near_copies,
@@ -84,6 +97,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_posting_lists": neighbours,
     "op9_byte_bpe": tokens,
     "op10_url_cascade": verdicts,
+    "op11_hard_negatives": negatives,
+    "op12_token_alignment": alignments,
+    "op13_simhash_planes": simhash_groups,
 }
 
 SQL: dict[str, str] = {
@@ -119,4 +135,16 @@ SQL: dict[str, str] = {
                            WHERE (s.host = r.host_part OR ends_with(s.host, '.' || r.host_part)) AND starts_with(s.path, r.path_part)) AS hit FROM s)
         SELECT page_id, host, path, hit.rule AS rule,
                coalesce(hit.verdict, CASE WHEN substr(md5(host), 1, 1) IN ('0', '1') THEN 'block' ELSE 'allow' END) AS verdict FROM m""",
+    "op11_hard_negatives": """
+        WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                          list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+                   WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score
+              FROM e a JOIN e c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id),
+        p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+              QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS INT) AS rank,
+               vec_id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 80 * positive_score <= 100 * score AND score <= positive_score
+        QUALIFY rank <= 5""",
 }
