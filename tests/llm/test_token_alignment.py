@@ -93,3 +93,16 @@ def test_very_long_text(spark):
 
 def test_empty_table(spark, rows):
     assert aligned(spark, rows[:0]) == []
+
+
+def test_ranks_encode_as_the_tokenizer_itself(rows):
+    pair = token_alignment.Pair(A, B)
+    texts = [t for _, t in rows if t] + ["a" * 5000, "1" * 999 + " " * 999 + "\n", "don't DON'T 'twas"]
+    assert pair.ranked is not None
+    ranked = pair.encode_a(texts)
+    pair.ranked = None
+    assert ranked == pair.encode_a(texts)
+
+
+def test_other_kinds_of_tokenizers_are_not_ranked():
+    assert token_alignment.rank_encoder(public_tokenizers.path("word_bpe_49k.json")) is None
