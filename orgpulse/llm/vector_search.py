@@ -7,8 +7,9 @@ all vectors of the rest. Nearness is the inner product: with one more component
 gives all vectors the same length, the largest product is the smallest distance.
 
 Equal vectors are one entry with its smallest ids, as many as a result can need, so a
-vector that fills a third of a table is searched once. Long lists are cut into parts and
-many queries of one list into chunks. Vectors that are null, zero, hold null or
+vector that fills a third of a table is searched once. Long lists are cut into parts. Queries
+go in chunks of much the same lists; a task reads such lists one after another and keeps each
+query's best, so its rows follow the queries and not the lists they search. Vectors that are null, zero, hold null or
 non-finite components, or don't have the commonest length take no part, nor do null ids.
 Of rows with equal ids and different vectors each is a candidate of its own.
 """
@@ -19,11 +20,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from orgpulse.llm.blocks import pack, unpack
 from orgpulse.session import cut_lineage
 
 # Rows that the centroids are fitted on, and the most centroids (16 MB at 512 components).
@@ -31,6 +32,9 @@ FIT_ROWS = 32_768
 MAX_LISTS = 4096
 # Queries that the pruning ratio is measured on.
 CALIBRATION_QUERIES = 128
+# Queries of a task, and tasks that share the lists of a chunk of queries.
+CHUNK_QUERIES = 1024
+SLICES = 8
 
 
 @dataclass
@@ -107,10 +111,13 @@ def fit_index(sample: np.ndarray, lists: int, scale: float, degree: int = 24, ro
     c = x[np.sort(random.choice(len(x), lists, replace=False))]
     weight, spread = np.zeros(lists), 0.0
     for _ in range(rounds):
-        d = (c**2).sum(axis=1) - 2 * x @ c.T
-        own = np.argmin(d + weight, axis=1)
+        own, near = np.empty(len(x), np.int64), np.empty(len(x))
+        for at in range(0, len(x), 2048):  # distances of a slab at a time
+            d = (c**2).sum(axis=1) - 2 * x[at : at + 2048] @ c.T
+            own[at : at + 2048] = np.argmin(d + weight, axis=1)
+            near[at : at + 2048] = d[np.arange(len(d)), own[at : at + 2048]]
         size = np.bincount(own, minlength=lists)
-        spread = float(np.maximum(0, d[np.arange(len(x)), own] + (x * x).sum(axis=1)).mean())
+        spread = float(np.maximum(0, near + (x * x).sum(axis=1)).mean())
         weight += 0.05 * spread * np.log((size + 1) / (len(x) / lists + 1))
         sums = np.zeros_like(c)
         np.add.at(sums, own, x)
@@ -144,6 +151,119 @@ def _deal(rows: DataFrame, index: ListIndex, choose, columns: str) -> DataFrame:
     return rows.select("id", "vec").mapInArrow(deal, columns)
 
 
+def _choose(rows: DataFrame, index: ListIndex, choose) -> DataFrame:
+    """Rows (id long, vec) with the lists that ``choose`` gives for a batch of them, nearest first."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                lists = choose(_matrix(batch.column("vec")))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vec"), pa.array([np.asarray(x, np.int32) for x in lists], pa.list_(pa.int32()))], names=["id", "vec", "lists"])
+
+    return rows.select("id", "vec").mapInArrow(deal, "id long, vec array<double>, lists array<int>")
+
+
+def _packed_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (list, part, id, vec) in the order of list and part as one packed value for each run of them in a batch."""
+    for batch in batches:
+        lists, parts = batch.column("list").to_numpy(), batch.column("part").to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], (lists[1:] != lists[:-1]) | (parts[1:] != parts[:-1])])) if len(lists) else []
+        for at, end in zip(starts, [*starts[1:], len(lists)], strict=True):
+            ids, vec = batch.column("id")[at:end].to_numpy(), _matrix(batch.column("vec")[at:end])
+            yield pa.RecordBatch.from_arrays([pa.array(lists[at : at + 1]), pa.array(parts[at : at + 1]), pa.array([[pack(np.concatenate([ids.view(np.float64), vec.ravel()]))]], pa.list_(pa.binary()))], names=["list", "part", "data"])
+
+
+def _packed_chunk(table: pa.Table) -> pa.Table:
+    ids, vec = table.column("id").to_numpy(), _matrix(table.column("vec").combine_chunks())
+    lists = table.column("lists").to_pylist()
+    owner = np.repeat(np.arange(len(ids)), [len(x) for x in lists])
+    numbers = np.concatenate([np.asarray(x, np.int64) for x in lists])
+    data = [pack(x) for x in (ids, vec.ravel(), owner, numbers)]
+    return pa.table({"chunk": table.column("chunk")[:1], "data": pa.array([data], pa.list_(pa.binary()))})
+
+
+class Nearest:
+    """The best entries found so far of each query of a chunk."""
+
+    def __init__(self, data: list[bytes], keep: int):
+        self.keep, self.ids = keep, unpack(data[0], "<i8")
+        self.vec = unpack(data[1], "<f8").reshape(len(self.ids), -1)
+        owner, numbers = unpack(data[2], "<i8"), unpack(data[3], "<i8")
+        order = np.argsort(numbers, kind="stable")
+        self.owner, self.numbers = owner[order], numbers[order]
+        self.least = np.full(len(self.ids), -np.inf)
+        self.query, self.entry, self.score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+
+    def read(self, number: int, data: bytes) -> None:
+        """Compare the queries that search a list with its vectors."""
+        own = self.owner[slice(*np.searchsorted(self.numbers, [number, number + 1]))]
+        if not len(own):
+            return
+        values = unpack(data, "<f8")
+        n = len(values) // (self.vec.shape[1] + 1)
+        ids, v = values[:n].view(np.int64), values[n:].reshape(n, -1)
+        near = self.vec[own] @ v.T
+        # Products by matrix differ from plain sums in the last bits, so whatever is that near is summed plainly.
+        margin = 1e-12 * (np.abs(self.vec[own]) @ np.abs(v.T).max(axis=1) + 1e-300)
+        least = self.least[own]
+        if n > self.keep:
+            least = np.maximum(least, np.partition(near, n - self.keep, axis=1)[:, n - self.keep] - margin)
+        i, j = np.nonzero(near >= (least - margin)[:, None])
+        for at in range(0, len(i), 1 << 16):
+            a, b = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+            # Summed from the first component to the last, as a plain loop does.
+            score = np.cumsum(self.vec[own[a]] * v[b], axis=1)[:, -1]
+            self._offer(own[a], ids[b], score)
+
+    def _offer(self, query: np.ndarray, entry: np.ndarray, score: np.ndarray) -> None:
+        q, e, s = np.concatenate([self.query, query]), np.concatenate([self.entry, entry]), np.concatenate([self.score, score])
+        order = np.lexsort((e, -s, q))
+        q, e, s = q[order], e[order], s[order]
+        # An entry that several lists hold comes with the same score.
+        fresh = np.concatenate([[True], (q[1:] != q[:-1]) | (e[1:] != e[:-1])]) if len(q) else np.empty(0, bool)
+        q, e, s = q[fresh], e[fresh], s[fresh]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        last = place == self.keep - 1
+        self.least[q[last]] = s[last]
+        kept = place < self.keep
+        self.query, self.entry, self.score = q[kept], e[kept], s[kept]
+
+    def result(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[self.query]), pa.array(self.entry), pa.array(self.score)], names=["query", "entry", "score"])
+
+
+def _compared(postings: DataFrame, queries: DataFrame, chunks: int, keep: int, part_rows: int) -> DataFrame:
+    """query, entry and score of the best ``keep`` that each of SLICES tasks a chunk finds in its share of the chunk's lists.
+
+    A task reads lists one after another and gives each query's best of all of them, so rows
+    follow the number of queries, however many lists they search.
+    """
+    sizes = postings.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / part_rows).alias("parts"))
+    parts = postings.join(sizes, "list").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).select("list", "part", "id", "vec")
+    blocks = parts.repartition("list", "part").sortWithinPartitions("list", "part").mapInArrow(_packed_lists, "list int, part long, data array<binary>")
+    wanted = queries.select("chunk", F.explode("lists").alias("list")).distinct()
+    lists = blocks.join(wanted, "list").select("chunk", F.pmod(F.xxhash64("list", "part"), F.lit(SLICES)).cast("int").alias("slice"), F.lit(1).alias("side"), "list", "data")
+    every = F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))).alias("slice")
+    heads = queries.groupBy("chunk").applyInArrow(_packed_chunk, "chunk int, data array<binary>").select("chunk", every, F.lit(0).alias("side"), F.lit(-1).alias("list"), "data")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nearest = None
+        for batch in batches:
+            for side, number, data in zip(batch.column("side").to_pylist(), batch.column("list").to_pylist(), batch.column("data"), strict=True):
+                if side == 0:
+                    if nearest:
+                        yield nearest.result()
+                    nearest = Nearest(data.as_py(), keep)
+                else:
+                    nearest.read(number, data.as_py()[0])
+        if nearest:
+            yield nearest.result()
+
+    tiles = heads.union(lists).repartition(chunks * SLICES, "chunk", "slice").sortWithinPartitions("chunk", "slice", "side", "list")
+    return tiles.mapInArrow(compare, "query long, entry long, score double")
+
+
 def _calibrate(entries: DataFrame, postings: DataFrame, asked: DataFrame, index: ListIndex, k: int, recall: float) -> tuple[float, int]:
     """Ratio within which the given share of true neighbours is found, and lists that it takes at most (with a margin)."""
     sample = asked.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(CALIBRATION_QUERIES).select("id", "vec").toArrow()
@@ -203,35 +323,12 @@ def search(vectors: DataFrame, is_query, k: int = 20, rows_per_list: int = 128,
     postings = cut_lineage(_deal(entries, index, lambda m: index.lists_of(index.lengthen(m), replicas, slack), shape))
     asked = entries.join(queries.select(F.col("entry").alias("id")).distinct(), "id", "left_semi")
     ratio, probes = _calibrate(entries, postings, asked, index, k, recall)
-    probed = cut_lineage(_deal(asked, index, lambda m: index.probes_of(index.lengthen(m, query=True), probes, ratio), shape))
-    # A number a list, at most MAX_LISTS of them.
-    parts = {r.list: -(-r["count"] // part_rows) for r in postings.groupBy("list").count().collect()}
-    chunks = {r.list: -(-r["count"] // part_rows) for r in probed.groupBy("list").count().collect()}
-
-    def number(values: dict[int, int]):
-        return F.coalesce(F.try_element_at(F.lit([values.get(i, 0) for i in range(lists)]).cast("array<int>"), F.col("list") + 1), F.lit(0))
-
-    own = F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), number(parts))).cast("int")
-    left = postings.withColumn("part", own).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.greatest(number(chunks), F.lit(1)) - 1)))
-    cut = F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), number(chunks))).cast("int")
-    right = probed.where(number(parts) > 0).withColumn("chunk", cut).withColumn("part", F.explode(F.sequence(F.lit(0), F.greatest(number(parts), F.lit(1)) - 1)))
-
-    def compare(items: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if not len(items) or not len(asked):
-            return pd.DataFrame({"query": pd.Series(dtype="int64"), "entry": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        items = items.sort_values("id", kind="stable")
-        v, ids = np.stack(items["vec"].to_numpy()), items["id"].to_numpy()
-        out = []
-        for at in range(0, len(asked), 256):
-            q = np.stack(asked["vec"].to_numpy()[at : at + 256])
-            best = np.argsort(-(q @ v.T), axis=1, kind="stable")[:, : k + 1]
-            # Summed from the first component to the last, as a plain loop does.
-            score = np.cumsum(q[:, None, :] * v[best], axis=2)[:, :, -1]
-            out.append(pd.DataFrame({"query": np.repeat(asked["id"].to_numpy()[at : at + 256], best.shape[1]), "entry": ids[best].ravel(), "score": score.ravel()}))
-        return pd.concat(out)
-
-    key = ["list", "part", "chunk"]
-    pairs = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(compare, "query long, entry long, score double")
+    probed = cut_lineage(_choose(asked, index, lambda m: index.probes_of(index.lengthen(m, query=True), probes, ratio)))
+    chunks = -(-max(1, probed.count()) // CHUNK_QUERIES)
+    # Queries whose nearest lists are next to each other search much the same lists.
+    dealt = probed.repartitionByRange(chunks, F.element_at("lists", 1), "id")
+    dealt = cut_lineage(dealt.select(F.spark_partition_id().alias("chunk"), "id", "vec", "lists"))
+    pairs = _compared(postings, dealt, chunks, k + 1, part_rows)
     best = pairs.groupBy("query", "entry").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "entry")
     best = best.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
