@@ -6,7 +6,8 @@ a heap holds the ranks of neighbouring pairs, so the lowest rank, the leftmost f
 merged until no pair is in the vocabulary.
 
 A null text encodes as an empty one. Rows are independent: repeated rows get equal
-results, an empty table gives an empty result. Columns named like a result are replaced.
+results, an empty table gives an empty result. Very long texts are encoded whole, by
+themselves. Columns named like a result are replaced; other columns stay whatever their names.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from orgpulse.llm.bytehash import mix, span_hash
 
 # Merged pre-tokens that a worker keeps, so that frequent ones are merged once; all are dropped when it is full.
 KEPT_MERGES = 400_000
+# Tokens of the rows that are handed back to Spark at once.
+YIELDED_TOKENS = 1 << 19
 _LOADED: dict[tuple[str, str], Encoder] = {}
 
 
@@ -186,21 +189,39 @@ def encoder(path: str, pattern: str) -> Encoder:
     return _LOADED[path, pattern]
 
 
-IDS = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-DIGESTS = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+SUMS = T.StructType([T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+COUNT = T.StructField("n_tokens", T.LongType())
+IDS = T.StructType([COUNT, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+DIGESTS = T.StructType([COUNT, *SUMS.fields])
 
-SUMS = T.StructType(DIGESTS.fields[1:])
 
+def _sums(own: Encoder, ids: np.ndarray) -> tuple[str, str]:
+    """SHA-256 of ids (little-endian, 32 bits) and of the bytes they decode to."""
+    return hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()
 
-def encode_texts(docs: DataFrame, rank_path: str, pattern: str, text_col: str = "text") -> DataFrame:
-    """Rows with n_tokens and ids (array<int>) of their whole text."""
 
-    @F.pandas_udf(IDS)
-    def encode(texts: pd.Series) -> pd.DataFrame:
-        found = list(encoder(rank_path, pattern).encode_batch(texts.fillna("").tolist()))
-        return pd.DataFrame({"n_tokens": [len(i) for i in found], "ids": [i.astype(np.int32) for i in found]})
+def encode_texts(docs: DataFrame, rank_path: str, pattern: str, text_col: str = "text", ids: bool = True, digests: bool = False) -> DataFrame:
+    """Rows with n_tokens, ids (array<int>, if asked) and digests of ids and decoded bytes (if asked) of their whole text.
 
-    return _widened(docs, encode(F.col(text_col)), IDS)
+    All come from one pass, and are given on a few MB of text at a time.
+    """
+    schema = T.StructType([COUNT, *(IDS.fields[1:] if ids else []), *(SUMS.fields if digests else [])])
+
+    @F.pandas_udf(schema)
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        own = encoder(rank_path, pattern)
+        for texts in batches:
+            rows, size = [], 0
+            for found in own.encode_batch(texts.fillna("").tolist()):
+                rows.append((len(found), *([found.astype(np.int32)] if ids else []), *(_sums(own, found) if digests else ())))
+                size += len(found)
+                if size >= YIELDED_TOKENS:
+                    yield pd.DataFrame(rows, columns=schema.names)
+                    rows, size = [], 0
+            if rows or not len(texts):
+                yield pd.DataFrame(rows, columns=schema.names)
+
+    return _widened(docs, encode(F.col(text_col)), schema)
 
 
 def decode_ids(encoded: DataFrame, rank_path: str, pattern: str, ids_col: str = "ids") -> DataFrame:
@@ -219,31 +240,21 @@ def digest_ids(encoded: DataFrame, rank_path: str, pattern: str, ids_col: str =
 
     @F.pandas_udf(SUMS)
     def digests(ids: pd.Series) -> pd.DataFrame:
-        own, rows = encoder(rank_path, pattern), []
-        for i in ids:
-            i = np.empty(0, "<u4") if i is None else np.asarray(i, "<u4")
-            rows.append((hashlib.sha256(i.tobytes()).hexdigest(), hashlib.sha256(own.decode(i)).hexdigest()))
-        return pd.DataFrame(rows, columns=SUMS.names)
+        own = encoder(rank_path, pattern)
+        return pd.DataFrame([_sums(own, np.empty(0, "<u4") if i is None else np.asarray(i, "<u4")) for i in ids], columns=SUMS.names)
 
     return _widened(encoded, digests(F.col(ids_col)), SUMS)
 
 
 def round_trip(docs: DataFrame, rank_path: str, pattern: str, text_col: str = "text") -> DataFrame:
-    """Rows with n_tokens and the SHA-256 of the ids (little-endian, 32 bits) and of the bytes they decode to.
-
-    Encoding and decoding are one pass, so that ids need not travel between processes.
-    """
-
-    @F.pandas_udf(DIGESTS)
-    def digests(texts: pd.Series) -> pd.DataFrame:
-        own, rows = encoder(rank_path, pattern), []
-        for ids in own.encode_batch(texts.fillna("").tolist()):
-            rows.append((len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()))
-        return pd.DataFrame(rows, columns=DIGESTS.names)
-
-    return _widened(docs, digests(F.col(text_col)), DIGESTS)
+    """Rows with n_tokens and the digests of ids and decoded bytes; ids don't travel between processes."""
+    return encode_texts(docs, rank_path, pattern, text_col, ids=False, digests=True)
 
 
 def _widened(df: DataFrame, result: Column, schema: T.StructType) -> DataFrame:
+    """Rows with the fields of a result; the column that holds it meanwhile has a name that no other has."""
     kept = [c for c in df.columns if c not in schema.names]
-    return df.select(*kept, result.alias("_result")).select(*kept, *[F.col(f"_result.{n}").alias(n) for n in schema.names])
+    name = "_result"
+    while name.lower() in [c.lower() for c in kept]:
+        name += "_"
+    return df.select(*[F.col(f"`{c}`") for c in kept], result.alias(name)).select(*[F.col(f"`{c}`") for c in kept], *[F.col(f"{name}.{n}").alias(n) for n in schema.names])
