@@ -18,9 +18,11 @@ Further candidates are only pairs of different groups whose distances to the hub
 by no more than linked sets can (Jaccard distance is a metric). So every link between
 different groups is verified, and none can be lost.
 
-Rows with a null id are linked with nothing and have a null component. Rows without
-words (null, empty or blank texts) are components of their own. Rows with equal ids are
-nodes of their own; each gets the smallest id it reaches.
+Rows with a null id are linked with nothing and have a null component; ``keep_one``, which
+chooses rows and not ids, compares them like others. Rows without words (null, empty or blank texts) are components of their own.
+Rows with equal ids are nodes of their own; each gets the smallest id it reaches. Very long
+texts are blocks of their own. An empty table gives an empty result. Other columns are only
+carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -45,7 +47,7 @@ VERIFY_COST = 8.0
 
 DEALT = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("shingles", pa.binary()), ("counts", pa.binary())])
 COUNTED = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("places", pa.binary()), ("counts", pa.binary())])
-SETS = pa.schema([("node", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("content", pa.binary()), ("matches", pa.int32()), ("prefix", pa.list_(pa.int64())), ("shingles", pa.list_(pa.int64()))])
+SETS = pa.schema([("node", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("content", pa.binary()), ("matches", pa.int32()), ("prefix", pa.list_(pa.int64())), ("shingles", pa.list_(pa.int64()))])
 
 
 def _placed(shingles: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,9 +63,9 @@ def _deal(words: int, buckets: int):
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                _, known, data, offsets = open_block(row)
-                shingles, ends = word_shingles(data, offsets, words)
-                keys, _, counts = _placed(shingles[np.repeat(known, np.diff(ends))], buckets)
+                _, _, data, offsets = open_block(row)
+                shingles, _ = word_shingles(data, offsets, words)
+                keys, _, counts = _placed(shingles, buckets)
                 cut = slices((keys >> np.uint64(32)).astype(np.int64), buckets)
                 low = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
                 out = [(b, row["block"], pack(np.diff(low[i:j], prepend=np.uint32(0))), pack(counts[i:j].astype(np.uint32))) for b, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i]
@@ -104,7 +106,7 @@ def choose_matches(df: np.ndarray, n: int, need: int) -> tuple[int, int]:
     return matches, n - need + matches
 
 
-def _prefixes(words: int, percent: int, buckets: int):
+def _prefixes(words: int, percent: int, buckets: int, unknown_ids: bool):
     def prefixes(blocks: pa.Table, counted: pa.Table) -> pa.Table:
         rows = []
         for row in blocks.to_pylist():
@@ -112,19 +114,15 @@ def _prefixes(words: int, percent: int, buckets: int):
             shingles, ends = word_shingles(data, offsets, words)
             keys, where, _ = _placed(shingles, buckets)
             cut = slices((keys >> np.uint64(32)).astype(np.int64), buckets)
-            # Places count among the shingles that were dealt, those of rows with ids.
-            sent = np.zeros(len(keys), bool)
-            sent[where[np.repeat(known, np.diff(ends))]] = True
-            sent_at = np.flatnonzero(sent)
-            sent_cut = np.searchsorted(sent_at, cut)
             df = np.ones(len(keys), np.int64)
             for back in counted.to_pylist():
-                df[sent_at[sent_cut[back["bucket"]] + np.cumsum(unpack(back["places"], "<u4"), dtype=np.int64)]] = unpack(back["counts"], "<u4")
+                df[cut[back["bucket"]] + np.cumsum(unpack(back["places"], "<u4"), dtype=np.int64)] = unpack(back["counts"], "<u4")
             for i in range(len(ids)):
                 own = shingles[ends[i] : ends[i + 1]]
                 n, doc_id = len(own), int(ids[i]) if known[i] else None
-                if not n or doc_id is None:
-                    rows.append((row["block"] << ROW_BITS | i, doc_id, n, None, None, None, None))
+                digest = hashlib.md5(data[offsets[i] : offsets[i + 1]].tobytes()).digest()
+                if not n or doc_id is None and not unknown_ids:
+                    rows.append((row["block"] << ROW_BITS | i, doc_id, n, digest, None, None, None, None))
                     continue
                 counts = df[where[ends[i] : ends[i + 1]]]
                 order = np.lexsort((own, counts))
@@ -132,20 +130,20 @@ def _prefixes(words: int, percent: int, buckets: int):
                 prefix = own[order[:length]][counts[order[:length]] > 1]
                 shared = len(prefix) > 0
                 content = hashlib.sha256(own.tobytes()).digest()[:16]
-                rows.append((row["block"] << ROW_BITS | i, doc_id, n, content, matches, prefix.view(np.int64) if shared else None, own.view(np.int64) if shared else None))
-        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 7, SETS, strict=True)], schema=SETS)
+                rows.append((row["block"] << ROW_BITS | i, doc_id, n, digest, content, matches, prefix.view(np.int64) if shared else None, own.view(np.int64) if shared else None))
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 8, SETS, strict=True)], schema=SETS)
 
     return prefixes
 
 
-def document_sets(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """One row a document: node, doc_id, n_shingles, content (digest of the set), and for those that share a prefix shingle the l, prefix and whole set."""
+def document_sets(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str, unknown_ids: bool) -> DataFrame:
+    """One row a document: node, doc_id, n_shingles, digest (MD5 of the text), content (digest of the set), and for those that share a prefix shingle the l, prefix and whole set."""
     blocks = deal_blocks(docs, id_col, text_col)
     buckets = bucket_count(blocks, BUCKET_BYTES)
     dealt = blocks.mapInArrow(_deal(words, buckets), "bucket int, block long, shingles binary, counts binary")
     counted = dealt.groupBy("bucket").applyInArrow(_count, "block long, bucket int, places binary, counts binary")
-    schema = "node long, doc_id long, n_shingles long, content binary, matches int, prefix array<long>, shingles array<long>"
-    return cut_lineage(blocks.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(_prefixes(words, percent, buckets), schema))
+    schema = "node long, doc_id long, n_shingles long, digest binary, content binary, matches int, prefix array<long>, shingles array<long>"
+    return cut_lineage(blocks.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(_prefixes(words, percent, buckets, unknown_ids), schema))
 
 
 def _near_in_size(a: Column, b: Column, percent: int) -> Column:
@@ -193,15 +191,43 @@ def link_classes(classes: DataFrame, percent: int) -> DataFrame:
     return linked.union(more.select("a", "b"))
 
 
-def link_documents(docs: DataFrame, words: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id of every document; linked are sets with 100 * intersection >= percent * union."""
-    rows = document_sets(docs, words, percent, id_col, text_col)
+def labelled_documents(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str, unknown_ids: bool = False) -> DataFrame:
+    """doc_id, n_shingles, digest, and label of every document: the smallest node of its component, null for one without links.
+
+    Rows with a null id are linked only if ``unknown_ids`` says so.
+    """
+    rows = document_sets(docs, words, percent, id_col, text_col, unknown_ids)
     own = rows.where("content IS NOT NULL AND prefix IS NOT NULL")
-    firsts = own.groupBy("content").agg(F.min("node").alias("node"), F.min("doc_id").alias("first_id"))
+    firsts = own.groupBy("content").agg(F.min("node").alias("node"))
     classes = cut_lineage(own.drop("content").join(firsts.drop("content"), "node").select("node", "n_shingles", "matches", "prefix", "shingles"))
     labels = components(link_classes(classes, percent))
-    named = firsts.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    smallest = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    of_content = named.join(smallest, "label").select("content", "component_id")
-    joined = rows.select("doc_id", "n_shingles", "content").join(of_content, "content", "left")
-    return joined.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = firsts.join(labels, "node", "left").select("content", F.coalesce("label", "node").alias("label"))
+    return rows.select("doc_id", "n_shingles", "digest", "content").join(named, "content", "left").drop("content")
+
+
+def link_documents(docs: DataFrame, words: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles and component_id of every document; linked are sets with 100 * intersection >= percent * union."""
+    rows = labelled_documents(docs, words, percent, id_col, text_col)
+    smallest = rows.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    joined = rows.join(smallest, "label", "left")
+    return joined.select("doc_id", "n_shingles", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of the rows of each component one: that with the smallest known id, of those the one with the least digest of its text, of repeated rows any.
+
+    Rows without words stay, each of them.
+    """
+    rows = cut_lineage(labelled_documents(docs, words, percent, id_col, text_col, unknown_ids=True).where("n_shingles > 0"))
+    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "digest")
+    chosen = rows.where("label IS NOT NULL").groupBy("label").agg(F.min(order).alias("x")).select("x.doc_id", "x.digest")
+    alone = rows.where("label IS NULL").select("doc_id", "digest")
+    kept = chosen.union(alone).select(F.col("doc_id").alias("kept_id"), F.col("digest").alias("kept_digest"))
+    # How many rows have a kept id and text: only repeated ones need a choice, and those meet after a fold on the map side.
+    times = rows.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n"))
+    kept = kept.join(times, kept.kept_id.eqNullSafe(times.doc_id) & (kept.kept_digest == times.digest)).select("kept_id", "kept_digest", "n")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"), F.unhex(F.md5(text)).alias("digest"), text.rlike(r"[^\x20\x09-\x0D]").alias("worded"))
+    found = whole.where("worded").join(kept, F.col("id").eqNullSafe(kept.kept_id) & (F.col("digest") == kept.kept_digest))
+    once = found.where("n > 1").groupBy("id", "digest").agg(F.first("row").alias("row"))
+    return whole.where("NOT worded").select("row").union(found.where("n = 1").select("row")).union(once.select("row")).select("row.*")

@@ -79,3 +79,31 @@ def test_token_ids_are_kept(stages):
     for r in after.collect():
         assert r.ids == encoding.encode_ordinary(text[r.doc_id]) and len(r.ids) == r.n_tokens
         assert r.ids_sha256 == hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in r.ids)).hexdigest()
+
+
+def test_one_row_of_repeated_rows_stays(spark):
+    """Rows are chosen, not ids: repeats, repeats without an id, one id with two texts, and a copy under another id."""
+    text, other = ("one two three four five six seven eight nine ten " * 2).strip(), "some other words that nothing else has in it"
+    rows = [(1, text)] * 3 + [(None, text)] * 2 + [(2, text), (2, other), (None, other + " x y"), (None, "a b c d e f g h")] + [(None, "a b c d e f g h")] * 3 + [(5, ""), (5, ""), (None, None), (6, " \t"), (7, other + " or " + text)]
+    docs = spark.createDataFrame([(i, t, "en", "web", 0, "r", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, row string, n int").repartition(3)
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()]
+    assert sorted(kept, key=repr) == sorted([(1, text), (2, other), (None, other + " x y"), (None, "a b c d e f g h"), (5, ""), (5, ""), (None, None), (6, " \t"), (7, other + " or " + text)], key=repr)
+
+
+def test_empty_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+    assert docs.count() == 0
+
+
+def test_mixture_moves_sources_to_their_weights(stages):
+    before, after = stages[3]
+    rows = {r.doc_id: r for r in before.collect()}
+    counts = {r.source: r["count"] for r in before.groupBy("source").count().collect()}
+    total, weight = sum(counts.values()), {s: n**0.5 for s, n in counts.items()}
+    for r in after.collect():
+        assert rows[r.doc_id] == r  # whole rows, as often as drawn
+    for source, n in {r.source: r["count"] for r in after.groupBy("source").count().collect()}.items():
+        want = total * weight[source] / sum(weight.values())
+        assert abs(n - want) < 5 * want**0.5 + 2
