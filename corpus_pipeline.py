@@ -2,6 +2,11 @@
 gets surrogates, sources are mixed to their target weights, and the mixture is encoded.
 
 Each stage is written as Parquet in the folder of spark.checkpoint.dir and read again by the next.
+
+Null, empty and blank texts pass all stages, each row of them, and have no tokens. Rows without an
+id are compared like others and stay if no row with an id is a near copy of them. Of repeated rows
+one stays. Rows without a source are a source of their own. Very long texts are whole in all
+stages. An empty table gives an empty result. Other columns of documents are dropped.
 """
 
 from __future__ import annotations
@@ -26,12 +31,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group linked by five-word shingles at a Jaccard similarity of 0.8 or more, the smallest doc_id stays."""
-    groups = ngram_join.link_documents(docs, words=5, percent=80).select("doc_id", "component_id")
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    whole = docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
-    # Rows without an id are in no group and stay.
-    return whole.unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
+    """Of every group linked by five-word shingles at a Jaccard similarity of 0.8 or more, one row stays: that of the smallest doc_id."""
+    return ngram_join.keep_one(docs, words=5, percent=80).select(*COLUMNS)
 
 
 def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,8 +48,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (array<int>) in place of the text, their number, and the digests of ids and decoded bytes to check them by."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = bpe.encode_texts(docs, ranks, public_tokenizers.PATTERN).drop("text")
-    return bpe.digest_ids(encoded, ranks, public_tokenizers.PATTERN)
+    return bpe.encode_texts(docs, ranks, public_tokenizers.PATTERN, digests=True).drop("text")
 
 
 STAGES = [
