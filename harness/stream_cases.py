@@ -10,8 +10,8 @@ from orgpulse.functions import scalars as fx
 from orgpulse.functions.similarity import jaro_winkler
 from orgpulse.operators import gold, matching, ordered, org, quality
 from orgpulse.session import ensure_checkpoint_dir
-from orgpulse.sources import landing, schemas
-from orgpulse.streaming import incremental, windows
+from orgpulse.sources import landing, schemas, versioned
+from orgpulse.streaming import change_state, incremental, windows
 
 V = VIEWS
 
@@ -125,24 +125,56 @@ case("tumbling_monday_week", _window_sql(_MON, "7 DAY"))(lambda t: _rounded(wind
 case("tumbling_sunday_week", _window_sql(_SUN, "7 DAY"))(lambda t: _rounded(windows.tumbling(t["events"], "ts", "sunday_week", ["event_type"], _measures())))
 
 
-@case(
-    "sliding_windows",
-    """SELECT event_type, s::VARCHAR AS window_start, (s + INTERVAL 14 DAY)::VARCHAR AS window_end, sum(n)::BIGINT AS n FROM (SELECT event_type, date_trunc('day', ts) AS d, count(*) AS n FROM <events> GROUP BY ALL), LATERAL (SELECT unnest(generate_series(d - INTERVAL 13 DAY, d, INTERVAL 1 DAY)) AS s) GROUP BY event_type, s""",
-)
+_SLIDING = """SELECT event_type, s::VARCHAR AS window_start, (s + INTERVAL 14 DAY)::VARCHAR AS window_end, sum(n)::BIGINT AS n FROM (SELECT event_type, date_trunc('day', ts) AS d, count(*) AS n FROM <events> GROUP BY ALL), LATERAL (SELECT unnest(generate_series(d - INTERVAL 13 DAY, d, INTERVAL 1 DAY)) AS s) GROUP BY event_type, s"""
+
+
+@case("sliding_windows", _SLIDING)
 def slid(t):
     folded = t["events"].groupBy("event_type", F.date_trunc("day", "ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
     return windows.sliding(folded, "day", "14 days", "1 day", ["event_type"], {"n": F.sum("n")})
 
 
-@case(
-    "session_windows",
-    """SELECT user_id, min(ts)::VARCHAR AS window_start, (max(ts) + INTERVAL 6 HOUR)::VARCHAR AS window_end, count(*) AS n FROM (SELECT user_id, ts, sum(CASE WHEN gap THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM (
-  SELECT user_id, ts, COALESCE(ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR, true) AS gap FROM <events>)) GROUP BY user_id, s""",
-)
+_SESSIONS = """SELECT user_id, min(ts)::VARCHAR AS window_start, (max(ts) + INTERVAL 6 HOUR)::VARCHAR AS window_end, count(*) AS n FROM (SELECT user_id, ts, sum(CASE WHEN gap THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM (
+  SELECT user_id, ts, COALESCE(ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR, true) AS gap FROM <events>)) GROUP BY user_id, s"""
+
+
+@case("session_windows", _SESSIONS)
 def bursts(t):
     return windows.sessions(t["events"], "ts", "6 hours", ["user_id"], {"n": F.count(F.lit(1))})
 
 
+case("stream_sliding_windows", _SLIDING)(lambda t: _slid_stream(t))
+
+
+def _slid_stream(t):
+    path = scratch(t, "sliding")
+    windows.keep_sliding(event_stream(t), "ts", "14 days", "1 day", "3 days", ["event_type"], {"n": F.count(F.lit(1))}, path, scratch(t, "sliding-ckpt"))
+    return versioned.read(t.spark, path).drop("_batch")
+
+
+@case("stream_session_windows", _SESSIONS)
+def bursts_of_stream(t):
+    path, checkpoint = scratch(t, "sessions"), scratch(t, "sessions-ckpt")
+    stream, close = closable_stream(t)
+    for step in (None, close):
+        if step:
+            step()
+        windows.keep_sessions(stream, "ts", "6 hours", "1 day", ["user_id"], {"n": F.count(F.lit(1))}, path, checkpoint)
+    closing = F.lit(change_state.CLOSING_TIME).cast("timestamp")
+    return t.spark.read.parquet(path).drop("_batch").where(F.col("window_start") < closing)
+
+
+@case(
+    "stream_settled_days",
+    "SELECT event_type, d::VARCHAR AS window_start, (d + INTERVAL 1 DAY)::VARCHAR AS window_end, n, round(total, 4) AS total, CASE WHEN epoch_ms(d + INTERVAL 1 DAY) <= epoch_ms(newest) - 3 * 86400000 THEN 1 ELSE 0 END AS settled FROM (SELECT event_type, date_trunc('day', ts) AS d, count(*) AS n, sum(value) AS total FROM <events> GROUP BY ALL), (SELECT max(ts) AS newest FROM <events>)",
+)
+def settled_stream(t):
+    """Days that can't change any more are final, the last ones provisional."""
+    final, provisional = scratch(t, "final"), scratch(t, "provisional")
+    windows.keep_days(event_stream(t), "ts", "3 days", ["event_type"], _measures(), final, provisional, scratch(t, "days-ckpt"))
+    return _rounded(windows.settled_days(t.spark, final, provisional, ["event_type"]))
+
+
 @case("stream_dedup", "SELECT DISTINCT user_id, event_type FROM <events>")
 def deduplicated(t):
     path = scratch(t, "dedup")
@@ -163,6 +195,38 @@ def changed(t):
     return t.spark.read.parquet(path).select("user_id", "event_type")
 
 
+@case("upsert_versioned", _NEWEST)
+def upserted_versions(t):
+    """Three overlapping batches, the oldest rows last; each publishes a version."""
+    path = scratch(t, "versioned")
+    rows = t["events"].select("user_id", "event_type", "event_id", "value")
+    for part in (1, 2, 0):
+        versioned.upsert(rows.where(F.pmod("user_id", F.lit(3)).isin(part, (part + 1) % 3)), path, ["user_id", "event_type"], ["event_id"])
+    return versioned.read(t.spark, path).select("user_id", "event_type", "event_id", "value")
+
+
+def closable_stream(t, rows=None):
+    """The event stream joined with a folder that a last row can be put into, which moves the watermark past all rows, and the way to put it there."""
+    stream = event_stream(t) if rows is None else rows(event_stream(t))
+    path, schema = scratch(t, "closing"), stream.schema
+    t.spark.createDataFrame([], schema).write.parquet(path)
+    closing = t.spark.readStream.schema(schema).parquet(path)
+    return stream.unionByName(closing), lambda: change_state.closing_row(t.spark, schema, "ts").write.mode("append").parquet(path)
+
+
+@case("stream_versions", "SELECT event_id, user_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM <events>) WHERE before IS DISTINCT FROM event_type")
+def versions_of_stream(t):
+    """Every change of a user's event type, two in one batch too."""
+    path, checkpoint = scratch(t, "changes"), scratch(t, "changes-ckpt")
+    stream, close = closable_stream(t, lambda s: s.select("event_id", "user_id", "event_type", "ts"))
+    changes = change_state.changed_since(stream, ["user_id"], ["event_type"], "ts", ["event_id"], "3 days")
+    for step in (None, close):
+        if step:
+            step()
+        incremental.run_available(changes, lambda batch, i: incremental.append_batch(batch, path, i), checkpoint, "append")
+    return t.spark.read.parquet(path).select("event_id", "user_id", "event_type")
+
+
 @case("append_only", "SELECT event_id, event_type FROM <events>")
 def appended(t):
     path = scratch(t, "append")

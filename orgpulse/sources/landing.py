@@ -142,7 +142,8 @@ def write_sink(
     partition_by: Sequence[str] = (),
     staging: str | None = None,
 ) -> None:
-    """Write model output: ``table`` (replace), ``append``, or ``incremental`` (replace rows by key)."""
+    """Write model output: ``table`` (replace), ``append``, ``incremental`` (replace rows by key), or ``versioned``
+    (replace rows by key in a versioned table, which publishes in one step)."""
     if mode == "table":
         df.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*partition_by).parquet(path)
     elif mode == "append":
@@ -151,6 +152,10 @@ def write_sink(
         from orgpulse.streaming.incremental import upsert_by_key
 
         upsert_by_key(df, path, keys, order, partition_by, staging)
+    elif mode == "versioned":
+        from orgpulse.sources import versioned
+
+        versioned.upsert(df, path, keys, order)
     else:
         raise ValueError(f"unknown sink mode {mode!r}")
 

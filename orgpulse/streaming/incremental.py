@@ -31,11 +31,11 @@ def late_data_switch(final: DataFrame, provisional: DataFrame, day: Column, as_o
 
 
 def read_if_exists(spark: SparkSession, path: str) -> DataFrame | None:
-    """What a path holds, or nothing if there is no such path. Any other failure to read it is raised."""
+    """What a path holds, or nothing if there is no such path or no file in it. Any other failure to read it is raised."""
     try:
         return spark.read.parquet(path)
     except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
         return None
 
