@@ -1,7 +1,9 @@
 """Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line.
 
 Every query is run to completion by writing all its rows to the no-op sink, so
-no column is pruned away and nothing is collected on the driver.
+no column is pruned away and nothing is collected on the driver. Dashboards read
+stored Gold tables; building them and folding the newest days again are timed by
+themselves, as ``gold_build`` and ``gold_refresh_days``.
 """
 
 from __future__ import annotations
@@ -12,6 +14,8 @@ import sys
 import time
 
 from harness.all_cases import CASES
+from harness.cases import Tables
+from harness.metric_cases import gold_inputs, stored
 from orgpulse.session import build_session
 
 HEADLINE = [
@@ -58,11 +62,19 @@ def main() -> None:
     # One small query first, so that no headline query pays for JVM start-up.
     CASES["union_all"](spark, sf_dir).write.format("noop").mode("overwrite").save()
     seconds = {}
-    for name in HEADLINE:
+
+    def timed(name, work):
         start = time.perf_counter()
-        CASES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        work()
         seconds[name] = round(time.perf_counter() - start, 3)
         print(name, seconds[name], file=sys.stderr, flush=True)
+
+    tables = Tables(spark, sf_dir)
+    newest = spark.sql("SELECT explode(sequence(DATE '2024-01-29', DATE '2024-01-30')) AS metric_date")
+    timed("gold_build", lambda: stored(tables))
+    timed("gold_refresh_days", lambda: stored(tables).refresh(gold_inputs(tables), newest))
+    for name in HEADLINE:
+        timed(name, lambda name=name: CASES[name](spark, sf_dir).write.format("noop").mode("overwrite").save())
     spark.stop()
     total = round(sum(seconds.values()), 3)
     sf = os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")

@@ -77,8 +77,8 @@ def task_person_daily(issues: DataFrame) -> DataFrame:
     )
 
 
-def closed_tasks(issues: DataFrame) -> DataFrame:
-    """Closed work per person and day. JSON is parsed here once; store the result as a table."""
+def closed_states(issues: DataFrame) -> DataFrame:
+    """Sums and counts of closed work per person and day; parts of a day add up, so days can be folded again by themselves."""
     tasks = task_person_daily(issues).where(F.col("status_name").isin(CLOSED_STATES))
     due = fx.filled("due_date")
     estimated = F.col("time_estimate_sec") > 0
@@ -87,11 +87,30 @@ def closed_tasks(issues: DataFrame) -> DataFrame:
         fx.count_where(F.col("issue_type") == "Bug").alias("bugs_fixed"),
         fx.count_where(due & (F.col("metric_date") <= F.col("due_date").try_cast("date"))).alias("on_time_count"),
         fx.count_where(due).alias("has_due_date_count"),
-        fx.avg_where("time_spent_sec", estimated).alias("avg_time_spent"),
-        fx.avg_where("time_estimate_sec", estimated).alias("avg_time_estimate"),
+        fx.count_where(estimated).alias("estimated_count"),
+        F.sum(F.when(estimated, F.col("time_spent_sec"))).alias("time_spent"),
+        F.sum(F.when(estimated, F.col("time_estimate_sec"))).alias("time_estimate"),
+    )
+
+
+def closed_of(states: DataFrame) -> DataFrame:
+    """Closed work per person and day from its states."""
+    return states.select(
+        *PERSON_DAY,
+        "tasks_closed",
+        "bugs_fixed",
+        "on_time_count",
+        "has_due_date_count",
+        fx.ratio("time_spent", "estimated_count").alias("avg_time_spent"),
+        fx.ratio("time_estimate", "estimated_count").alias("avg_time_estimate"),
     )
 
 
+def closed_tasks(issues: DataFrame) -> DataFrame:
+    """Closed work per person and day. JSON is parsed here once; store the result as a table."""
+    return closed_of(closed_states(issues))
+
+
 # --- communication ------------------------------------------------------------------------------
 
 
@@ -138,12 +157,13 @@ def _sessions(participants: DataFrame) -> DataFrame:
 COMMS_MEASURES = ["emails_sent", "zoom_calls", "_seconds", "teams_messages", "teams_meetings", "files_shared"]
 
 
-def comms_daily(
+def comms_states(
     comms: DataFrame, participants: DataFrame, teams: DataFrame, onedrive: DataFrame, sharepoint: DataFrame
 ) -> DataFrame:
-    """E-mail, calls (one per session), meeting hours, messages, meetings and files per person and day.
+    """Sums of e-mail, calls (one per session), meeting seconds, messages, meetings and files per person and day.
 
-    The union leaves the measures a source lacks NULL, and one aggregate folds all sources.
+    The union leaves the measures a source lacks NULL, and one aggregate folds all sources. Seconds are
+    summed as integers, so hours do not depend on the order of rows.
     """
     mail = comms.select(
         "tenant_id",
@@ -157,14 +177,22 @@ def comms_daily(
     rows = mail
     for part in (calls, chat, files):
         rows = rows.unionByName(part, allowMissingColumns=True)
-    # Seconds are summed as integers, so hours do not depend on the order of rows.
     totals = {m: F.coalesce(F.sum(m), F.lit(0)) for m in COMMS_MEASURES}
-    hours = totals.pop("_seconds") / F.lit(3600.0)
-    return (
-        rows.groupBy(*PERSON_DAY)
-        .agg(*[c.cast("double").alias(m) for m, c in totals.items()], hours.alias("meeting_hours"))
-        .withColumn("metric_date", F.col("metric_date").cast("string"))
-    )
+    seconds = totals.pop("_seconds").cast("bigint").alias("meeting_seconds")
+    return rows.groupBy(*PERSON_DAY).agg(*[c.cast("double").alias(m) for m, c in totals.items()], seconds)
+
+
+def comms_of(states: DataFrame) -> DataFrame:
+    """Communication per person and day from its states, with meeting hours and the day as text."""
+    hours = (F.col("meeting_seconds") / F.lit(3600.0)).alias("meeting_hours")
+    return states.select(*PERSON, F.col("metric_date").cast("string").alias("metric_date"), *[m for m in COMMS_MEASURES if m != "_seconds"], hours)
+
+
+def comms_daily(
+    comms: DataFrame, participants: DataFrame, teams: DataFrame, onedrive: DataFrame, sharepoint: DataFrame
+) -> DataFrame:
+    """E-mail, calls, meeting hours, messages, meetings and files per person and day."""
+    return comms_of(comms_states(comms, participants, teams, onedrive, sharepoint))
 
 
 def email_daily(comms: DataFrame) -> DataFrame:

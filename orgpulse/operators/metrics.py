@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from orgpulse.functions import scalars as fx
 from orgpulse.operators.gold import PERSON
-from orgpulse.operators.ordered import exact_quantile, value_positions
+from orgpulse.operators.ordered import exact_quantile, exact_quantiles
 
 # Titles that always count as senior in the team metric.
 SENIOR_TITLES = [
@@ -189,10 +189,8 @@ def project(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def metric_stats(df: DataFrame, col: str, by: Sequence[str]) -> DataFrame:
     """5th, 50th and 95th percentile of a KPI: the smallest value that so many percent of the rows don't exceed."""
-    placed = value_positions(df, by, col)
     shares = {"p5": 5, "p50": 50, "p95": 95}
-    hit = {name: F.ceil(F.col("total") * p / 100).between(F.col("below") + 1, F.col("below") + F.col("n")) for name, p in shares.items()}
-    return placed.groupBy(*by).agg(*[F.max(F.when(hit[name], F.col(col))).alias(name) for name in shares])
+    return exact_quantiles(df, by, col, {name: (p / 100, lambda total, p=p: F.ceil(total * p / 100) - 1) for name, p in shares.items()})
 
 
 def _done(kind: str) -> Column:

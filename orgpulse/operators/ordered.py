@@ -4,9 +4,11 @@
   reaches the reducer as one row per map task, unlike ``row_number``.
 * Neighbours (lag/lead): windows run per (key, time bucket); only the first row
   of each bucket looks across, through one summary row per bucket.
-* Ranks and exact quantiles: equal values are counted first, the value range is
-  cut into buckets, and positions come from bucket offsets plus a window inside
-  the bucket. No window ever spans a whole group of rows.
+* Ranks: equal values are counted first, the value range is cut into buckets, and
+  positions come from bucket offsets plus a window inside the bucket. No window ever
+  spans a whole group of rows.
+* Exact quantiles: a sketch says between which values each one must lie; only rows in
+  that range are ordered, the ones below it are a number.
 """
 
 from __future__ import annotations
@@ -16,10 +18,14 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-# Stretches that a key's values are cut into; a square number.
+# Stretches that a key's values are cut into at most (a square number), and distinct values that one stretch should have.
 RANK_BUCKETS = 1024
+RANK_VALUES = 32_768
+# Relative error of the sketch that brackets a quantile is one in so many; the bracket is four times as wide on either side.
+SKETCH = 1000
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
@@ -126,8 +132,8 @@ def value_positions(df: DataFrame, keys: Sequence[str], value: str, buckets: int
     (``values_below``) and rows of the key (``total``). NULL values are left out, a NULL key is a group of its own.
 
     Bucket bounds are quantiles of the key's own distinct values, so that an outlier or a long tail
-    leaves the buckets even. Positions are exact whatever the bounds; ``buckets`` only sets how many
-    tasks share a key.
+    leaves the buckets even; a key with few values has few. Positions are exact whatever the bounds;
+    ``buckets`` only sets how many tasks share a key at most.
     """
     keys = list(keys) or ["_all"]
     rows = df if keys != ["_all"] else df.withColumn("_all", F.lit(1))
@@ -135,10 +141,12 @@ def value_positions(df: DataFrame, keys: Sequence[str], value: str, buckets: int
     step = max(1, math.isqrt(buckets))
     marks = [(i + 1) / (step * step) for i in range(step * step - 1)]
     bounds = F.array_distinct(F.percentile_approx("_v", marks, 10 * len(marks))) if marks else F.array(F.min("_v"))
+    stride = F.greatest(F.lit(1), F.floor(F.lit(step * step * RANK_VALUES) / F.count(F.lit(1))))
+    bounds = F.filter(bounds, lambda _, i: (i + 1) % stride == 0)
     spans = counts.groupBy(*keys).agg(bounds.alias("_bounds"), F.sum("n").alias("total"))
     v = F.col("_v")
     # Two short looks instead of one long one: which stretch of bounds, then where in it.
-    heads = F.transform(F.sequence(F.lit(1), F.size("_bounds"), F.lit(step)), lambda i: F.element_at("_bounds", i))
+    heads = F.filter("_bounds", lambda _, i: i % step == 0)
     stretch = F.greatest(F.size(F.filter(heads, lambda b: b < v)) - 1, F.lit(0)) * step
     inside = F.size(F.filter(F.slice("_bounds", stretch + 1, F.lit(step)), lambda b: b < v))
     placed = null_safe_join(counts, spans, keys).withColumn("_bucket", stretch + inside).drop("_bounds")
@@ -162,11 +170,47 @@ def value_positions(df: DataFrame, keys: Sequence[str], value: str, buckets: int
     return ranked.drop("_all")
 
 
+def _selected(df: DataFrame, keys: Sequence[str], value: str, wanted: dict[str, tuple[float, Callable[[Column], Column]]]) -> DataFrame:
+    """``exact_quantiles`` of numbers, in two passes over the rows."""
+    by = list(keys) or ["_all"]
+    rows = df.select(*([F.lit(1).alias("_all")] if by == ["_all"] else by), F.col(value).alias("_v")).where(F.col("_v").isNotNull())
+    near = F.col("_v").cast("double")  # rises as the value does, so it can bracket values of any number type
+    margin = 4 / SKETCH
+    inner = sorted({x for p, _ in wanted.values() for x in (p - margin, p + margin) if 0 < x < 1})
+    sketch = F.percentile_approx(near, inner, SKETCH) if inner else F.array()
+
+    def bound(x: float, edge: str) -> Column:
+        """A few values are all in the range; of more, four times the sketch's error is several rows."""
+        return F.when(F.col("_total") > SKETCH, F.col("_marks")[inner.index(x)]).otherwise(F.col(edge)) if 0 < x < 1 else F.col(edge)
+
+    spans = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_total"), F.min(near).alias("_low"), F.max(near).alias("_high"), sketch.alias("_marks"))
+    ranges = [F.struct(F.lit(n).alias("name"), bound(p - margin, "_low").alias("low"), bound(p + margin, "_high").alias("high"), index(F.col("_total")).alias("at")) for n, (p, index) in wanted.items()]
+    spans = spans.select(*by, F.array(*ranges).alias("_ranges"))
+    # What is above a range plays no part, and what is below it is one row of a count.
+    open_ = null_safe_join(rows, spans, by).select(*by, "_v", F.explode(F.filter("_ranges", lambda r: near <= r["high"])).alias("_r"))
+    inside = F.when(near >= F.col("_r.low"), F.col("_v")).alias("_v")
+    counts = open_.select(*by, F.col("_r.name").alias("_name"), F.col("_r.at").alias("_at"), inside).groupBy(*by, "_name", "_at", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    until = F.sum("_n").over(Window.partitionBy(*by, "_name").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    placed = counts.withColumn("_until", until).where(F.col("_v").isNotNull() & (F.col("_at") < F.col("_until")) & (F.col("_at") >= F.col("_until") - F.col("_n")))
+    return placed.groupBy(*by).agg(*[F.max(F.when(F.col("_name") == n, F.col("_v"))).alias(n) for n in wanted]).drop("_all")
+
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, wanted: dict[str, tuple[float, Callable[[Column], Column]]]) -> DataFrame:
+    """Per key the elements at given zero-based indexes of its sorted values, one column each; NULL values are left out.
+
+    ``wanted`` gives each column its share of the way through the values and its index as a function of
+    their number. A NULL key is a group of its own.
+    """
+    if isinstance(df.schema[value].dataType, T.NumericType):
+        return _selected(df, keys, value, wanted)
+    placed = value_positions(df, keys, value)
+    hit = {n: (F.col("below") <= index(F.col("total"))) & (index(F.col("total")) < F.col("below") + F.col("n")) for n, (_, index) in wanted.items()}
+    return placed.groupBy(*keys).agg(*[F.max(F.when(hit[n], F.col(value))).alias(n) for n in wanted])
+
+
 def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, p: float, out: str) -> DataFrame:
     """Element at zero-based index floor(n*p) of the sorted values per key (the upper median for p = 0.5)."""
-    index = F.least(F.floor(F.col("total") * F.lit(p)), F.col("total") - 1)
-    hit = (F.col("below") <= index) & (index < F.col("below") + F.col("n"))
-    return value_positions(df, keys, value).where(hit).select(*keys, F.col(value).alias(out))
+    return exact_quantiles(df, keys, value, {out: (p, lambda total: F.least(F.floor(total * F.lit(p)), total - 1))})
 
 
 def percent_rank_by(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:

@@ -102,9 +102,14 @@ def commit(rows: DataFrame, path: str, keys: Sequence[str], after: int, carried:
     """Publish ``rows`` and the files ``carried`` on as the version that follows ``after``; its number."""
     spark = rows.sparkSession
     name = uuid.uuid4().hex
-    if n_files is None:
-        n_files = max(1, -(-rows.count() // FILE_ROWS))
-    rows.repartitionByRange(n_files, *keys).write.parquet(f"{path}/data/{name}")
+    # Counting, drawing the ranges and writing each need the rows; they are folded once.
+    rows = rows.persist()
+    try:
+        if n_files is None:
+            n_files = max(1, -(-rows.count() // FILE_ROWS))
+        rows.repartitionByRange(n_files, *keys).write.parquet(f"{path}/data/{name}")
+    finally:
+        rows.unpersist()
     own = spark.read.parquet(f"{path}/data/{name}")
     file = F.concat(F.lit(f"{name}/"), F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
     files = _ranges(own, keys, file)
@@ -121,7 +126,7 @@ def replace(rows: DataFrame, path: str, keys: Sequence[str]) -> int:
 
 
 def touched_files(batch: DataFrame, files: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Files of a manifest whose range of keys meets one of the batch's.
+    """Files of a manifest whose range of keys meets one of the batch's. ``keys`` are the table's, or the first of them.
 
     The batch's keys are summed up in up to BATCH_RANGES ranges, so the comparison is of files with
     so many ranges, whatever the batch holds.
@@ -129,7 +134,34 @@ def touched_files(batch: DataFrame, files: DataFrame, keys: Sequence[str]) -> Da
     ranges = batch.select(*keys).repartitionByRange(BATCH_RANGES, *keys).groupBy(F.spark_partition_id().alias("part"))
     key = F.struct(*keys)
     ranges = ranges.agg(F.min(key).alias("first"), F.max(key).alias("last")).select("first", "last")
-    return files.join(F.broadcast(ranges), (F.col("low") <= F.col("last")) & (F.col("high") >= F.col("first")), "left_semi")
+    low, high = (F.struct(*[F.col(f"{side}.{k}").alias(k) for k in keys]) for side in ("low", "high"))
+    return files.join(F.broadcast(ranges), (low <= F.col("last")) & (high >= F.col("first")), "left_semi")
+
+
+def replace_groups(rows: DataFrame, path: str, keys: Sequence[str], groups: DataFrame) -> int:
+    """Publish a version in which ``rows`` stand in place of all stored rows of ``groups``.
+
+    The columns of ``groups`` are the first of ``keys`` (for example the day), so files without one of
+    the groups are carried on. A group without rows is empty afterwards.
+    """
+    spark = rows.sparkSession
+    after = version(spark, path)
+    files = manifest(spark, path, after)
+    if files is None:
+        return commit(rows, path, keys, after)
+    lead = list(keys[: len(groups.columns)])
+    named = groups.select(*lead).distinct()
+    found = touched_files(named, files, lead).select("file", "n_rows").collect()
+    if not found:
+        return commit(rows, path, keys, after, files)
+    touched = spark.createDataFrame([(r.file,) for r in found], "file string")
+    stored = _rows(spark, path, touched)
+    marked = named.select(*[F.col(c).alias(f"_{c}") for c in lead])
+    same = F.lit(True)
+    for c in lead:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    kept = stored.join(marked, same, "left_anti")
+    return commit(kept.unionByName(rows, allowMissingColumns=True), path, keys, after, files.join(touched, "file", "left_anti"), len(found))
 
 
 def upsert(batch: DataFrame, path: str, keys: Sequence[str], order: Sequence[Column | str], attempts: int = 5) -> int:

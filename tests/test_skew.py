@@ -118,3 +118,30 @@ def test_as_of_join_keeps_facts_without_key_or_time(spark):
     log = spark.createDataFrame([("a", 5, 1), ("a", 5, 2), ("a", 9, None), (None, 3, 8), ("b", 2, 9), ("a", None, 7)], "key string, at int, seen int")
     got = {r.id: r.seen for r in ordered.as_of_join(facts, log, ["key"], "at", "seen", lambda at: F.floor(at / 10)).collect()}
     assert got == {1: 2, 2: 2, 3: None, 4: 8, 5: None}
+
+
+def test_several_quantiles_in_one_pass(spark):
+    """A hot key, heavy ties, integers beyond double precision, decimals, texts, a NULL key and single rows."""
+    rng = random.Random(4)
+    big = 2**60
+    rows = [("hot", rng.choice([0, 5, rng.randrange(10**6)])) for _ in range(6000)] + [("tie", 7)] * 500 + [("one", 3), (None, big), (None, big + 1), (None, big + 2), ("none", None)]
+    wanted = {"p0": (0.0, lambda n: F.lit(0)), "p5": (0.05, lambda n: F.ceil(n * 5 / 100) - 1), "mid": (0.5, lambda n: F.floor(n / 2)), "p95": (0.95, lambda n: F.ceil(n * 95 / 100) - 1), "last": (1.0, lambda n: n - 1)}
+    place = {"p0": lambda n: 0, "p5": lambda n: -(-n * 5 // 100) - 1, "mid": lambda n: n // 2, "p95": lambda n: -(-n * 95 // 100) - 1, "last": lambda n: n - 1}
+    groups = defaultdict(list)
+    for key, value in rows:
+        if value is not None:
+            groups[key].append(value)
+    df = spark.createDataFrame(rows, "key string, value bigint").repartition(7)
+    for kind, plain in (("bigint", int), ("decimal(25,2)", int), ("string", str)):
+        typed = df.withColumn("value", F.col("value").cast(kind))
+        got = {r.key: tuple(plain(r[n]) for n in wanted) for r in ordered.exact_quantiles(typed, ["key"], "value", wanted).collect()}
+        assert got == {key: tuple(sorted(map(plain, values))[place[n](len(values))] for n in wanted) for key, values in groups.items()}
+    assert ordered.exact_quantiles(df.limit(0), ["key"], "value", wanted).count() == 0
+
+
+def test_quantiles_of_floats_with_infinities_and_nan(spark):
+    values = [float("-inf"), -0.0, 1.5, float("inf"), float("nan"), float("nan")] + [float(i) for i in range(50)]
+    df = spark.createDataFrame([(v,) for v in values], "value double")
+    wanted = {"first": (0.0, lambda n: F.lit(0)), "mid": (0.5, lambda n: F.floor(n / 2)), "before_last": (0.94, lambda n: n - 3)}
+    got = ordered.exact_quantiles(df, [], "value", wanted).first()
+    assert (got.first, got.mid, got.before_last) == (float("-inf"), 25.0, float("inf"))
