@@ -498,11 +498,12 @@ def drops(t):
 
 @case(
     "moving_average_trend",
-    """SELECT tenant_id, project_key, repo_slug, period::VARCHAR AS period, total, round(avg(total) OVER (PARTITION BY tenant_id, project_key, repo_slug ORDER BY period ROWS 2 PRECEDING), 6) AS moving_avg FROM (
-  SELECT tenant_id, project_key, repo_slug, date_trunc('quarter', date)::DATE AS period, sum(lines_added)::BIGINT AS total FROM <v_commit_fact> WHERE date IS NOT NULL GROUP BY ALL)""",
+    """SELECT tenant_id, project_key, repo_slug, period::VARCHAR AS period, total, round(avg(total) OVER (PARTITION BY tenant_id, project_key, repo_slug ORDER BY period NULLS FIRST ROWS 2 PRECEDING), 6) AS moving_avg FROM (
+  SELECT tenant_id, project_key, repo_slug, date_trunc('quarter', date)::DATE AS period, sum(lines_added)::BIGINT AS total FROM <v_commit_fact> GROUP BY ALL)""",
 )
 def trend(t):
-    return dm.moving_average_trend(commit_fact(t).where(F.col("date").isNotNull()), ["tenant_id", "project_key", "repo_slug"], "date", "lines_added", "quarter", 3)
+    """Commits without a date are a period of their own before all others."""
+    return dm.moving_average_trend(commit_fact(t), ["tenant_id", "project_key", "repo_slug"], "date", "lines_added", "quarter", 3)
 
 
 @case(

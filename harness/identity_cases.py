@@ -1,11 +1,15 @@
 """Change tracking, seeds, matching, grouping, golden record, organisation."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from harness.cases import VIEWS, Tables, case
 from orgpulse.functions import scalars as fx
 from orgpulse.operators import components, history, identity, matching, org
 from orgpulse.operators.history import TRACKED
+from orgpulse.session import ensure_checkpoint_dir
+from orgpulse.sources import versioned
 
 V = VIEWS
 _MEMBER_COLS = ["name", "role", "isRemoved"]
@@ -418,6 +422,25 @@ def groups(t):
 case("identity_components", "SELECT * FROM <v_groups>")(groups)
 
 
+@case("identity_merge_batch", "SELECT rid, group_id FROM <v_groups>")
+def grouped_in_batches(t):
+    """Three batches of pairs, each merged into stored versioned tables of accounts and tokens."""
+    folder = f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/groups-{uuid.uuid4().hex}"
+    accounts, tokens = f"{folder}/accounts", f"{folder}/tokens"
+    pairs = t["b_sparse_tokens"]
+    for part in range(3):
+        batch = pairs.where(F.pmod(F.xxhash64("token", "rid"), F.lit(3)) == part)
+        number = F.lit(part).alias("_batch")
+        if part == 0:
+            known, seen = (t.spark.createDataFrame([], f"{key} {kind}, group_id bigint, _batch int") for key, kind in (("rid", "bigint"), ("token", "string")))
+        else:
+            known, seen = versioned.read(t.spark, accounts), versioned.read(t.spark, tokens)
+        changed, changed_tokens = components.merge_batch(known, seen, batch)
+        versioned.upsert(changed.select("*", number), accounts, ["rid"], ["_batch"])
+        versioned.upsert(changed_tokens.select("*", number), tokens, ["token"], ["_batch"])
+    return versioned.read(t.spark, accounts).select("rid", "group_id")
+
+
 @case("profile_link", "SELECT profile_group_id, min(CASE WHEN o_orderstatus = 'F' THEN 'a' || o_orderkey END) AS F_id, min(CASE WHEN o_orderstatus = 'O' THEN 'a' || o_orderkey END) AS O_id, min(CASE WHEN o_orderstatus = 'P' THEN 'a' || o_orderkey END) AS P_id FROM <orders> JOIN <v_groups> ON rid = o_orderkey GROUP BY ALL")
 def links(t):
     accounts = t["orders"].select(F.col("o_orderstatus").alias("source"), F.concat(F.lit("a"), F.col("o_orderkey").cast("string")).alias("source_account_id"), F.col("o_orderkey").alias("rid"))

@@ -346,9 +346,7 @@ case("version_numbers", "SELECT user_id, event_id, row_number() OVER (PARTITION
     lambda t: ordered.with_row_number(t["events"].select("user_id", "event_id", "ts"), ["user_id"], ["ts", "event_id"], F.to_date("ts"), "version_num").drop("ts")
 )
 case("next_and_previous", "SELECT user_id, event_id, lag(event_id) OVER w AS prev_id, lead(event_id) OVER w AS next_id FROM <events> WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")(
-    lambda t: ordered.with_neighbour(
-        ordered.with_neighbour(t["events"].select("user_id", "event_id", "ts"), ["user_id"], ["ts", "event_id"], {"prev_id": "event_id"}, F.to_date("ts"), "previous"), ["user_id"], ["ts", "event_id"], {"next_id": "event_id"}, F.to_date("ts"), "next"
-    ).drop("ts")
+    lambda t: ordered.with_neighbours(t["events"].select("user_id", "event_id", "ts"), ["user_id"], ["ts", "event_id"], {"prev_id": "event_id"}, {"next_id": "event_id"}, F.to_date("ts")).drop("ts")
 )
 case("percent_rank", "SELECT event_type, event_id, round(percent_rank() OVER (PARTITION BY event_type ORDER BY value), 6) AS pr FROM <events>")(
     lambda t: ordered.percent_rank_by(t["events"].select("event_type", "event_id", "value"), ["event_type"], "value", "pr").drop("value")
@@ -438,7 +436,12 @@ case("scalar_regex", "SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)license
 case("scalar_hashes", "SELECT c_custkey, md5(concat_ws('-', c_custkey::VARCHAR, c_name)) AS digest, length(c_name) AS n FROM <customer>")(
     lambda t: t["customer"].select("c_custkey", fx.digest_key("-", "c_custkey", "c_name").alias("digest"), F.length("c_name").alias("n"))
 )
-case("scalar_row_hash")(lambda t: t["customer"].select("c_custkey", fx.row_hash(["c_name", "c_mktsegment"], "__null__").alias("h"), fx.stable_uuid("c_name").alias("u")))
+_TEXTS = "|".join(f"' || length({c}) || '|' || {c} || '" for c in ("c_name", "c_mktsegment"))
+_UUID = "md5(c_name)"
+case(
+    "scalar_row_hash",
+    f"SELECT c_custkey, sha256('{_TEXTS}') AS h, substr({_UUID}, 1, 8) || '-' || substr({_UUID}, 9, 4) || '-' || substr({_UUID}, 13, 4) || '-' || substr({_UUID}, 17, 4) || '-' || substr({_UUID}, 21, 12) AS u FROM <customer>",
+)(lambda t: t["customer"].select("c_custkey", fx.row_hash(["c_name", "c_mktsegment"], "__null__").alias("h"), fx.stable_uuid("c_name").alias("u")))
 case("scalar_arrays", "SELECT page_id, string_split(url, '/')[1] AS first_part, string_split(url, '/')[-1] AS last_part, len(string_split(url, '/')) AS n FROM <pages>")(
     lambda t: t["pages"].select("page_id", F.array_distinct(F.split("url", "/"))[0].alias("first_part"), F.element_at(F.split("url", "/"), -1).alias("last_part"), F.size(F.split("url", "/")).alias("n"))
 )

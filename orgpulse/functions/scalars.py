@@ -70,8 +70,9 @@ def digest_key(sep: str, *parts: ColumnLike) -> Column:
 
 
 def row_hash(columns: Sequence[ColumnLike], null_marker: str) -> Column:
-    """64-bit hash over the text of all columns; NULL differs from ''."""
-    return F.xxhash64(*[F.coalesce(as_col(c).cast("string"), F.lit(null_marker)) for c in columns])
+    """SHA-256 over the text of all columns, each with its length before it; NULL differs from ''."""
+    texts = [F.coalesce(as_col(c).cast("string"), F.lit(null_marker)) for c in columns]
+    return F.sha2(F.concat_ws("|", *[x for t in texts for x in (F.length(t).cast("string"), t)]), 256)
 
 
 def stable_uuid(*parts: ColumnLike) -> Column:

@@ -62,6 +62,32 @@ def identity_components(pairs: DataFrame, max_iter: int | None = None, rank: boo
     return dense_rank_all(everyone, "group_id", "profile_group_id") if rank else everyone
 
 
+def merge_batch(groups: DataFrame, tokens: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What a batch of new (token, rid) pairs changes in stored groups: rows (rid, group_id) and (token, group_id) to upsert.
+
+    ``groups`` holds the group of every stored account, ``tokens`` that of every stored token; both may
+    be empty. Only what the batch names takes part in the rounds: an account or token stands for its whole
+    group, so the graph is as large as the batch, and only members of groups that merge are given back.
+    The result is that of one run over all pairs, whatever the batches are.
+    """
+    pairs = cut_lineage(batch.select("token", F.col("rid").cast("bigint").alias("rid")).distinct())
+    known = groups.select("rid", F.col("group_id").alias("_own")).join(pairs.select("rid").distinct(), "rid", "left_semi")
+    seen = tokens.select("token", F.col("group_id").alias("_theirs")).join(pairs.select("token").distinct(), "token", "left_semi")
+    placed = pairs.join(known, "rid", "left").withColumn("node", F.coalesce("_own", "rid"))
+    # A token links what the batch says uses it, and the group that used it before.
+    edges = placed.select("token", F.col("node").alias("rid")).unionByName(seen.select("token", F.col("_theirs").alias("rid")))
+    moved = cut_lineage(identity_components(edges, rank=False).select(F.col("rid").alias("group_id"), F.col("group_id").alias("_new")))
+
+    def regrouped(stored: DataFrame, key: str) -> DataFrame:
+        shifted = moved.where(F.col("group_id") != F.col("_new"))
+        return stored.select(key, "group_id").join(shifted, "group_id").select(key, F.col("_new").alias("group_id"))
+
+    fresh = placed.select("rid", "token", F.col("node").alias("group_id"), F.col("_own").isNull().alias("_is_new")).join(moved, "group_id")
+    accounts = fresh.where("_is_new").select("rid", F.col("_new").alias("group_id")).distinct().unionByName(regrouped(groups, "rid"))
+    new_tokens = fresh.join(seen, "token", "left_anti").select("token", F.col("_new").alias("group_id")).distinct()
+    return accounts, new_tokens.unionByName(regrouped(tokens, "token"))
+
+
 def manual_bridges(pairs: DataFrame, manual: DataFrame) -> DataFrame:
     """Synthetic rows that give both tokens of a manual pair to the accounts using either."""
     both = manual.select(F.col("token_a").alias("token"), F.col("token_b").alias("other")).unionByName(
@@ -146,7 +172,9 @@ def lastname_review_list(names: DataFrame, emails: DataFrame, common: Sequence[s
 
     ``names``: (last_name, group_id); ``emails``: (email, group_id). A name of n letters reaches
     ``min_score`` only if its first ceil(min_score * n) letters occur together in the word, so an
-    equi-join on these finds every pair. ``min_score`` must be above 0, where no letter is needed.
+    equi-join on these finds every pair. From each letter of a word only stretches of lengths that some
+    name needs are looked up, so a word gives at most its letters times those lengths. ``min_score``
+    must be above 0, where no letter is needed.
     """
     if min_score <= 0:
         raise ValueError("min_score must be above 0")
@@ -163,10 +191,13 @@ def lastname_review_list(names: DataFrame, emails: DataFrame, common: Sequence[s
     words = emails.select(
         "email", F.col("group_id").alias("email_group"), F.explode(F.array_distinct(F.split(local, "[^a-z]+"))).alias("word")
     ).where(F.col("word") != "")
-    ends = F.sequence(F.lit(1), F.length("word"))
-    grams = F.flatten(F.transform(ends, lambda e: F.transform(F.sequence(F.lit(1), e), lambda i: F.substring(F.col("word"), i, e - i + 1))))
+    # As many lengths as the longest name has letters, at most.
+    lengths = terms.agg(F.collect_set(F.length("gram"))).scalar()
+    distinct_words = words.select("word").distinct().withColumn("_length", F.explode(lengths)).where(F.col("_length") <= F.length("word"))
+    starts = F.sequence(F.lit(1), F.length("word") - F.col("_length") + 1)
+    grams = F.transform(starts, lambda i: F.substring(F.col("word"), i, F.col("_length")))
     # Distinct names meet distinct words; only pairs that reach the score are spread to groups and mails.
-    by_gram = words.select("word").distinct().withColumn("gram", F.explode(F.array_distinct(grams)))
+    by_gram = distinct_words.withColumn("gram", F.explode(F.array_distinct(grams)))
     close = (
         by_gram.join(terms.select("last_name", "gram").distinct(), "gram")
         .select("last_name", "word", lastname_score(F.col("last_name"), F.col("word")).alias("score"))

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from orgpulse.functions import scalars as fx
-from orgpulse.operators.ordered import latest_per_key, with_neighbour
+from orgpulse.operators.ordered import latest_per_key, with_neighbour, with_row_number
 from orgpulse.operators.org import temporal_join
 
 FIELD = ["tenant_id", "issue_id", "field_id"]
+# Events of a field that are compared with what is held during them at once.
+CHUNK_EVENTS = 256
 
 
 def field_history_full_values(deltas: DataFrame) -> DataFrame:
@@ -22,33 +24,29 @@ def field_history_full_values(deltas: DataFrame) -> DataFrame:
     (single/multi), delta_action (set/add/remove), delta_value. A single field
     holds what its event set. In a multi field each added value holds until the
     next event on that value, and an event's list is the values whose interval
-    covers it. Events and intervals also meet on the month, so a field with
-    very many events is split over its months.
+    covers it. A field's events are cut into chunks of CHUNK_EVENTS, and an interval is carried into
+    the chunks that it reaches: events meet the intervals of their own chunk, so the work follows the
+    events and what is held, however many events a field has in a month.
     """
     single = F.col("field_cardinality") == "single"
     gives = F.col("delta_action").isin("set", "add") & F.col("delta_value").isNotNull()
     alone = deltas.where(single).withColumn(
         "value_ids", F.when(gives, F.array("delta_value")).otherwise(F.array().cast("array<string>"))
     )
-
-    def month(at: Column) -> Column:
-        return F.date_trunc("month", at)
-
-    rows = deltas.where(~single).withColumn("_pos", F.struct("event_at", "event_id"))
-    near = with_neighbour(
-        rows, [*FIELD, "delta_value"], ["event_at", "event_id"], {"_until": "_pos"}, month(F.col("event_at")), "next"
-    )
-    ends = rows.groupBy(*FIELD).agg(F.max("event_at").alias("_end"))
-    last = F.coalesce(F.col("_until.event_at"), F.col("_end"))
+    month, order = F.date_trunc("month", F.col("event_at")), ["event_at", "event_id"]
+    numbered = with_row_number(deltas.where(~single), FIELD, order, month, "_n")
+    rows = numbered.withColumn("_chunk", F.floor((F.col("_n") - 1) / CHUNK_EVENTS)).withColumn("_pos", F.struct(*order)).drop("_n")
+    near = with_neighbour(rows, [*FIELD, "delta_value"], order, {"_until": "_pos", "_until_chunk": "_chunk"}, month, "next")
+    ends = rows.groupBy(*FIELD).agg(F.max("_chunk").alias("_end"))
     held = near.where(gives).join(ends, FIELD).select(
         *FIELD,
-        F.explode(F.sequence(month(F.col("event_at")), month(last), F.expr("INTERVAL 1 MONTH"))).alias("_month"),
+        F.explode(F.sequence("_chunk", F.coalesce("_until_chunk", "_end"))).alias("_chunk"),
         F.col("_pos").alias("_from"),
         "_until",
         "delta_value",
     )
-    left, right = rows.withColumn("_month", month(F.col("event_at"))).alias("e"), held.alias("h")
-    same = fx.all_of(F.col(f"e.{k}") == F.col(f"h.{k}") for k in [*FIELD, "_month"])
+    left, right = rows.alias("e"), held.alias("h")
+    same = fx.all_of(F.col(f"e.{k}") == F.col(f"h.{k}") for k in [*FIELD, "_chunk"])
     covers = (F.col("h._from") <= F.col("e._pos")) & (F.col("h._until").isNull() | (F.col("e._pos") < F.col("h._until")))
     several = (
         left.join(right, same & covers, "left")

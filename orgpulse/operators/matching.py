@@ -87,22 +87,38 @@ def _keyed(df: DataFrame, side: str, fuzzy: bool) -> DataFrame:
     return df.withColumn("_e", F.explode(found)).select("*", "_e.family", "_e.key").drop("_e")
 
 
-def shared_letter_keys(name: Column) -> Column:
-    """Keys of which two names at ``NAME_SIMILARITY`` or above always have one in common.
-
-    With a common start of at most four letters such names have a Jaro similarity of 11/12 or
-    more, so that at least three quarters of the letters of either are matched. Letters are taken as
-    a set (the second e is another member than the first) in one order, seldom ones first. Of n
-    letters at least o = ceil(3n/4) are shared, so the first three shared ones lie among the
-    first n - o + 3 on both sides. Each three of these are a key. Of names of one or two letters
-    only equal ones are so near.
-    """
+def _numbered_letters(name: Column) -> Column:
+    """Letters of a name as a set: the second e is another member than the first."""
     letters = F.split(name, "")
-    numbered = F.transform(
-        letters, lambda c, i: F.concat(F.lpad(F.size(F.filter(F.slice(letters, F.lit(1), i + 1), lambda x: x == c)).cast("string"), 6, "0"), c)
-    )
-    n = F.size(letters)
-    first = F.slice(F.sort_array(numbered, asc=False), F.lit(1), n - F.ceil(n * 3 / 4).cast("int") + 3)
+    return F.transform(letters, lambda c, i: F.concat(F.lpad(F.size(F.filter(F.slice(letters, F.lit(1), i + 1), lambda x: x == c)).cast("string"), 6, "0"), c))
+
+
+def _measured(numbered: Column) -> Column:
+    """What a numbered letter is counted as: the ninth e and those after it as the eighth, so that counts are bounded by the alphabet."""
+    return F.concat(F.least(F.substring(numbered, 1, 6), F.lit("000008")), F.substring(numbered, 7, 2))
+
+
+def letter_counts(names: DataFrame, name: str) -> Column:
+    """Map of each letter to the number of names that have it (of repeated letters, that many times)."""
+    letters = names.select(F.explode(F.array_distinct(F.transform(_numbered_letters(F.col(name)), _measured))).alias("letter"))
+    counted = letters.groupBy("letter").agg(F.count(F.lit(1)).alias("n"))
+    return counted.agg(F.map_from_entries(F.collect_list(F.struct("letter", "n")))).scalar()
+
+
+def seldom_letters(name: Column, counts: Column) -> Column:
+    """The letters of a name by which another one at ``NAME_SIMILARITY`` or above can be found, seldom ones (by ``counts``) first.
+
+    With a common start of at most four letters such names have a Jaro similarity of 11/12 or more, so that
+    at least three quarters of the letters of either are matched. Of n letters at least o = ceil(3n/4) are
+    shared, so in one order of all letters the first three shared ones lie among the first n - o + 3 on both sides.
+    """
+    rated = F.transform(_numbered_letters(name), lambda c: F.struct(F.coalesce(F.try_element_at(counts, _measured(c)), F.lit(0)).alias("n"), c.alias("c")))
+    n = F.length(name)
+    return F.transform(F.slice(F.sort_array(rated), F.lit(1), n - F.ceil(n * 3 / 4).cast("int") + 3), lambda r: r["c"])
+
+
+def shared_letter_keys(name: Column, first: Column) -> Column:
+    """Keys of which two such names always have one in common: each three of ``first`` (a column of ``seldom_letters``). Of names of one or two letters only equal ones are so near."""
 
     def after(i: Column) -> Column:
         return F.slice(first, i, F.size(first))
@@ -110,17 +126,26 @@ def shared_letter_keys(name: Column) -> Column:
     threes = F.flatten(
         F.transform(first, lambda a, i: F.flatten(F.transform(after(i + 2), lambda b, j: F.transform(after(i + j + 3), lambda c: F.concat(a, b, c)))))
     )
-    return F.when(n < 3, F.array(name)).otherwise(threes)
+    return F.when(F.length(name) < 3, F.array(name)).otherwise(threes)
 
 
 def similar_names(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(tenant_id, name, other, similarity): pairs of distinct (tenant_id, name) at ``NAME_SIMILARITY`` or above."""
+    """(tenant_id, name, other, similarity): pairs of distinct (tenant_id, name) at ``NAME_SIMILARITY`` or above.
+
+    Names meet on their seldomest letters, by how many names have each, and only if their lengths allow
+    the similarity.
+    """
+    # One row per name holds the counts that its letters are ordered by.
+    counts = letter_counts(left.select("name").union(right.select("name")).distinct(), "name")
 
     def keyed(df: DataFrame, out: str) -> DataFrame:
-        names = df.select("tenant_id", F.col("name").alias(out)).where(F.col(out) != "").distinct()
-        return names.withColumn("_key", F.explode(shared_letter_keys(F.col(out))))
+        names = df.select("tenant_id", F.col("name").alias(out)).where(F.col(out) != "").distinct().withColumn("_counts", counts)
+        rated = names.withColumn("_first", seldom_letters(F.col(out), F.col("_counts")))
+        return rated.select("tenant_id", out, F.length(out).alias(f"_{out}"), F.explode(shared_letter_keys(F.col(out), F.col("_first"))).alias("_key"))
 
-    pairs = keyed(left, "name").join(keyed(right, "other"), ["tenant_id", "_key"]).select("tenant_id", "name", "other").distinct()
+    # Three quarters of the longer name's letters are matched, so the shorter one has as many.
+    near = (F.col("_name") * 4 >= F.col("_other") * 3) & (F.col("_other") * 4 >= F.col("_name") * 3)
+    pairs = keyed(left, "name").join(keyed(right, "other"), ["tenant_id", "_key"]).where(near).select("tenant_id", "name", "other").distinct()
     return pairs.withColumn("similarity", jaro_winkler(F.col("name"), F.col("other"))).where(F.col("similarity") >= NAME_SIMILARITY)
 
 

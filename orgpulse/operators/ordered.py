@@ -3,7 +3,9 @@
 * Latest row: ``max_by`` on a struct. It combines on the map side, so a hot key
   reaches the reducer as one row per map task, unlike ``row_number``.
 * Neighbours (lag/lead): windows run per (key, time bucket); only the first row
-  of each bucket looks across, through one summary row per bucket.
+  of each bucket looks across, through one summary row per bucket. A bucket of one key
+  that holds very many rows is cut at values of the order drawn from a sample, so no
+  window is longer than about HOT_ROWS whatever the data.
 * Ranks: equal values are counted first, the value range is cut into buckets, and
   positions come from bucket offsets plus a window inside the bucket. No window ever
   spans a whole group of rows.
@@ -21,6 +23,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+# Rows of one key and bucket from which on they are cut, about as many to a part, and sampled rows of a part that the cuts are drawn from.
+HOT_ROWS = 200_000
+CUT_SAMPLE = 8
 # Stretches that a key's values are cut into at most (a square number), and distinct values that one stretch should have.
 RANK_BUCKETS = 1024
 RANK_VALUES = 32_768
@@ -38,6 +43,15 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column |
     return _unpack(picked, df.columns, keys)
 
 
+def newest_per_key(df: DataFrame, keys: Sequence[str], by: Sequence[str] = ("_airbyte_extracted_at",)) -> DataFrame:
+    """One row per key: the newest by those columns of ``by`` that there are, of equally new ones that with the greatest values.
+
+    For dimensions whose log can hold several rows of a key, before facts are joined to them.
+    """
+    order = [c for c in by if c in df.columns]
+    return latest_per_key(df, keys, [*order, *[c for c in df.columns if c not in {*keys, *order}]])
+
+
 def _unpack(picked: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
     return picked.select(*[F.col(c) if c in set(keys) else F.col(f"_row.{c}").alias(c) for c in columns])
 
@@ -61,42 +75,83 @@ def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: st
     return left.join(other, equal, how).drop(*[f"_right_{c}" for c in on])
 
 
-def with_neighbour(
+def _bucketed(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, hot_rows: int | None = None) -> DataFrame:
+    """``df`` with ``_bucket``, which doesn't fall as ``order`` rises and of which a key has about ``hot_rows`` rows at most.
+
+    Buckets within that size stay whole. Of a larger one a sample of its rows' orders gives the cuts;
+    rows of equal order stay together, so what follows is exact wherever they lie.
+    """
+    hot_rows = hot_rows or HOT_ROWS
+    marked = df.withColumn("_bucket", bucket)
+    by = [*keys, "_bucket"]
+    hot = marked.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
+    if hot.isEmpty():
+        return marked.withColumn("_bucket", F.struct(F.col("_bucket").alias("b"), F.lit(0).alias("cut")))
+    place = F.struct(*[F.col(o).alias(f"o{i}") for i, o in enumerate(order)])
+    # A row is drawn by a hash of its order, as many for each part.
+    one_in = F.greatest(F.lit(1), F.lit(hot_rows // CUT_SAMPLE))
+    drawn = null_safe_join(marked.select(*by, place.alias("_place")), hot, by).where(F.pmod(F.xxhash64("_place"), one_in) == 0)
+    cuts = drawn.groupBy(*by).agg(F.sort_array(F.collect_set("_place")).alias("_drawn"))
+    cuts = cuts.select(*by, F.filter("_drawn", lambda _, i: (i + 1) % CUT_SAMPLE == 0).alias("_cuts"))
+    # Two short looks: which stretch of cuts, then where in it.
+    step = F.ceil(F.sqrt(F.greatest(F.size("_cuts"), F.lit(1)))).cast("int")
+    cuts = cuts.select(*by, "_cuts", step.alias("_step"), F.filter("_cuts", lambda _, i: i % step == 0).alias("_heads"))
+    stretch = F.greatest(F.size(F.filter("_heads", lambda c: c < place)) - 1, F.lit(0)) * F.col("_step")
+    inside = F.size(F.filter(F.slice("_cuts", stretch + 1, F.col("_step")), lambda c: c < place))
+    cut = F.when(F.col("_cuts").isNull(), 0).otherwise(stretch + inside)
+    placed = null_safe_join(marked, cuts, by, "left").withColumn("_bucket", F.struct(F.col("_bucket").alias("b"), cut.alias("cut")))
+    return placed.drop("_cuts", "_step", "_heads")
+
+
+def with_neighbours(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    values: dict[str, str],
+    previous: dict[str, str],
+    following: dict[str, str],
     bucket: Column,
-    direction: str,
+    hot_rows: int | None = None,
 ) -> DataFrame:
-    """Add columns of the previous or next row of the same key.
+    """Add columns of the previous and of the next row of the same key, each a map of new column name to source column.
 
-    ``values`` maps new column name to source column. ``bucket`` must not fall
-    as ``order`` rises (for example the day of the timestamp).
+    ``bucket`` must not fall as ``order`` rises (for example the day of the timestamp).
     """
-    back = direction == "previous"
-    marked = df.withColumn("_bucket", bucket)
+    marked = _bucketed(df, keys, order, bucket, hot_rows)
     by_bucket = [*keys, "_bucket"]
-    fields = F.struct(*[F.col(src).alias(new) for new, src in values.items()])
-    step = Window.partitionBy(*by_bucket).orderBy(*[F.col(o).asc() if back else F.col(o).desc() for o in order])
-    inside = marked.withColumn("_near", F.lag(fields).over(step)).withColumn(
-        "_edge", F.row_number().over(step) == 1
-    )
-
     position = F.struct(*[F.col(o) for o in order])
-    edge_row = (F.max_by if back else F.min_by)(fields, position)
-    summary = marked.groupBy(*by_bucket).agg(edge_row.alias("_last"))
-    across = Window.partitionBy(*keys).orderBy(F.col("_bucket").asc() if back else F.col("_bucket").desc())
-    carried = summary.select(*by_bucket, F.lag("_last").over(across).alias("_carried"), F.lit(True).alias("_edge"))
+    step = Window.partitionBy(*by_bucket).orderBy(*[F.col(o).asc() for o in order])
+    across = Window.partitionBy(*keys).orderBy("_bucket")
+    sides = [s for s in (("_prev", previous, F.lag, F.max_by), ("_next", following, F.lead, F.min_by)) if s[1]]
+    inside, edges, carried = marked, [], []
+    for name, values, shift, edge in sides:
+        fields = F.struct(*[F.col(src).alias(new) for new, src in values.items()])
+        # The neighbour inside the bucket; the first or last row of a bucket has none there.
+        inside = inside.withColumn(name, shift(F.struct(fields.alias("row"))).over(step))
+        edges.append(edge(fields, position).alias(f"{name}_edge"))
+        carried.append(shift(f"{name}_edge").over(across).alias(f"{name}_far"))
+    summary = marked.groupBy(*by_bucket).agg(*edges).select(*by_bucket, *carried)
+    joined = null_safe_join(inside, summary, by_bucket)
+    near = {name: F.when(F.col(name).isNotNull(), F.col(f"{name}.row")).otherwise(F.col(f"{name}_far")) for name, *_ in sides}
+    return joined.select(*df.columns, *[near[name][new].alias(new) for name, values, *_ in sides for new in values])
+
 
-    joined = null_safe_join(inside, carried, [*by_bucket, "_edge"], "left")
-    near = F.coalesce(F.col("_near"), F.col("_carried"))
-    return joined.select(*df.columns, *[near[new].alias(new) for new in values])
+def with_neighbour(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    values: dict[str, str],
+    bucket: Column,
+    direction: str,
+    hot_rows: int | None = None,
+) -> DataFrame:
+    """Add columns of the previous or next row of the same key, see ``with_neighbours``."""
+    back = direction == "previous"
+    return with_neighbours(df, keys, order, values if back else {}, {} if back else values, bucket, hot_rows)
 
 
-def with_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, out: str) -> DataFrame:
-    """1-based position per key. ``bucket`` must not fall as ``order`` rises; windows span one bucket each."""
-    placed = df.withColumn("_bucket", bucket)
+def with_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, out: str, hot_rows: int | None = None) -> DataFrame:
+    """1-based position per key. ``bucket`` must not fall as ``order`` rises; windows span one bucket, or a part of one, each."""
+    placed = _bucketed(df, keys, order, bucket, hot_rows)
     sizes = placed.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
@@ -106,17 +161,17 @@ def with_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[str], bu
     return joined.select(*df.columns, (F.col("_rn") + F.col("_before")).alias(out))
 
 
-def as_of_join(facts: DataFrame, log: DataFrame, keys: Sequence[str], at: str, value: str, bucket: Callable[[Column], Column]) -> DataFrame:
+def as_of_join(facts: DataFrame, log: DataFrame, keys: Sequence[str], at: str, value: str, bucket: Callable[[Column], Column], hot_rows: int | None = None) -> DataFrame:
     """``facts`` with the ``value`` that ``log`` held for the same keys at or before ``at``; NULL if none.
 
     Both sides have columns ``keys`` and ``at``. Of log rows with one key and time the largest value
     counts; log rows without time or value never do, and facts without time find nothing. NULL keys
-    meet each other. ``bucket`` must not fall as time rises: it splits a hot key, and what was seen
-    before a bucket is carried in by one row per key and bucket.
+    meet each other. ``bucket`` must not fall as time rises: it splits a hot key, a hot bucket is cut
+    again, and what was seen before a bucket is carried in by one row per key and bucket.
     """
     seen = log.where(F.col(at).isNotNull()).groupBy(*keys, at).agg(F.max(value).alias(value))
     sides = seen.withColumn("_side", F.lit(0)).unionByName(facts.withColumn("_side", F.lit(1)), allowMissingColumns=True)
-    rows = sides.withColumn("_bucket", bucket(F.col(at)))
+    rows = _bucketed(sides, keys, [at], bucket(F.col(at)), hot_rows)
     by_bucket = [*keys, "_bucket"]
     inside = Window.partitionBy(*by_bucket).orderBy(at, "_side").rowsBetween(Window.unboundedPreceding, 0)
     near = rows.withColumn("_near", F.last(value, ignorenulls=True).over(inside)).where(F.col("_side") == 1)

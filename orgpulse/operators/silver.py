@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orgpulse.functions import scalars as fx
+from orgpulse.operators.ordered import newest_per_key
 
 # File categories by path; the first match wins, everything else is code.
 SPEC_PATTERN = r"(?i)(\.spec\.|\.test\.|__tests__/|/tests?/)"
@@ -136,7 +137,8 @@ def focus_metrics(comms: DataFrame, working_hours: DataFrame) -> DataFrame:
     """Meeting load and focus share per tenant, e-mail and day.
 
     Meetings are folded per person and day first, so the working-hours join
-    meets one row per person-day. Both ends of the focus share are bounded.
+    meets one row per person-day; of several schedules of a person the newest counts. Both ends of
+    the focus share are bounded.
     """
     keys = ["tenant_id", "email"]
     meeting = F.col("event_type") == "meeting_participation"
@@ -150,7 +152,8 @@ def focus_metrics(comms: DataFrame, working_hours: DataFrame) -> DataFrame:
         )
         .where(F.col("day").isNotNull())
     )
-    hours = working_hours.select("tenant_id", F.lower("email").alias("email"), "working_hours_per_day").distinct()
+    hours = newest_per_key(working_hours.withColumn("email", F.lower("email")), keys, ["ingested_at", "_airbyte_extracted_at"])
+    hours = hours.select(*keys, "working_hours_per_day")
     joined = daily.join(hours, keys, "left")
     base = F.coalesce(F.col("working_hours_per_day"), F.lit(8.0))
     met = F.col("_seconds") / F.lit(3600.0)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orgpulse.functions import scalars as fx
+from orgpulse.operators.ordered import newest_per_key
 
 
 def cursor_dev_usage(resync: DataFrame, realtime: DataFrame, today: Column | str) -> DataFrame:
@@ -62,11 +63,11 @@ def code_dev_usage(usage: DataFrame, client: str, provider: str) -> DataFrame:
 
 
 def api_usage(usage: DataFrame, api_keys: DataFrame, workspaces: DataFrame, provider: str) -> DataFrame:
-    """Token totals per key, workspace and model, with the names of key and workspace."""
-    keys = api_keys.select("tenant_id", F.col("id").alias("api_key_id"), F.col("name").alias("key_name")).distinct()
-    spaces = workspaces.select(
+    """Token totals per key, workspace and model, with the newest names of key and workspace."""
+    keys = newest_per_key(api_keys, ["tenant_id", "id"]).select("tenant_id", F.col("id").alias("api_key_id"), F.col("name").alias("key_name"))
+    spaces = newest_per_key(workspaces, ["tenant_id", "id"]).select(
         "tenant_id", F.col("id").alias("workspace_id"), F.col("display_name").alias("workspace_name")
-    ).distinct()
+    )
     creation = F.col("cache_creation_5m_tokens") + F.col("cache_creation_1h_tokens")
     total_in = F.col("uncached_input_tokens") + F.col("cache_read_tokens") + creation
     identity = ["date", "model", "api_key_id", "workspace_id", "service_tier", "context_window"]

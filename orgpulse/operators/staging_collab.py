@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orgpulse.functions import scalars as fx
-from orgpulse.operators.ordered import latest_per_key
+from orgpulse.operators.ordered import latest_per_key, newest_per_key
 
 
 def _none(kind: str) -> Column:
@@ -209,7 +209,7 @@ def zoom_meetings(participants: DataFrame, meetings: DataFrame) -> DataFrame:
         .groupBy(*scope, "email", fx.or_empty("user_name").alias("user_name"), day.alias("date"), "meeting_uuid")
         .agg(F.count(F.lit(1)).alias("sessions"), F.sum(_session_seconds()).alias("seconds"))
     )
-    features = meetings.select(
+    features = newest_per_key(meetings, [*scope, "uuid"]).select(
         *scope,
         F.col("uuid").alias("meeting_uuid"),
         fx.flag(F.col("has_video")).alias("video"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orgpulse.functions import scalars as fx
+from orgpulse.operators.ordered import newest_per_key
 
 # Defaults used when the directory gives no schedule.
 HOURS_PER_DAY = 8.0
@@ -13,9 +14,9 @@ HOURS_PER_WEEK = 40.0
 
 
 def hr_leave_events(leave: DataFrame, employees: DataFrame) -> DataFrame:
-    """Leave requests with both dates, beside the e-mail of the employee."""
+    """Leave requests with both dates, beside the newest e-mail of the employee."""
     start, end = fx.parse_time("start"), fx.parse_time("end")
-    people = employees.select("tenant_id", F.col("id").alias("employeeId"), F.col("workEmail").alias("email"))
+    people = newest_per_key(employees, ["tenant_id", "id"]).select("tenant_id", F.col("id").alias("employeeId"), F.col("workEmail").alias("email"))
     dated = leave.where(F.col("employeeId").isNotNull()).withColumns({"start_date": start, "end_date": end})
     return (
         dated.where(F.col("start_date").isNotNull() & F.col("end_date").isNotNull())

@@ -15,7 +15,7 @@ def test_every_sql_belongs_to_a_query():
     # Queries without SQL: a queue checked against the walk-through, a sketch, a hash without a SQL twin.
     # The training-data subpackage tests its own and may be absent.
     own = set(queries) - set(contract.LLM)
-    assert own - set(sql) == {"bootstrap_job_unmapped", "distinct_aggregate_approx", "scalar_row_hash"}
+    assert own - set(sql) == {"bootstrap_job_unmapped", "distinct_aggregate_approx"}
 
 
 def test_entry(spark):

@@ -209,3 +209,31 @@ def test_two_supervisors_give_one_row(spark, rows):
     store = spark.createDataFrame(lines, "tenant_id string, person_id string, supervisor_id string")
     got = rows(identity.subordinates(store, "top"), "person_id", "depth")
     assert got == [("b", 1), ("c", 1), ("d", 1), ("e", 2)]
+
+
+def test_merging_batches_equals_one_run(spark):
+    import random
+
+    rng = random.Random(6)
+    pairs = [(f"t{rng.randrange(60)}", rng.randrange(80)) for _ in range(110)] + [("lone", 500), ("t1", 7), ("t1", 7)]
+    want = {r.rid: r.group_id for r in components.identity_components(spark.createDataFrame(pairs, "token string, rid bigint"), rank=False).collect()}
+    accounts, tokens, given = {}, {}, []
+    for at in range(0, len(pairs), 23):
+        batch = spark.createDataFrame(pairs[at : at + 23], "token string, rid bigint")
+        stored = spark.createDataFrame(list(accounts.items()), "rid bigint, group_id bigint"), spark.createDataFrame(list(tokens.items()), "token string, group_id bigint")
+        changed, changed_tokens = ([tuple(r) for r in df.collect()] for df in components.merge_batch(*stored, batch))
+        assert len({k for k, _ in changed}) == len(changed) and len({k for k, _ in changed_tokens}) == len(changed_tokens)
+        given.append(len(changed))
+        accounts.update(changed)
+        tokens.update(changed_tokens)
+    assert accounts == want and tokens == {t: want[r] for t, r in pairs}
+    repeated = spark.createDataFrame(pairs[:20], "token string, rid bigint")
+    stored = spark.createDataFrame(list(accounts.items()), "rid bigint, group_id bigint"), spark.createDataFrame(list(tokens.items()), "token string, group_id bigint")
+    assert [df.count() for df in components.merge_batch(*stored, repeated)] == [0, 0]
+
+
+def test_a_very_long_word_gives_few_keys(spark, rows):
+    names = spark.createDataFrame([("Meier", 1), ("Ng", 2)], "last_name string, group_id int")
+    mails = spark.createDataFrame([("x" * 3000 + "meie" + "y" * 3000 + "@x.com", 3), ("ng@x.com", 2)], "email string, group_id int")
+    got = rows(components.lastname_review_list(names, mails, [], 0.3), "last_name", "email_group")
+    assert got == [("meier", 3)]

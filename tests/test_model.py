@@ -261,3 +261,46 @@ def test_lookback_takes_all_on_first_run(spark):
     df = spark.createDataFrame([("2024-01-0%d" % d,) for d in range(1, 9)], "day string").select(F.col("day").cast("date").alias("day"))
     assert incremental.incremental_with_lookback(df, df.where("false"), "day", 3).count() == 8
     assert incremental.incremental_with_lookback(df, df.where("day <= '2024-01-06'"), "day", 3).count() == 5
+
+
+def test_two_names_of_a_key_do_not_double_facts(spark):
+    from orgpulse.operators import silver, staging_ai, staging_collab, staging_people
+
+    keys = spark.createDataFrame([("t", "k", "old", 1), ("t", "k", "new", 2)], "tenant_id string, id string, name string, _airbyte_extracted_at int")
+    spaces = spark.createDataFrame([("t", "w", "a"), ("t", "w", "b")], "tenant_id string, id string, display_name string")
+    tokens = ["uncached_input_tokens", "cache_read_tokens", "cache_creation_5m_tokens", "cache_creation_1h_tokens", "output_tokens", "web_search_requests"]
+    usage = spark.createDataFrame([("t", "s", "2024-01-01", "m", "k", "w", "std", "big", *[5] * len(tokens))], "tenant_id string, source_id string, date string, model string, api_key_id string, workspace_id string, service_tier string, context_window string, " + ", ".join(f"{c} bigint" for c in tokens))
+    found = staging_ai.api_usage(usage, keys, spaces, "p").collect()
+    assert len(found) == 1 and {"new", "b"} <= set(map(str, found[0]))
+
+    calls = spark.createDataFrame([("t", "z", "a@x", "A", "m1", "2024-01-01T10:00:00Z", "2024-01-01T10:30:00Z")], "tenant_id string, source_id string, email string, user_name string, meeting_uuid string, join_time string, leave_time string")
+    meetings = spark.createDataFrame([("t", "z", "m1", True, False), ("t", "z", "m1", True, True)], "tenant_id string, source_id string, uuid string, has_video boolean, has_screen_share boolean")
+    assert [(r.audio_duration_seconds, r.video_duration_seconds) for r in staging_collab.zoom_meetings(calls, meetings).collect()] == [(1800, 1800)]
+
+    leave = spark.createDataFrame([("t", "s", "l1", "7", "2024-01-01", "2024-01-02", "{}", "{}", "{}", "2024-01-01", 1)], "tenant_id string, source_id string, unique_key string, employeeId string, start string, end string, type string, amount string, status string, created string, _airbyte_extracted_at int")
+    staff = spark.createDataFrame([("t", "7", "old@x", 1), ("t", "7", "new@x", 2)], "tenant_id string, id string, workEmail string, _airbyte_extracted_at int")
+    assert [r.email for r in staging_people.hr_leave_events(leave, staff).collect()] == ["new@x"]
+
+    comms = spark.createDataFrame([("t", "A@x", "2024-01-01", "meeting_participation", 3600)], "tenant_id string, user_email string, activity_date string, event_type string, duration_seconds bigint")
+    hours = spark.createDataFrame([("t", "a@x", 8.0, 1), ("t", "A@X", 4.0, 2)], "tenant_id string, email string, working_hours_per_day double, ingested_at int")
+    assert [(r.day.day, r.working_hours_per_day) for r in silver.focus_metrics(comms, hours).collect()] == [(1, 4.0)]
+
+
+def test_row_hash_parts_rows_that_differ(spark):
+    from orgpulse.functions import scalars as fx
+
+    rows = [("a", "b"), ("ab", ""), ("", "ab"), ("a|1", "b"), ("a", "1|b"), (None, "b"), ("", "b"), ("b", None), (None, None), ("", "")]
+    df = spark.createDataFrame(rows, "x string, y string")
+    hashes = [r.h for r in df.select(fx.row_hash(["x", "y"], "__null__").alias("h")).collect()]
+    assert len(set(hashes)) == len(rows) and all(len(h) == 64 for h in hashes)
+    again = df.select(fx.row_hash(["x", "y"], "__null__").alias("h")).collect()
+    assert [r.h for r in again] == hashes
+
+
+def test_approximate_distinct_counts_are_within_their_error(spark):
+    from harness.all_cases import CASES
+
+    sf = "/root/testdata/sf0.01"
+    exact = {r.l_returnflag: r.parts for r in CASES["distinct_aggregate"](spark, sf).collect()}
+    for r in CASES["distinct_aggregate_approx"](spark, sf).collect():
+        assert abs(r.parts - exact[r.l_returnflag]) <= 5 * 0.01 * exact[r.l_returnflag]

@@ -145,3 +145,56 @@ def test_quantiles_of_floats_with_infinities_and_nan(spark):
     wanted = {"first": (0.0, lambda n: F.lit(0)), "mid": (0.5, lambda n: F.floor(n / 2)), "before_last": (0.94, lambda n: n - 3)}
     got = ordered.exact_quantiles(df, [], "value", wanted).first()
     assert (got.first, got.mid, got.before_last) == (float("-inf"), 25.0, float("inf"))
+
+
+@pytest.mark.parametrize("hot_rows", [16, 60])
+def test_hot_buckets_are_cut_without_changing_a_result(spark, hot_rows):
+    """One key with all rows in one day, many of them at one moment, a NULL key, NULL times, and a key of a single row."""
+    rng = random.Random(3)
+    rows = [("bot", rng.choice([None, 5, 5, rng.randrange(86400)]), i) for i in range(600)] + [(None, rng.randrange(86400), i) for i in range(600, 700)] + [("one", 3, 700)]
+    df = spark.createDataFrame(rows, "key string, sec int, id int").repartition(5)
+    day = F.to_date(F.timestamp_seconds(F.coalesce("sec", F.lit(0))))
+    spans = ordered._bucketed(df, ["key"], ["sec", "id"], day, hot_rows).groupBy("key", "_bucket").count()
+    assert spans.agg(F.max("count")).first()[0] <= 4 * hot_rows and spans.where("key = 'bot'").count() > 600 / (4 * hot_rows)
+    groups = defaultdict(list)
+    for key, sec, i in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2])):
+        groups[key].append(i)
+    numbered = ordered.with_row_number(df, ["key"], ["sec", "id"], day, "n", hot_rows).collect()
+    assert {r.id: r.n for r in numbered} == {i: n for ids in groups.values() for n, i in enumerate(ids, 1)} and len(numbered) == len(rows)
+    both = ordered.with_neighbours(df, ["key"], ["sec", "id"], {"before": "id"}, {"after": "id"}, day, hot_rows).collect()
+    want = {i: (b, a) for ids in groups.values() for b, i, a in zip([None, *ids], ids, [*ids[1:], None])}
+    assert {r.id: (r.before, r.after) for r in both} == want and len(both) == len(rows)
+
+
+def test_neighbours_can_be_rows_of_nulls(spark):
+    df = spark.createDataFrame([("a", 1, None), ("a", 2, "x"), ("a", 3, None)], "key string, at int, v string")
+    got = ordered.with_neighbours(df, ["key"], ["at"], {"p": "v", "p_at": "at"}, {"n": "v"}, F.lit(0)).collect()
+    assert sorted((r.at, r.p, r.p_at, r.n) for r in got) == [(1, None, None, "x"), (2, None, 1, None), (3, "x", 2, None)]
+
+
+def test_as_of_join_cuts_a_hot_key(spark):
+    rng = random.Random(8)
+    log = [("k", rng.randrange(500), i) for i in range(300)] + [(None, 4, 1)]
+    facts = [("k", rng.randrange(500), i) for i in range(300)] + [(None, 9, 900), ("none", 5, 901)]
+    frames = spark.createDataFrame(facts, "key string, at int, id int"), spark.createDataFrame(log, "key string, at int, seen int")
+    got = {r.id: r.seen for r in ordered.as_of_join(*frames, ["key"], "at", "seen", lambda at: F.lit(0), hot_rows=20).collect()}
+    newest = {i: max(((a, s) for k, a, s in log if k == key and a <= at), default=(0, None))[1] for key, at, i in facts}
+    assert got == newest
+
+
+@pytest.mark.parametrize("chunk", [4, 4096])
+def test_one_hot_field_month(spark, monkeypatch, chunk):
+    """All events of one field in one month: values held over many chunks, set again, removed twice, and without a value."""
+    from orgpulse.operators import flow
+
+    monkeypatch.setattr(flow, "CHUNK_EVENTS", chunk)
+    rng = random.Random(chunk)
+    deltas = [("t", "i", "labels", "multi", rng.randrange(2000), i, rng.choice(["add", "add", "remove"]), rng.choice(["a", "b", "c", "d", None])) for i in range(400)]
+    schema = "tenant_id string, issue_id string, field_id string, field_cardinality string, sec int, event_id int, delta_action string, delta_value string"
+    df = spark.createDataFrame(deltas, schema).withColumn("event_at", F.timestamp_seconds("sec")).drop("sec")
+    got = {r.event_id: r.value_ids for r in field_history_full_values(df).collect()}
+    held = set()
+    for *_, event_id, action, value in sorted(deltas, key=lambda d: (d[4], d[5])):
+        if value is not None:
+            (held.add if action == "add" else held.discard)(value)
+        assert got[event_id] == sorted(held)
