@@ -7,7 +7,9 @@ sorted hashes as text, so equal texts have equal fingerprints.
 
 A null text counts as an empty one. A text shorter than a shingle is one shingle. A text
 none of whose hashes is below the threshold gets ``=`` and its digest: it is alike only
-to equal texts.
+to equal texts. Very long texts have as long fingerprints. Repeated rows are rows of their
+own; an empty table gives an empty result. Other columns are not read by the comparison and
+kept by ``fingerprint_documents``, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,32 +26,30 @@ from pyspark.sql import types as T
 from orgpulse.llm.bytehash import gram_hash
 
 SHINGLE_BYTES = 12
-SCALE = 32
-# A hash is written with this many hex digits: the 48 bits that follow the leading zeros below the threshold.
-HEX = 12
+# One hash in so many is kept, for texts of any length; a power of two.
+SCALE = 4
+# Bytes of fingerprints that are handed to Spark at once.
+YIELDED_BYTES = 8 << 20
 
 
 def sketch(text: bytes, size: int = SHINGLE_BYTES, scale: int = SCALE) -> np.ndarray:
-    """Distinct shingle hashes below 2**64 / scale, sorted, cut to 48 bits."""
+    """Distinct shingle hashes below 2**64 / scale, sorted, cut to the 32 bits that follow the leading zeros below the threshold."""
     hashes = gram_hash(np.frombuffer(text, np.uint8), min(size, len(text))) if text else np.empty(0, np.uint64)
     limit = np.uint64((1 << 64) // scale)
-    return np.unique(hashes[hashes < limit] >> np.uint64(11))
+    return np.unique(hashes[hashes < limit] >> np.uint64(33 - scale.bit_length()))
 
 
 def fingerprint(text: bytes, hashes: np.ndarray) -> str:
     if not len(hashes):
-        return "=" + hashlib.sha256(text).hexdigest()[: 2 * HEX]
-    raw = hashes.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:]
-    return raw.tobytes().hex()
+        return "=" + hashlib.sha256(text).hexdigest()[:24]
+    return hashes.astype(">u4").tobytes().hex()
 
 
 def parse(mark: str) -> np.ndarray:
     """Hashes of a fingerprint; none of an exact one."""
     if not mark or mark[0] == "=":
         return np.empty(0, np.uint64)
-    wide = np.zeros((len(mark) // HEX, 8), np.uint8)
-    wide[:, 2:] = np.frombuffer(bytes.fromhex(mark), np.uint8).reshape(-1, 6)
-    return wide.view(">u8").ravel().astype(np.uint64)
+    return np.frombuffer(bytes.fromhex(mark), ">u4").astype(np.uint64)
 
 
 def merge(marks: list[str]) -> str:
@@ -106,7 +106,12 @@ def edited(text: str, following: str) -> str:
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in order, each beside the one after it in its bucket. A row from outside the bucket only follows, and ends it."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
-    held, rows = None, []
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [[]] * len(schema)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    held, rows, size = None, [], 0
     for batch in batches:
         for bucket, outside, doc_id, text in zip(*[batch.column(c).to_pylist() for c in ("bucket", "outside", "doc_id", "text")], strict=True):
             text = text or ""
@@ -118,9 +123,12 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 after_hashes = sketch(after)
                 after_mark = fingerprint(after, after_hashes)
                 rows.append((held[2], len(held[3]), hashlib.sha256(after).hexdigest(), held[5], after_mark, likeness(held[4], after_hashes, held[5] == after_mark), likeness(held[4], hashes, held[5] == row[5])))
+                size += len(held[5]) + len(after_mark)
+                if size >= YIELDED_BYTES:
+                    yield packed(rows)
+                    rows, size = [], 0
             held = row
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
-        rows = []
+    yield packed(rows)
 
 
 def compare_with_edited(docs: DataFrame, rows_per_bucket: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -324,3 +324,58 @@ def test_url_rules(spark):
     got = {r.url: (r.host, r.path, r.rule, r.verdict) for r in url_cascade.judge_urls(pages, rules, F.col("key") == "bad.net").collect()}
     assert got == urls
     assert url_cascade.judge_urls(pages.limit(0), rules, F.lit(True)).count() == 0
+
+
+def shingle_sets(text, size=12):
+    raw = text.encode()
+    return {raw[i : i + size] for i in range(len(raw) - size + 1)} if len(raw) >= size else {raw} if raw else set()
+
+
+def test_sketches_estimate_true_likeness():
+    """Against the whole sets of shingles, on texts of different lengths and one inside another."""
+    rnd = random.Random(12)
+    words = [f"{rnd.choice(WORDS)}{rnd.randrange(90)}" for _ in range(4000)]
+    errors = {"short": [], "medium": [], "long": [], "inside": []}
+    for kind, least, most in (("short", 20, 100), ("medium", 100, 600), ("long", 600, 6000)):
+        for _ in range(300):
+            text = " ".join(rnd.choices(words, k=most // 4))[: rnd.randrange(least, most)]
+            other = fingerprints.edited(text, " ".join(rnd.choices(words, k=most // 4)))
+            a, b = fingerprints.sketch(text.encode()), fingerprints.sketch(other.encode())
+            x, y = shingle_sets(text), shingle_sets(other)
+            errors[kind].append(abs(fingerprints.likeness(a, b, text == other) - len(x & y) / len(x | y)))
+            whole = " ".join(rnd.choices(words, k=3000)) + text + " ".join(rnd.choices(words, k=3000))
+            z = shingle_sets(whole)
+            errors["inside"].append(abs(fingerprints.containment(a, fingerprints.sketch(whole.encode())) - len(x & z) / len(x)) if len(a) else 0.0)
+    means = {kind: sum(e) / len(e) for kind, e in errors.items()}
+    assert means["short"] < 0.1 and means["medium"] < 0.06 and means["long"] < 0.03 and means["inside"] < 0.02, means
+
+
+def test_sketches_of_parts_merge_to_that_of_all():
+    rnd = random.Random(13)
+    parts = [" ".join(rnd.choices(WORDS, k=60)).encode() for _ in range(5)]
+    marks = [fingerprints.fingerprint(p, fingerprints.sketch(p)) for p in parts]
+    both = np.unique(np.concatenate([fingerprints.sketch(p) for p in parts]))
+    assert fingerprints.parse(fingerprints.merge(marks)).tolist() == both.tolist()
+    assert all(fingerprints.parse(m).tolist() == fingerprints.sketch(p).tolist() for m, p in zip(marks, parts))
+
+
+def test_very_long_texts(spark):
+    """Texts of several MB, longer than a block, beside short ones."""
+    rnd = random.Random(14)
+    long = " ".join(f"{w}{i % 5003}" for i, w in enumerate(rnd.choices(WORDS, k=700_000)))
+    assert len(long) > 1 << 22
+    docs = documents(spark, [(1, long, 0, 0, ""), (2, long + " end", 0, 0, ""), (3, "a b c", 0, 0, "")])
+    assert {r.doc_id: r.component_id for r in ngram_join.link_documents(docs).collect()} == {1: 1, 2: 1, 3: 3}
+    marked = {r.doc_id: r for r in fingerprints.compare_with_edited(docs).collect()}
+    assert marked[2].near_next > 0.99 and marked[3].near_next < 0.01
+    digests = {r.doc_id: r.decoded_sha256 for r in bpe.round_trip(docs.where("doc_id < 3"), RANKS, public_tokenizers.PATTERN).collect()}
+    assert digests[1] == hashlib.sha256(long.encode()).hexdigest()
+
+
+def test_columns_named_like_internal_ones_stay(spark):
+    docs = spark.createDataFrame([(1, "a b", "x", "y"), (None, None, "z", None)], "doc_id long, text string, _result string, _result_ string")
+    encoded = bpe.encode_texts(docs, RANKS, public_tokenizers.PATTERN, digests=True)
+    assert encoded.columns == ["doc_id", "text", "_result", "_result_", "n_tokens", "ids", "ids_sha256", "decoded_sha256"]
+    assert sorted((r["_result"], r["_result_"], r.n_tokens) for r in encoded.collect()) == [("x", "y", 2), ("z", None, 0)]
+    kept = ngram_join.keep_one(docs.withColumn("row", F.lit(3)).withColumn("n", F.lit(4)), 3, 90)
+    assert sorted((r["_result"], r.row, r.n) for r in kept.collect()) == [("x", 3, 4), ("z", 3, 4)]
