@@ -1,20 +1,29 @@
 """Surrogates for personal data, with DataFrame functions only.
 
-Entities are found by one regular expression. Each gets a replacement of its own kind
-derived from a keyed hash of its canonical form: e-mail addresses without case, numbers
-without separators. So an entity gets the same surrogate wherever and however it is
-written, and the surrogate takes over separators, upper and lower case, script, the
-gender a title tells, and check digits. A collision check over all distinct entities
-derives anew what equals another surrogate or an entity of the corpus, so that distinct
-entities stay distinct.
-
-A null text stays null and an empty one empty; texts without entities are unchanged.
-Rows with equal or null ids are treated alike, since surrogates don't depend on ids.
-Other columns are kept as they are; ``n_pii`` replaces a column of that name.
+Entities are found by one regular expression and cut into parts: an e-mail address into local part
+and domain, a titled name into first names, initials and surnames. Each part gets a replacement of its
+own kind derived from a keyed hash of its canonical form (no case, no separators), so it gets the same
+one wherever and however it is written: "Mr Ivan Petrov" and "Mr Petrov" keep sharing a surname. The
+surrogate takes over separators, upper and lower case, script, the gender a title tells, and check
+digits. Capitalised words of a text that are part of a titled name in it are replaced alike.
+
+A collision check over all distinct parts derives anew what equals another surrogate or a part of the
+corpus, so distinct parts stay distinct. Later attempts draw from wider shapes (more characters, more
+syllables, longer octets and at last the documentation range of IPv6), so the rounds always end.
+Initials are turned round their alphabet, which keeps them distinct without a check.
+
+Names are found behind a title only; a capitalised noun right behind a name counts as part of it.
+First names behind titles without a gender (Dr) are given one by their last letter.
+
+A null text stays null and an empty one empty; texts without entities are unchanged. Very long texts
+are whole; a text's work grows with its titled names times its capitalised words. Rows with equal or
+null ids are treated alike, since surrogates don't depend on ids. An empty table gives an empty one.
+Other columns are kept as they are, whatever their names; ``n_pii`` replaces a column of that name.
 """
 
 from __future__ import annotations
 
+import hashlib
 import string
 
 from pyspark.sql import Column, DataFrame
@@ -22,8 +31,11 @@ from pyspark.sql import functions as F
 
 from orgpulse.session import cut_lineage
 
-MALE = ("Mr", "Herr", "Monsieur", "Señor", "Don", "Господин", "Κύριος")
-FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mademoiselle", "Señora", "Doña", "Госпожа", "Κυρία")
+# Titles, by the gender they tell, and small words inside surnames.
+MALE = ("Mr", "Sir", "Herr", "Monsieur", "Señor", "Sr", "Don", "Господин", "Κύριος")
+FEMALE = ("Mrs", "Ms", "Miss", "Lady", "Frau", "Madame", "Mademoiselle", "Mme", "Mlle", "Señora", "Señorita", "Sra", "Doña", "Госпожа", "Κυρία")
+NEUTRAL = ("Dr", "Prof", "Professor")
+PARTICLES = ("von", "van", "der", "den", "de", "del", "la", "di", "da", "dos", "zu", "al", "bin")
 FIRST = {
     ("latin", "m"): "Adrian Bruno Conrad Dario Emil Felix Gregor Hugo Ivan Jonas Karl Leon Mario Nico Oscar Paul".split(),
     ("latin", "f"): "Alba Bianca Clara Daria Elena Flora Greta Hanna Irina Julia Karla Lena Maria Nora Olga Paula".split(),
@@ -39,34 +51,91 @@ SYLLABLES = {
 }
 ALPHABETS = ("abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрстуфхцчшщэюя", "αβγδεζηθικλμνξοπρστυφχψω")
 
-# Every entity starts where no letter or digit stands before it, and has a digit, an @ or a title.
-START = r"(?<![\p{L}\d])"
+# A word of a name may hold apostrophes and hyphens, but no possessive ending.
+LETTERS = r"[\p{L}\p{M}]*+"
+JOINED = r"['’](?!s(?!\p{L}))"
+WORD = rf"\p{{Lu}}(?=['’]?\p{{L}}){LETTERS}(?:(?:{JOINED}|-)\p{{L}}{LETTERS}){{0,4}}"
+TITLE = "(?:" + "|".join(MALE + FEMALE + NEUTRAL) + r")\.? (?:(?:Dr|Prof)\.? ){0,2}"
+# Each pattern forbids before it what could belong to the entity itself, so that texts without spaces are read too.
 PATTERNS = {
-    "email": r"(?<![._%+\-])[A-Za-z0-9._%+\-]{1,64}+@[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62})(?:\.[A-Za-z0-9][A-Za-z0-9\-]{0,62}){1,8}",
-    "ip": r"(?=[0-9])(?<!\.)(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)",
-    "secret": r"(?=[a-fA-F]{0,128}[0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])",
-    "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
-    "phone": r"\+\d{1,3}[ .\-]?\(?\d{1,4}\)?(?:[ .\-]?\d{2,4}){2,4}(?!\d)",
-    "card": r"(?=[0-9])(?<!\+)\d(?:[ \-]?\d){12,18}(?!\d)",
-    "ssn": r"(?=[0-9])(?<!\-)\d{3}-\d{2}-\d{4}(?![\d\-])",
-    "name": r"(?=\p{Lu})(?:" + "|".join(MALE + FEMALE) + r")\.? \p{Lu}\p{L}+(?: \p{Lu}\p{L}+)?",
+    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62})(?:\.[A-Za-z0-9][A-Za-z0-9\-]{0,62}){1,8}",
+    "ip": r"(?=[0-9])(?<![A-Za-z0-9.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)",
+    "secret": r"(?=[a-fA-F]{0,128}[0-9])(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
+    "phone": r"(?<!\d)\+\d{1,3}[ .\-]?\(?\d{1,4}\)?(?:[ .\-]?\d{2,4}){2,4}(?!\d)",
+    "card": r"(?=[0-9])(?<![A-Za-z0-9+])\d(?:[ \-]?\d){12,18}(?!\d)",
+    "ssn": r"(?=[0-9])(?<![A-Za-z0-9\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
+    "national": r"(?=[0-9(])(?<![A-Za-z0-9.+\-])(?:\(\d{3}\) ?\d{3}[ .\-]|\d{3}-\d{3}-|\d{3}\.\d{3}\.)\d{4}(?![\d\-])",
+    "name": rf"(?=\p{{Lu}})(?<![\p{{IsLatin}}\p{{IsCyrillic}}\p{{IsGreek}}\d]){TITLE}(?:(?:\p{{Lu}}\. ?|(?:{'|'.join(PARTICLES)}) |{WORD} )){{0,4}}{WORD}",
 }
-ANY = START + "(?:" + "|".join(PATTERNS.values()) + ")"
-HINT = r"[0-9@]|(?:" + "|".join(MALE + FEMALE) + r")\.? "
+ANY = "(?:" + "|".join(PATTERNS.values()) + ")"
+HINT = r"[0-9@]|(?:" + "|".join(MALE + FEMALE + NEUTRAL) + r")\.? "
+# A later mention of a name, and what a name is cut into: initials, words and what stands between them.
+MENTION = rf"(?<![\p{{L}}\p{{M}}'’])\p{{Lu}}(?=['’]?\p{{L}}){LETTERS}(?:{JOINED}\p{{L}}{LETTERS})?"
+TOKEN = rf"\p{{Lu}}\.|[\p{{L}}\p{{M}}]++(?:{JOINED}\p{{L}}{LETTERS})?|[^\p{{L}}\p{{M}}]+"
+WIDER, WIDEST = 3, 8  # attempts from which shapes grow, and from which addresses take the long form
 
 
 def _kind(entity: Column) -> Column:
     """Which pattern an entity is of."""
     kind = F.lit("card")
-    for name in ("name", "ssn", "phone", "iban", "secret", "ip", "email"):
+    for name in ("name", "national", "ssn", "phone", "iban", "secret", "ip", "email"):
         kind = F.when(entity.rlike("^(?:" + PATTERNS[name] + ")$"), name).otherwise(kind)
     return kind
 
 
-def _canonical(entity: Column, kind: Column) -> Column:
-    bare = F.regexp_replace(entity, r"[ .()\-]", "")
-    return F.concat(kind, F.lit(":"), F.when(kind == "email", F.lower(entity)).when(kind == "ip", entity).when(kind == "secret", F.lower(entity))
-                    .when(kind == "name", F.lower(F.regexp_replace(entity, r"\. ", " "))).otherwise(bare))
+def _bare(text: Column) -> Column:
+    return F.regexp_replace(text, r"[ .()\-]", "")
+
+
+def _part(role: str, word: Column, canonical: Column) -> Column:
+    return F.struct(F.lit(role).alias("role"), word.alias("word"), canonical.alias("canonical"))
+
+
+def _name_parts(entity: Column) -> Column:
+    """Title and separators as they are, initials, first names (keyed with their gender) and the parts of the surname."""
+    title = F.regexp_extract(entity, "^" + TITLE, 0)
+    tail = F.substring(entity, F.length(title) + 1, F.length(entity))
+    surname = F.substring_index(F.substring_index(tail, " ", -1), ".", -1)
+    given = F.substring(tail, F.lit(1), F.length(tail) - F.length(surname))
+    said = F.regexp_extract(title, r"^[^ .]+", 0)
+
+    def one(first: bool):
+        def part(token: Column) -> Column:
+            if first:
+                sex = F.when(said.isin(*FEMALE), "f").when(said.isin(*MALE), "m").when(token.rlike("[aаяαη]$"), "f").otherwise("m")
+                named = _part("first", token, F.concat(F.lit("first:"), sex, F.lit(":"), F.lower(token)))
+            else:
+                named = _part("surname", token, F.concat(F.lit("surname:"), F.lower(token)))
+            kept = F.lit(None).cast("string")
+            return F.when(token.rlike(r"^\p{Lu}\.$"), _part("initial", token, kept)).when(token.rlike(r"^\p{Lu}[\p{L}'’]"), named).otherwise(_part("kept", token, kept))
+
+        return part
+
+    kept = F.array(_part("kept", title, F.lit(None).cast("string")))
+    return F.concat(kept, F.transform(F.regexp_extract_all(given, F.lit(TOKEN), F.lit(0)), one(True)), F.transform(F.regexp_extract_all(surname, F.lit(TOKEN), F.lit(0)), one(False)))
+
+
+def _parts(entities: Column) -> Column:
+    """For each entity the array of its parts (role, word, canonical); parts that stay have no canonical form."""
+    kinds = F.transform(entities, lambda e: F.struct(e.alias("entity"), _kind(e).alias("kind")))
+
+    def cut(x: Column) -> Column:
+        entity, kind = x["entity"], x["kind"]
+        site = F.substring_index(entity, "@", -1)
+        at = _part("kept", F.lit("@"), F.lit(None).cast("string"))
+        email = F.array(_part("local", F.substring_index(entity, "@", 1), F.concat(F.lit("local:"), F.lower(entity))), at, _part("site", site, F.concat(F.lit("site:"), F.lower(site))))
+        parts = F.when(kind == "email", email).when(kind == "name", _name_parts(entity))
+        for role in ("ip", "secret", "iban", "phone", "card", "ssn"):
+            is_role = kind.isin("phone", "national") if role == "phone" else kind == role
+            parts = parts.when(is_role, F.array(_part(role, entity, F.concat(F.lit(role + ":"), _written(role, entity)))))
+        return parts
+
+    return F.transform(kinds, cut)
+
+
+def _written(role: str, word: Column) -> Column:
+    return {"ip": word, "secret": F.lower(word), "site": F.lower(word), "first": F.lower(word), "surname": F.lower(word)}.get(role, _bare(word))
 
 
 def _byte(digest: Column, at: Column) -> Column:
@@ -111,10 +180,9 @@ def _luhn_sum(digits: Column) -> Column:
     return F.aggregate(values, F.lit(0), lambda a, b: a + F.coalesce(b, F.lit(0)))
 
 
-def _card(bare: Column, digest: Column) -> Column:
+def _card(bare: Column, valid: Column, digest: Column) -> Column:
     """Digits with the same first one (the issuer's kind) and the same validity of the check digit."""
-    changed = F.concat(F.substring(bare, 1, 1), _characters(F.substring(bare, 2, 64), digest))
-    valid = _luhn_sum(bare) % 10 == 0
+    changed = F.concat(F.substring(bare, 1, 1), _characters(F.substring(bare, 2, 1 << 20), digest))
 
     def checked(made: Column) -> Column:
         head = F.substring(made, 1, F.length(made) - 1)
@@ -123,29 +191,50 @@ def _card(bare: Column, digest: Column) -> Column:
     return _let(changed, checked)
 
 
-def _ip(entity: Column, digest: Column) -> Column:
+def _ip(entity: Column, digest: Column, attempt: Column) -> Column:
+    """Octets of as many digits, then octets of any length, then an address of the documentation range of IPv6."""
+
     def octet(o: Column, i: Column) -> Column:
         number = _byte(digest, i)
-        return (F.when(F.length(o) == 1, F.pmod(number, F.lit(9)) + 1).when(F.length(o) == 2, F.pmod(number, F.lit(90)) + 10).otherwise(F.pmod(number, F.lit(155)) + 100)).cast("string")
+        alike = F.when(F.length(o) == 1, F.pmod(number, F.lit(9)) + 1).when(F.length(o) == 2, F.pmod(number, F.lit(90)) + 10).otherwise(F.pmod(number, F.lit(155)) + 100)
+        return F.when(attempt < WIDER, alike).otherwise(F.pmod(number, F.lit(255)) + 1).cast("string")
+
+    long = F.concat_ws(":", F.lit("2001:db8"), *[F.substring(digest, 4 * i + 1, 4) for i in range(6)])
+    return F.when(attempt < WIDEST, F.array_join(F.transform(F.split(entity, r"\."), octet), ".")).otherwise(long)
+
+
+def _spoken(count: Column, syllables: list[str], digest: Column) -> Column:
+    """So many keyed syllables."""
+    places = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
+    return F.array_join(F.transform(places, lambda i: _pick(syllables, _byte(digest, i))), "")
+
 
-    return F.array_join(F.transform(F.split(entity, r"\."), octet), ".")
+def _cased(made: Column, like: Column) -> Column:
+    return F.when((like == F.upper(like)) & (F.length(like) > 1), F.upper(made)).otherwise(made)
 
 
-def _name(entity: Column, digest: Column) -> Column:
-    """Title kept; first name of the title's gender and the script, surname of keyed syllables."""
-    title = F.regexp_extract(entity, r"^(\S+) ", 1)
-    gender = F.when(F.regexp_replace(title, r"\.", "").isin(*FEMALE), "f").otherwise("m")
-    words = F.split(entity, " ")
-    script = F.when(F.element_at(words, 2).rlike(r"\p{IsCyrillic}"), "cyrillic").when(F.element_at(words, 2).rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
-    surname, first = F.lit(""), F.lit("")
+def _named(x: Column) -> Column:
+    """First name of the gender and the script, or surname of keyed syllables; longer with each attempt."""
+    word, digest, attempt = x["word"], x["digest"], x["attempt"]
+    script = F.when(word.rlike(r"\p{IsCyrillic}"), "cyrillic").when(word.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
+    female = F.substring(x["canonical"], 7, 1) == "f"
+    made = F.lit("")
     for name, syllables in SYLLABLES.items():
-        made = F.initcap(F.concat(*[_pick(syllables, _byte(digest, F.lit(i))) for i in range(1, 6)]))
-        surname = F.when(script == name, made).otherwise(surname)
-    for (name, sex), firsts in FIRST.items():
-        first = F.when((script == name) & (gender == sex), _pick(firsts, _byte(digest, F.lit(0)))).otherwise(first)
-    whole = F.when(F.size(words) > 2, F.concat_ws(" ", first, surname)).otherwise(surname)
-    plain = F.regexp_replace(entity, r"^\S+ ", "")
-    return F.concat_ws(" ", title, F.when((plain == F.upper(plain)) & (F.length(plain) > 2), F.upper(whole)).otherwise(whole))
+        male_or_female = F.when(female, _pick(FIRST[name, "f"], _byte(digest, F.lit(0)))).otherwise(_pick(FIRST[name, "m"], _byte(digest, F.lit(0))))
+        first = F.concat(_spoken(attempt * 2, syllables, digest), F.when(attempt > 0, F.lower(male_or_female)).otherwise(male_or_female))
+        made = F.when(script == name, F.when(x["role"] == "first", first).otherwise(_spoken(attempt * 2 + 5, syllables, digest))).otherwise(made)
+    return F.concat(F.regexp_extract(word, r"^\p{Lu}['’]", 0), _cased(F.initcap(made), word))
+
+
+def _turned(key: str, initial: Column) -> Column:
+    """Letters moved round their alphabet by a keyed step, so that different ones stay different."""
+    source, target = "", ""
+    for alphabet in ALPHABETS:
+        letters = alphabet.replace("ς", "")
+        step = 1 + int(hashlib.sha256(f"{key}|{letters}".encode()).hexdigest(), 16) % (len(letters) - 1)
+        turned = letters[step:] + letters[:step]
+        source, target = source + letters.upper(), target + turned.upper()
+    return F.translate(initial, source, target)
 
 
 def _weave(shape: Column, bare: Column) -> Column:
@@ -160,46 +249,55 @@ def _weave(shape: Column, bare: Column) -> Column:
 
 
 def _surrogate(x: Column) -> Column:
-    """Surrogate of a struct of entity, kind, digest and, for e-mail addresses, the digest of the domain."""
-    entity, kind, digest = x["entity"], x["kind"], x["digest"]
-    domain = F.substring_index(entity, "@", -1)
-    # One surrogate for a domain wherever it occurs; the top-level name stays.
-    site = _characters(F.regexp_extract(domain, r"^(.*)\.[^.]+$", 1), x["site_digest"])
-    email = F.concat(_characters(F.substring_index(entity, "@", 1), digest), F.lit("@"), site, F.lit("."), F.substring_index(domain, ".", -1))
-    # The country of an IBAN and the country code of a phone number stay.
-    lead = F.when(kind == "iban", F.substring(entity, 1, 2)).when(kind == "phone", F.regexp_extract(entity, r"^\+\d{1,3}(?=[^\d])", 0)).otherwise("")
-    rest = F.substring(entity, F.length(lead) + 1, F.length(entity))
-    plain = F.concat(lead, _weave(rest, _characters(F.regexp_replace(rest, r"[ .()\-]", ""), digest, kind == "secret")))
-    card = _weave(entity, _card(F.regexp_replace(entity, r"[ \-]", ""), digest))
-    return F.when(kind == "email", email).when(kind == "card", card).when(kind == "ip", _ip(entity, digest)).when(kind == "name", _name(entity, digest)).otherwise(plain)
+    """Surrogate of a struct of role, word, canonical, attempt and digest; later attempts lengthen the word first."""
+    role, digest, attempt = x["role"], x["digest"], x["attempt"]
+    more = F.greatest(attempt - (WIDER - 1), F.lit(0))
+    word = F.concat(x["word"], F.repeat(F.lit("0"), more))
+    # The top-level name of a domain, the country of an IBAN and the country code of a phone number stay.
+    site = F.concat(_characters(F.concat(F.regexp_extract(x["word"], r"^(.*)\.[^.]+$", 1), F.repeat(F.lit("a"), more)), digest), F.lit("."), F.substring_index(x["word"], ".", -1))
+    lead = F.when(role == "iban", F.substring(word, 1, 2)).when(role == "phone", F.regexp_extract(word, r"^\+\d{1,3}(?=[^\d])", 0)).otherwise("")
+    rest = F.substring(word, F.length(lead) + 1, F.length(word))
+    plain = F.concat(lead, _weave(rest, _characters(_bare(rest), digest, role == "secret")))
+    card = _weave(word, _card(F.regexp_replace(word, r"[ \-]", ""), _luhn_sum(_bare(x["word"])) % 10 == 0, digest))
+    made = F.when(role == "local", _characters(word, digest)).when(role == "site", site).when(role == "card", card).when(role == "ip", _ip(x["word"], digest, attempt))
+    return made.when(role.isin("first", "surname"), _named(x)).otherwise(plain)
+
 
+def _made(part: Column, key: str, attempt) -> Column:
+    """The part with what takes its place, as ``made``."""
+    role, word, canonical = part["role"], part["word"], part["canonical"]
 
-def _surrogates(entities: Column, key: str, attempt) -> Column:
-    """Surrogates of an array of entities. Every step works out once what the next one uses often."""
-    named = F.transform(entities, lambda e: F.struct(e.alias("entity"), _kind(e).alias("kind")))
-    canonical = F.transform(named, lambda x: F.struct(x["entity"].alias("entity"), x["kind"].alias("kind"), _canonical(x["entity"], x["kind"]).alias("canonical")))
+    def keyed(tried: Column) -> Column:
+        return F.struct(role.alias("role"), word.alias("word"), canonical.alias("canonical"), tried.alias("attempt"), _digest(key, canonical, tried).alias("digest"))
 
-    def keyed(x: Column) -> Column:
-        site = F.when(x["kind"] == "email", _digest(key, F.lower(F.substring_index(x["entity"], "@", -1)), F.lit(0)))
-        return F.struct(x["entity"].alias("entity"), x["kind"].alias("kind"), _digest(key, x["canonical"], attempt(x["canonical"])).alias("digest"), site.alias("site_digest"))
+    made = F.when(role == "kept", word).when(role == "initial", _turned(key, word)).otherwise(_let(_let(attempt(canonical), keyed), _surrogate))
+    return F.struct(role.alias("role"), word.alias("word"), made.alias("made"))
 
-    return F.transform(F.transform(canonical, keyed), _surrogate)
 
+def _as_claim(role: Column, word: Column, canonical: Column) -> Column:
+    """What a part claims for itself: no two may claim the same. Local parts claim within their domain."""
+    local = F.concat(F.lower(word), F.lit("@"), F.substring_index(canonical, "@", -1))
+    said = F.when(role == "local", local)
+    for name in ("ip", "secret", "site", "first", "surname"):
+        said = said.when(role == name, _written(name, word))
+    return F.concat(role, F.lit(":"), said.otherwise(_bare(word)))
 
-def _claims(entities: DataFrame, key: str) -> DataFrame:
-    made = entities.withColumn("made", F.element_at(_surrogates(F.array("entity"), key, lambda _: F.col("attempt")), 1))
-    return made.withColumn("claimed", _canonical(F.col("made"), F.substring_index("canonical", ":", 1))).drop("made")
 
+def _claims(parts: DataFrame, key: str) -> DataFrame:
+    made = parts.withColumn("made", _made(F.struct("role", "word", "canonical"), key, lambda _: F.col("attempt"))["made"])
+    return made.withColumn("claimed", _as_claim(F.col("role"), F.col("made"), F.col("canonical"))).drop("made")
 
-def collision_attempts(entities: DataFrame, key: str, max_rounds: int = 64) -> DataFrame:
-    """Entities (canonical, entity) whose first surrogate is taken, with the attempt that is free.
+
+def collision_attempts(parts: DataFrame, key: str) -> DataFrame:
+    """Parts (canonical, role, word) whose first surrogate is taken, with the attempt that is free.
 
     Each round derives the losers of the round before anew; a surrogate is taken if it is
-    an entity of the corpus or is claimed by an earlier or smaller one.
+    a part of the corpus or is claimed by an earlier or smaller one. Shapes widen with the
+    attempts, so each round leaves a smaller share of losers and the loop ends.
     """
-    state = cut_lineage(_claims(entities.withColumn("attempt", F.lit(0)), key))
-    names = state.select(F.col("canonical").alias("claimed")).distinct()
-    for _ in range(max_rounds):
+    names = cut_lineage(parts.select(_as_claim(F.col("role"), F.col("word"), F.col("canonical")).alias("claimed")).distinct())
+    state = cut_lineage(_claims(parts.withColumn("attempt", F.lit(0)), key))
+    while True:
         winner = state.groupBy("claimed").agg(F.min(F.struct("attempt", F.xxhash64("canonical"), "canonical")).alias("w"), F.count(F.lit(1)).alias("n"))
         lost = state.join(winner.where("n > 1"), "claimed").where("canonical <> w.canonical").select("canonical")
         taken = state.join(names, "claimed", "left_semi").select("canonical")
@@ -207,8 +305,7 @@ def collision_attempts(entities: DataFrame, key: str, max_rounds: int = 64) -> D
         if redo.isEmpty():
             return state.where("attempt > 0").select("canonical", "attempt")
         again = state.join(redo.withColumn("again", F.lit(1)), "canonical", "left")
-        state = cut_lineage(_claims(again.select("canonical", "entity", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt")), key))
-    raise ValueError("a kind of entity has no free surrogates left: allow longer ones")
+        state = cut_lineage(_claims(again.select("canonical", "role", "word", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt")), key))
 
 
 def _entities(text: Column) -> Column:
@@ -216,27 +313,66 @@ def _entities(text: Column) -> Column:
     return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
+def _mentioned(piece: Column, known: Column) -> Column:
+    """The words of a text between entities, those of known names replaced, and how many they are."""
+    words = F.transform(F.regexp_extract_all(piece, F.lit(MENTION), F.lit(0)), lambda w: F.struct(w.alias("word"), F.array_position(known["words"], F.lower(w)).alias("at")))
+
+    def woven(found: Column) -> Column:
+        new = F.transform(found, lambda x: F.when(x["at"] > 0, _cased(F.element_at(known["made"], F.greatest(x["at"], F.lit(1)).cast("int")), x["word"])).otherwise(x["word"]))
+        text = F.array_join(F.zip_with(F.split(piece, MENTION, -1), new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+        return F.struct(text.alias("text"), F.size(F.filter(found, lambda x: x["at"] > 0)).alias("n"))
+
+    return _let(words, woven)
+
+
+def _replaced(text: Column, entities: Column, key: str, attempt) -> Column:
+    """Struct of the new text and the number of replacements, of a text that holds entities."""
+    pieces = F.split(text, ANY, -1)
+
+    def weave(made: Column) -> Column:
+        names = F.filter(F.flatten(made), lambda p: p["role"].isin("first", "surname"))
+        new = F.transform(made, lambda parts: F.array_join(F.transform(parts, lambda p: p["made"]), ""))
+
+        def between(known: Column) -> Column:
+            return F.when(F.size(known["words"]) > 0, F.transform(pieces, lambda p: _mentioned(p, known))).otherwise(F.transform(pieces, lambda p: F.struct(p.alias("text"), F.lit(0).alias("n"))))
+
+        def whole(parts: Column) -> Column:
+            joined = F.array_join(F.zip_with(parts, new, lambda a, b: F.concat(a["text"], F.coalesce(b, F.lit("")))), "")
+            return F.struct(joined.alias("text"), (F.size(made) + F.aggregate(parts, F.lit(0), lambda n, p: n + p["n"])).alias("n"))
+
+        known = _let(names, lambda p: F.struct(F.transform(p, lambda x: F.lower(x["word"])).alias("words"), F.transform(p, lambda x: x["made"]).alias("made")))
+        return _let(_let(known, between), whole)
+
+    return _let(F.transform(_parts(entities), lambda parts: F.transform(parts, lambda p: _made(p, key, attempt))), weave)
+
+
+def _free(docs: DataFrame, stem: str) -> str:
+    """A column name that the table doesn't have."""
+    while stem.lower() in {c.lower() for c in docs.columns}:
+        stem += "_"
+    return stem
+
+
 def replace_pii(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """Documents with surrogates in place of their personal data, and the number of replacements as ``n_pii``."""
-    found = docs.select(F.explode(F.array_distinct(_entities(F.col(text_col)))).alias("entity"))
-    kind = _kind(F.col("entity"))
-    entities = found.select(_canonical(F.col("entity"), kind).alias("canonical"), "entity").groupBy("canonical").agg(F.min("entity").alias("entity"))
-    retried = collision_attempts(entities, key)
+    text = F.col(text_col)
     # A text's own content is the join key, so null and repeated ids need no care.
-    marked = docs.withColumn("_found", _entities(F.col(text_col)))
+    uses = docs.select(F.sha2(text, 256).alias("hash"), F.explode(F.flatten(_parts(F.array_distinct(_entities(text))))).alias("part")).where("part.canonical IS NOT NULL")
+    parts = uses.groupBy("part.canonical").agg(F.min("part.role").alias("role"), F.min("part.word").alias("word"))
+    retried = collision_attempts(parts, key)
+    found, hashed, attempts, out = (_free(docs, name) for name in ("_found", "_hash", "_attempts", "_out"))
+    marked = docs.withColumn(found, _entities(text))
     if retried.isEmpty():
-        marked = marked.withColumn("_attempts", F.lit(None).cast("map<string,int>"))
+        marked = marked.withColumn(attempts, F.lit(None).cast("map<string,int>"))
     else:
-        whole = F.sha2(F.col(text_col), 256)
-        uses = docs.select(whole.alias("_text"), F.explode(F.array_distinct(_entities(F.col(text_col)))).alias("entity"))
-        uses = uses.select("_text", _canonical(F.col("entity"), kind).alias("canonical")).distinct().join(retried, "canonical")
-        attempts = uses.groupBy("_text").agg(F.map_from_entries(F.collect_list(F.struct("canonical", "attempt"))).alias("_attempts"))
-        marked = marked.withColumn("_text", whole).join(attempts, "_text", "left").drop("_text")
+        again = uses.select("hash", "part.canonical").distinct().join(retried, "canonical")
+        again = again.groupBy(F.col("hash").alias(hashed)).agg(F.map_from_entries(F.collect_list(F.struct("canonical", "attempt"))).alias(attempts))
+        marked = marked.withColumn(hashed, F.sha2(text, 256)).join(again, hashed, "left")
 
     def attempt(canonical: Column) -> Column:
-        return F.coalesce(F.try_element_at(F.col("_attempts"), canonical), F.lit(0))
+        return F.coalesce(F.try_element_at(F.col(attempts), canonical), F.lit(0))
 
-    pieces = F.split(F.col(text_col), ANY, -1)
-    woven = F.array_join(F.zip_with(pieces, _surrogates(F.col("_found"), key, attempt), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    out = marked.withColumn("n_pii", F.size("_found")).withColumn(text_col, F.when(F.col("n_pii") > 0, woven).otherwise(F.col(text_col)))
-    return out.select(*[c for c in docs.columns if c != "n_pii"], "n_pii")
+    same = F.struct(text.alias("text"), F.lit(0).alias("n"))
+    marked = marked.withColumn(out, F.when(F.size(found) > 0, _replaced(text, F.col(found), key, attempt)).otherwise(same))
+    kept = [F.col(out)["text"].alias(c) if c == text_col else F.col(c) for c in docs.columns if c != "n_pii"]
+    return marked.select(*kept, F.col(out)["n"].alias("n_pii"))
