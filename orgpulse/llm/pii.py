@@ -29,6 +29,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orgpulse.llm.columns import free_name
 from orgpulse.session import cut_lineage
 
 # Titles, by the gender they tell, and small words inside surnames.
@@ -346,13 +347,6 @@ def _replaced(text: Column, entities: Column, key: str, attempt) -> Column:
     return _let(F.transform(_parts(entities), lambda parts: F.transform(parts, lambda p: _made(p, key, attempt))), weave)
 
 
-def _free(docs: DataFrame, stem: str) -> str:
-    """A column name that the table doesn't have."""
-    while stem.lower() in {c.lower() for c in docs.columns}:
-        stem += "_"
-    return stem
-
-
 def replace_pii(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """Documents with surrogates in place of their personal data, and the number of replacements as ``n_pii``."""
     text = F.col(text_col)
@@ -360,7 +354,7 @@ def replace_pii(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     uses = docs.select(F.sha2(text, 256).alias("hash"), F.explode(F.flatten(_parts(F.array_distinct(_entities(text))))).alias("part")).where("part.canonical IS NOT NULL")
     parts = uses.groupBy("part.canonical").agg(F.min("part.role").alias("role"), F.min("part.word").alias("word"))
     retried = collision_attempts(parts, key)
-    found, hashed, attempts, out = (_free(docs, name) for name in ("_found", "_hash", "_attempts", "_out"))
+    found, hashed, attempts, out = (free_name(docs, name) for name in ("_found", "_hash", "_attempts", "_out"))
     marked = docs.withColumn(found, _entities(text))
     if retried.isEmpty():
         marked = marked.withColumn(attempts, F.lit(None).cast("map<string,int>"))

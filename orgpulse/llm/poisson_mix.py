@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orgpulse.llm.columns import free_name
+
 # Means above this are drawn as a sum of equal smaller ones, so that exp(-mean) keeps its precision.
 MEAN_STEP = 64.0
 # A rate table up to this many sources is small enough to send to every executor (about 2 KB a source).
@@ -60,13 +62,13 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     """Documents with n_copies and copy_no (from 1), in the order of the random key ``mix_key``. ``size``: mean rows of the mixture, as many as there are documents if not given."""
     rates = source_rates(docs, weights, temperature, size, source_col)
     draws = F.greatest(F.lit(1), F.ceil(F.col("rate") / MEAN_STEP)).cast("int")
-    table = rates.select("source", draws.alias("_draws"), poisson_table(F.col("rate") / draws).alias("_cdf"))
-    table = table.withColumnRenamed("source", "_source")
+    own, drawn, cdf = (free_name(docs, name) for name in ("_source", "_draws", "_cdf"))
+    table = rates.select(F.col("source").alias(own), draws.alias(drawn), poisson_table(F.col("rate") / draws).alias(cdf))
     if table.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         table = F.broadcast(table)  # else the planner joins by shuffle, where a hot source is split at run time
-    joined = docs.join(table, docs[source_col].eqNullSafe(table["_source"]))
-    one = F.transform(F.sequence(F.lit(1), F.col("_draws")), lambda i: F.size(F.filter("_cdf", lambda c: c <= uniform(seed, F.col(id_col), i))))
-    counted = joined.withColumn("n_copies", F.aggregate(one, F.lit(0), lambda a, b: a + b)).where("n_copies > 0").drop("_source", "_draws", "_cdf")
+    joined = docs.join(table, docs[source_col].eqNullSafe(table[own]))
+    one = F.transform(F.sequence(F.lit(1), F.col(drawn)), lambda i: F.size(F.filter(cdf, lambda c: c <= uniform(seed, F.col(id_col), i))))
+    counted = joined.withColumn("n_copies", F.aggregate(one, F.lit(0), lambda a, b: a + b)).where("n_copies > 0").drop(own, drawn, cdf)
     copies = counted.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
     keyed = copies.withColumn("mix_key", F.md5(F.concat_ws("|", F.lit(seed + "-order"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col("copy_no").cast("string"))))
     return keyed.orderBy("mix_key")

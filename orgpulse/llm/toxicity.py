@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orgpulse.llm.bytehash import LETTERS, column_bytes, span_hash, word_spans
+from orgpulse.llm.columns import free_name
 
 # Bits of a feature's number, labelled rows the model is fitted on, and features it keeps.
 FEATURE_BITS = 20
@@ -175,4 +176,5 @@ def score(docs: DataFrame, model: SeverityModel, reject_above: float = 0.5, text
         return pa.StructArray.from_arrays([pa.array(x) for x in (above[:, 0], above.sum(axis=1), above[:, 0] > reject_above)], RESULT.names)
 
     kept = [c for c in docs.columns if c not in RESULT.names]
-    return docs.select(*kept, judge(F.col(text_col)).alias("_judged")).select(*kept, *[F.col(f"_judged.{n}").alias(n) for n in RESULT.names])
+    judged = free_name(docs, "_judged")
+    return docs.select(*kept, judge(F.col(text_col)).alias(judged)).select(*kept, *[F.col(judged)[n].alias(n) for n in RESULT.names])

@@ -18,6 +18,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orgpulse.llm.columns import free_name
 from orgpulse.session import cut_lineage
 
 # Bits of one row of bitmap_construct_agg.
@@ -107,5 +108,6 @@ def judge_urls(pages: DataFrame, rules: dict[str, str], listed_host: Column, url
     cascade = build_cascade(hosts.groupBy("key").agg(F.lit(True)).select("key", listed_host.alias("listed")), max_bytes)
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     by_list = F.when(cascade.lists(F.col("host")), "block").otherwise("allow")
-    parsed = pages.withColumns({"host": host, "path": path}) if url_col not in ("host", "path") else pages.select("*", F.col(url_col).alias("_url")).withColumns(dict(zip(("host", "path"), host_and_path(F.col("_url")), strict=True))).drop("_url")
+    url = free_name(pages, "_url")
+    parsed = pages.withColumn(url, F.col(url_col)).withColumns(dict(zip(("host", "path"), host_and_path(F.col(url)), strict=True))).drop(url)
     return parsed.withColumns({"rule": rule, "verdict": F.coalesce(verdict, by_list)})
