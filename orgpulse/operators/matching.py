@@ -106,46 +106,93 @@ def letter_counts(names: DataFrame, name: str) -> Column:
 
 
 def seldom_letters(name: Column, counts: Column) -> Column:
-    """The letters of a name by which another one at ``NAME_SIMILARITY`` or above can be found, seldom ones (by ``counts``) first.
+    """The numbered letters of a name, seldom ones (by ``counts``) first."""
+    rated = F.transform(_numbered_letters(name), lambda c: F.struct(F.coalesce(F.try_element_at(counts, _measured(c)), F.lit(0)).alias("n"), c.alias("c")))
+    return F.transform(F.sort_array(rated), lambda r: r["c"])
+
+
+def _span(length: Column) -> Column:
+    """Lengths that are treated as one: each for itself below 20, from there on 5 to 10 in a hundred apart."""
+    return F.when(length < 20, 1).otherwise(F.pow(F.lit(2.0), F.floor(F.log2(length / 10)))).cast("int")
+
+
+def _shortest(length: Column) -> Column:
+    """Shortest length that is treated as ``length``."""
+    return length - length % _span(length)
+
+
+def _shared(a: Column, b: Column) -> Column:
+    """Letters that names of two lengths share at ``NAME_SIMILARITY`` or above.
 
-    With a common start of at most four letters such names have a Jaro similarity of 11/12 or more, so that
-    at least three quarters of the letters of either are matched. Of n letters at least o = ceil(3n/4) are
-    shared, so in one order of all letters the first three shared ones lie among the first n - o + 3 on both sides.
+    With a common start of at most four letters such names have a Jaro similarity of 11/12 or more. Of its three
+    parts the last is at most 1, so the shares of matched letters m/a + m/b come to 7/4 or more.
     """
-    rated = F.transform(_numbered_letters(name), lambda c: F.struct(F.coalesce(F.try_element_at(counts, _measured(c)), F.lit(0)).alias("n"), c.alias("c")))
-    n = F.length(name)
-    return F.transform(F.slice(F.sort_array(rated), F.lit(1), n - F.ceil(n * 3 / 4).cast("int") + 3), lambda r: r["c"])
+    return F.ceil(F.lit(7.0) * a * b / (4 * (a + b)) - 1e-9).cast("int")
 
 
-def shared_letter_keys(name: Column, first: Column) -> Column:
-    """Keys of which two such names always have one in common: each three of ``first`` (a column of ``seldom_letters``). Of names of one or two letters only equal ones are so near."""
+def _least(other: Column, length: Column) -> Column:
+    """``other``, or the shortest length that a name of ``length`` can be so near to."""
+    return F.greatest(other, F.ceil(length * 3 / 4).cast("int"))
 
-    def after(i: Column) -> Column:
-        return F.slice(first, i, F.size(first))
 
-    threes = F.flatten(
-        F.transform(first, lambda a, i: F.flatten(F.transform(after(i + 2), lambda b, j: F.transform(after(i + j + 3), lambda c: F.concat(a, b, c)))))
-    )
-    return F.when(F.length(name) < 3, F.array(name)).otherwise(threes)
+def shared_letter_keys(letters: Column, length: Column, other: Column) -> Column:
+    """Keys of which a name and one of a length treated as ``other`` always have one in common, if they are near enough.
+
+    Of n letters (``letters``, seldom ones first in one order for all names) at least m are shared, so the first
+    k shared ones lie among the first n - m + k on both sides. A key is k of these. Of two names of 14 letters
+    13 are shared, so keys are the name without one of its letters; where fewer are shared, k is less, so that
+    a name has few keys.
+    """
+    own = _shortest(length)
+    # The same on both sides: least letters shared and most letters left out, of all lengths treated alike.
+    least = _shared(_least(own, other), _least(other, own))
+    most = F.greatest(own + _span(own), other + _span(other)) - 1 - least
+    k = F.least(least, F.when(most <= 0, least).when(most == 1, 35).when(most == 2, 7).when(most == 3, 4).otherwise(3))
+    left_out = length - _shared(length, _least(other, length))
+    start = F.array(F.struct(F.lit("").alias("key"), k.alias("take"), left_out.alias("leave")))
+
+    def add(found: Column, letter: Column) -> Column:
+        taken = F.transform(
+            F.filter(found, lambda f: f["take"] > 0),
+            lambda f: F.struct(F.concat(f["key"], letter).alias("key"), (f["take"] - 1).alias("take"), f["leave"].alias("leave")),
+        )
+        left = F.transform(
+            F.filter(found, lambda f: f["leave"] > 0),
+            lambda f: F.struct(f["key"].alias("key"), f["take"].alias("take"), (f["leave"] - 1).alias("leave")),
+        )
+        return F.concat(taken, left)
+
+    found = F.aggregate(F.slice(letters, F.lit(1), left_out + k), start, add)
+    return F.transform(found, lambda f: f["key"])
 
 
 def similar_names(left: DataFrame, right: DataFrame) -> DataFrame:
     """(tenant_id, name, other, similarity): pairs of distinct (tenant_id, name) at ``NAME_SIMILARITY`` or above.
 
-    Names meet on their seldomest letters, by how many names have each, and only if their lengths allow
-    the similarity.
+    Names meet on nearly all of their letters, seldom ones first by how many names have each, and only if
+    their lengths allow the similarity.
     """
     # One row per name holds the counts that its letters are ordered by.
     counts = letter_counts(left.select("name").union(right.select("name")).distinct(), "name")
+    # Keys are many times the names, so names are dealt to all cores first, however few bytes they have.
+    cores = left.sparkSession.sparkContext.defaultParallelism
+
+    def lengths(df: DataFrame) -> DataFrame:
+        return df.where(F.col("name") != "").select("tenant_id", _shortest(F.length("name")).alias("_length")).distinct()
 
-    def keyed(df: DataFrame, out: str) -> DataFrame:
-        names = df.select("tenant_id", F.col("name").alias(out)).where(F.col(out) != "").distinct().withColumn("_counts", counts)
-        rated = names.withColumn("_first", seldom_letters(F.col(out), F.col("_counts")))
-        return rated.select("tenant_id", out, F.length(out).alias(f"_{out}"), F.explode(shared_letter_keys(F.col(out), F.col("_first"))).alias("_key"))
+    def keyed(df: DataFrame, others: DataFrame, out: str, sides: list[str]) -> DataFrame:
+        names = df.select("tenant_id", F.col("name").alias(out)).where(F.col(out) != "").distinct()
+        n, other = F.length(out), F.col("_length")
+        met = names.join(others, "tenant_id").where((other * 3 <= n * 4) & ((other + _span(other) - 1) * 4 >= n * 3))
+        rated = met.repartition(cores, "tenant_id", out).withColumn("_counts", counts).withColumn("_letters", seldom_letters(F.col(out), F.col("_counts")))
+        keys = rated.select("tenant_id", out, _shortest(n).alias(sides[0]), other.alias(sides[1]), F.explode(shared_letter_keys(F.col("_letters"), n, other)).alias("_text"))
+        # A hash is short to deal; what it brings together by chance isn't similar and goes below.
+        return keys.select("tenant_id", out, F.xxhash64("_left", "_right", "_text").alias("_key"))
 
     # Three quarters of the longer name's letters are matched, so the shorter one has as many.
-    near = (F.col("_name") * 4 >= F.col("_other") * 3) & (F.col("_other") * 4 >= F.col("_name") * 3)
-    pairs = keyed(left, "name").join(keyed(right, "other"), ["tenant_id", "_key"]).where(near).select("tenant_id", "name", "other").distinct()
+    near = (F.length("name") * 4 >= F.length("other") * 3) & (F.length("other") * 4 >= F.length("name") * 3)
+    met = keyed(left, lengths(right), "name", ["_left", "_right"]).join(keyed(right, lengths(left), "other", ["_right", "_left"]), ["tenant_id", "_key"])
+    pairs = met.where(near).select("tenant_id", "name", "other").distinct()
     return pairs.withColumn("similarity", jaro_winkler(F.col("name"), F.col("other"))).where(F.col("similarity") >= NAME_SIMILARITY)
 
 
@@ -188,13 +235,14 @@ def match_candidates(
     if fuzzy:
         # Both name rules are one group below, so where both hold the stronger one stays.
         decided = decided.unionByName(_name_rules(observations, known))
-    score = F.create_map(*[x for r, c in CONFIDENCE.items() for x in (F.lit(r), F.lit(c))])
-    rated = decided.where(F.col("rule").isNotNull()).withColumn("confidence", score[F.col("rule")])
+    # A rule's number grows with its confidence, so the strongest one is a plain maximum.
+    ranked = sorted(CONFIDENCE, key=lambda r: (CONFIDENCE[r], r))
+    number = F.create_map(*[x for i, r in enumerate(ranked) for x in (F.lit(r), F.lit(i))])
     group = F.when(family.isin("mail_user", "user_mail"), F.lit("cross")).otherwise(family)
-    best = rated.withColumn("_group", group).groupBy(*VALUE, "person_id", "_group").agg(
-        F.max_by("rule", F.struct("confidence", "rule")).alias("rule"), F.max("confidence").alias("confidence")
-    )
-    return best.drop("_group")
+    rated = decided.where(F.col("rule").isNotNull()).withColumn("_group", group)
+    best = rated.groupBy(*VALUE, "person_id", "_group").agg(F.max(number[F.col("rule")]).alias("_rule"))
+    rules, scores = F.array(*map(F.lit, ranked)), F.array(*[F.lit(CONFIDENCE[r]) for r in ranked])
+    return best.select(*VALUE, "person_id", rules[F.col("_rule")].alias("rule"), scores[F.col("_rule")].alias("confidence"))
 
 
 def composite_confidence(candidates: DataFrame, weights: DataFrame | None = None) -> DataFrame:

@@ -204,6 +204,26 @@ def test_similar_names_match_all_pairs(spark, rows):
     assert got == want and ("marka nowosielec", "marta nowosielec") in got
 
 
+def test_few_names_are_compared_that_are_not_similar(spark, rows, monkeypatch):
+    rng = random.Random(5)
+    base = ["".join(rng.choice("abcdefghijklmnop") for _ in range(14)) for _ in range(400)]
+    others = [n[: i % 14] + "x" + n[i % 14 + 1 :] for i, n in enumerate(base)]
+    frame = lambda names: spark.createDataFrame([("t", n) for n in names], "tenant_id string, name string")
+    monkeypatch.setattr(matching, "NAME_SIMILARITY", 0.0)
+    compared = rows(matching.similar_names(frame(base), frame(others)), "name", "other")
+    assert set(zip(base, others)) <= set(compared) and len(compared) < 2 * len(base)
+
+
+def test_long_similar_names_match_all_pairs(spark, rows):
+    rng = random.Random(8)
+    base = ["".join(rng.choice("abcdeé") for _ in range(rng.randrange(15, 60))) for _ in range(60)] + ["ab" * 50, "abc" * 30]
+    others = [n[:-k] if k else n for n in base for k in (0, 1, len(n) // 6, len(n) // 4)] + [n[:9] + n[10:11] + n[9:10] + n[11:] + "xy" for n in base]
+    frame = lambda names: spark.createDataFrame([("t", n) for n in names], "tenant_id string, name string")
+    got = rows(matching.similar_names(frame(base), frame(others)), "name", "other")
+    want = sorted({(a, b) for a in base for b in others if _jaro_winkler(a, b) >= matching.NAME_SIMILARITY}, key=repr)
+    assert got == want and len(want) > 2 * len(base)
+
+
 def test_two_supervisors_give_one_row(spark, rows):
     lines = [("t", "top", None), ("t", "b", "top"), ("t", "c", "top"), ("t", "d", "b"), ("t", "d", "c"), ("t", "d", "top"), ("t", "e", "d")]
     store = spark.createDataFrame(lines, "tenant_id string, person_id string, supervisor_id string")
