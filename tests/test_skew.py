@@ -198,3 +198,30 @@ def test_one_hot_field_month(spark, monkeypatch, chunk):
         if value is not None:
             (held.add if action == "add" else held.discard)(value)
         assert got[event_id] == sorted(held)
+
+
+def test_keys_of_few_rows_take_one_window_without_a_join(spark):
+    df = spark.range(2000).select((F.col("id") % 500).alias("key"), F.timestamp_seconds(F.col("id") * 86400).alias("at"), "id")
+    near = ordered.with_neighbours(df, ["key"], ["at"], {"before": "id"}, {"after": "id"}, F.to_date("at"))
+    placed = ordered.with_row_number(df, ["key"], ["at"], F.to_date("at"), "n")
+    for out in (near, placed):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and plan.count("Window") == 1
+    assert all((r.before, r.after) == (r.id - 500 if r.id >= 500 else None, r.id + 500 if r.id < 1500 else None) for r in near.collect())
+    assert all(r.n == r.id // 500 + 1 for r in placed.collect())
+
+
+def test_hot_and_other_keys_have_the_same_neighbours(spark):
+    df = spark.range(300).select(F.when(F.col("id") < 250, "hot").when(F.col("id") < 290, F.col("id").cast("string")).alias("key"), "id", (F.col("id") * 7 % 300).alias("at"))
+    got = ordered.with_neighbours(df, ["key"], ["at"], {"before": "id"}, {"after": "id"}, F.floor(F.col("at") / 50), 20).collect()
+    placed = {r.id: r.n for r in ordered.with_row_number(df, ["key"], ["at"], F.floor(F.col("at") / 50), "n", 20).collect()}
+    groups = {}
+    for r in df.collect():
+        groups.setdefault(r.key, []).append((r.at, r.id))
+    want = {}
+    for rows_ in groups.values():
+        ids = [i for _, i in sorted(rows_)]
+        for n, i in enumerate(ids):
+            want[i] = (ids[n - 1] if n else None, ids[n + 1] if n + 1 < len(ids) else None)
+            assert placed[i] == n + 1
+    assert {r.id: (r.before, r.after) for r in got} == want
