@@ -304,3 +304,34 @@ def test_approximate_distinct_counts_are_within_their_error(spark):
     exact = {r.l_returnflag: r.parts for r in CASES["distinct_aggregate"](spark, sf).collect()}
     for r in CASES["distinct_aggregate_approx"](spark, sf).collect():
         assert abs(r.parts - exact[r.l_returnflag]) <= 5 * 0.01 * exact[r.l_returnflag]
+
+
+def test_dated_membership_is_the_same_by_month_and_by_key(spark, rows, monkeypatch):
+    facts = spark.createDataFrame([("t", p, i, f"2024-0{1 + i % 6}-{1 + i % 27:02d}") for i in range(60) for p in ("a", "b", None)], "tenant_id string, person_id string, id int, day string").withColumn("at", F.col("day").cast("timestamp"))
+    held = [("t", "a", "u1", "2023-05-01", "2024-02-10"), ("t", "a", "u2", "2024-02-10", "2024-04-01"), ("t", "a", "u3", "2024-05-03", None), ("t", "b", "u1", "2024-03-01", "2024-03-01"), ("t", "b", "u4", None, None)]
+    held = spark.createDataFrame(held, "tenant_id string, person_id string, unit_id string, f string, u string").select("tenant_id", "person_id", "unit_id", F.col("f").cast("timestamp").alias("valid_from"), F.col("u").cast("timestamp").alias("valid_to"))
+    for how in ("left", "inner"):
+        plain = org.temporal_join(facts, held, ["tenant_id", "person_id"], "at", ["unit_id"], how)
+        assert "Generate" not in plain._jdf.queryExecution().optimizedPlan().toString()
+        for hot in (0, 150):
+            monkeypatch.setattr(org, "HOT_PAIRS", hot)
+            assert rows(org.temporal_join(facts, held, ["tenant_id", "person_id"], "at", ["unit_id"], how)) == rows(plain)
+        monkeypatch.undo()
+
+
+def test_links_of_requests_are_not_dealt_to_be_distinct(spark):
+    from orgpulse.operators import code_metrics
+
+    repo = "tenant_id string, source_id string, project_key string, repo_slug string"
+    key = ("t", "s", "p", "r")
+    when = lambda s: F.timestamp_seconds(F.lit(s))
+    prs = spark.createDataFrame([(*key, 1, "merged", "x", "b", "A")], f"{repo}, pr_id bigint, state_norm string, title string, source_branch string, person_key string").withColumns({"created_on": when(0), "closed_on": when(7200)})
+    reviews = spark.createDataFrame([(*key, 1, "B", 1)], f"{repo}, pr_id bigint, person_key string, approved int").withColumn("reviewed_at", when(3600))
+    links = spark.createDataFrame([(*key, 1, "h")] * 3, f"{repo}, pr_id bigint, commit_hash string")
+    commits = spark.createDataFrame([(*key, "h")], f"{repo}, commit_hash string").withColumn("date", when(0))
+    files = spark.createDataFrame([(*key, "h", "README.md")], f"{repo}, commit_hash string, file_path string")
+    out = code_metrics.pr_props(prs, reviews, links, commits, files)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 5
+    row = out.first()
+    assert (row.cycle_time_hours, row.review_time_hours, row.reviewers) == (2.0, 1.0, 1)
