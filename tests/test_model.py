@@ -335,3 +335,22 @@ def test_links_of_requests_are_not_dealt_to_be_distinct(spark):
     assert plan.count("Aggregate [") == 5
     row = out.first()
     assert (row.cycle_time_hours, row.review_time_hours, row.reviewers) == (2.0, 1.0, 1)
+
+
+def test_task_json_is_parsed_once(spark):
+    issues = spark.range(10).select(
+        F.lit("t").alias("tenant_id"), F.lit("2024-01-01T00:00:00Z").alias("updated"), F.lit("Bug").alias("issue_type"), F.lit(None).cast("string").alias("due_date"), F.col("id").cast("string").alias("id_readable"),
+        F.when(F.col("id") < 8, F.concat(F.lit('{"assignee":{"emailAddress":"A@x"},"timespent":'), F.col("id").cast("string"), F.lit(',"status":{"name":"Closed"}}'))).alias("custom_fields_json"),
+    )
+    states = gold.closed_states(issues)
+    assert states._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+    assert [(r.person_id, r.tasks_closed, r.bugs_fixed) for r in states.collect()] == [("a@x", 8, 8)]
+
+
+def test_period_values_sort_no_rows(spark, rows):
+    seen = [("tasks_completed", "a", "u1", 2.0), ("tasks_completed", "a", "u2", 3.0), ("tasks_completed", "a", None, None), ("estimation_accuracy", "a", "u1", 90.0), ("estimation_accuracy", "a", "u2", 130.0), ("estimation_accuracy", "a", "u2", 500.0), ("x", "a", "u1", 1.0), ("x", "a", "u2", 2.0), ("x", "a", "u2", 6.0), ("x", "b", None, None)]
+    df = spark.createDataFrame([("t", *r) for r in seen], "tenant_id string, metric_key string, person_id string, org_unit_id string, metric_value double")
+    out = metrics.person_period_values(df, "task_delivery")
+    first = out._jdf.queryExecution().sparkPlan().toString().splitlines()[-3:]
+    assert not any("SortAggregate" in line for line in first)
+    assert rows(out, "metric_key", "person_id", "org_unit_id", "v_period") == [("estimation_accuracy", "a", "u2", 80.0), ("tasks_completed", "a", "u2", 5.0), ("x", "a", "u2", 3.0), ("x", "b", None, None)]
