@@ -313,8 +313,8 @@ def test_dated_membership_is_the_same_by_month_and_by_key(spark, rows, monkeypat
     for how in ("left", "inner"):
         plain = org.temporal_join(facts, held, ["tenant_id", "person_id"], "at", ["unit_id"], how)
         assert "Generate" not in plain._jdf.queryExecution().optimizedPlan().toString()
-        for hot in (0, 150):
-            monkeypatch.setattr(org, "HOT_PAIRS", hot)
+        for hot in (0, 2):
+            monkeypatch.setattr(org, "HOT_ASSIGNMENTS", hot)
             assert rows(org.temporal_join(facts, held, ["tenant_id", "person_id"], "at", ["unit_id"], how)) == rows(plain)
         monkeypatch.undo()
 
