@@ -16,9 +16,11 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,10 +28,14 @@ from pyspark.sql import types as T
 
 from orgpulse.llm.bytehash import mix, span_hash
 
-# Merged pre-tokens that a worker keeps, so that frequent ones are merged once; all are dropped when it is full.
-KEPT_MERGES = 400_000
-# Tokens of the rows that are handed back to Spark at once.
-YIELDED_TOKENS = 1 << 19
+# Merged pre-tokens that a worker keeps, so that frequent ones are merged once. When so many have come, those
+# that weren't asked for since the last time are dropped.
+KEPT_MERGES = 150_000
+# Characters of the texts whose pre-tokens are looked up together; a longer text is taken by itself.
+LOOKED_UP = 1 << 19
+# Bytes of texts that are Python strings at once, and tokens of the rows that are handed back to Spark at once.
+HELD_BYTES = 4 << 20
+YIELDED_TOKENS = 1 << 18
 _LOADED: dict[tuple[str, str], Encoder] = {}
 
 
@@ -90,17 +96,16 @@ class PerfectHash:
         return [i if held[s] == k else -1 for k, s, i in zip(keys, slots.tolist(), index, strict=True)]
 
 
-def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of a piece by merging its bytes in the order of rank, leftmost first among equals."""
+def merge_bytes(piece: bytes, ranks: dict[bytes, int], due: list[int], heap: list[int], wide: int) -> tuple[int, ...]:
+    """Ids of a piece by merging its bytes in the order of rank, leftmost first among equals.
+
+    ``due`` holds the rank of the pair that starts at a byte (-1 if it is no entry), ``heap`` those that are
+    entries, each before its place in the lowest ``wide`` bits, as a heap. Both are used up.
+    """
     n = len(piece)
-    get, wide = ranks.get, n.bit_length()
-    place = (1 << wide) - 1
+    get, place = ranks.get, (1 << wide) - 1
     after = list(range(1, n + 2))  # start of the next part; n ends the list
     before = list(range(-1, n))
-    due = [get(piece[i : i + 2], -1) for i in range(n)]  # rank of the pair that starts at a part, -1 if it is no entry
-    due[-1:] = [-1]
-    heap = [rank << wide | i for i, rank in enumerate(due) if rank >= 0]
-    heapq.heapify(heap)
     pop, push = heapq.heappop, heapq.heappush
     while heap:
         top = pop(heap)
@@ -126,7 +131,40 @@ def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     while i < n:
         ids.append(ranks[piece[i : after[i]]])
         i = after[i]
-    return ids
+    return tuple(ids)
+
+
+def pair_ranks(ranks: dict[bytes, int]) -> np.ndarray:
+    """Rank of every pair of bytes, -1 if it is no entry."""
+    out = np.full(1 << 16, -1, np.int64)
+    for entry, rank in ranks.items():
+        if len(entry) == 2:
+            out[entry[0] << 8 | entry[1]] = rank
+    return out
+
+
+def merge_pieces(pieces: list[bytes], ranks: dict[bytes, int], pairs: np.ndarray) -> Iterator[tuple[int, ...]]:
+    """Ids of every piece, none of them empty. The ranks of their neighbouring bytes are looked up and put in order together."""
+    if not pieces:
+        return
+    lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    ends = np.cumsum(lengths)
+    starts = ends - lengths
+    data = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int64)
+    due = np.full(len(data), -1, np.int64)
+    due[:-1] = pairs[data[:-1] << 8 | data[1:]]
+    due[ends - 1] = -1
+    wide = int(lengths.max()).bit_length()
+    # In order, the entries of a piece are a heap already.
+    at = np.flatnonzero(due >= 0)
+    owner = np.searchsorted(ends, at, side="right")
+    keys = due[at] << wide | at - starts[owner]
+    keys = keys[np.lexsort((keys, owner))].tolist()
+    last = np.cumsum(np.bincount(owner, minlength=len(pieces))).tolist()
+    due, first = due.tolist(), 0
+    for piece, start, end, stop in zip(pieces, starts.tolist(), ends.tolist(), last, strict=True):
+        yield merge_bytes(piece, ranks, due[start:end], keys[first:stop], wide)
+        first = stop
 
 
 class Encoder:
@@ -137,43 +175,57 @@ class Encoder:
         entries = list(ranks)
         self.ids = [ranks[e] for e in entries]
         self.whole = PerfectHash(entries)
-        self.bytes_of = {i: e for e, i in ranks.items()}
+        # Entries by id; an id that no entry has is null.
+        by_id: list[bytes | None] = [None] * (max(self.ids, default=-1) + 1)
+        for entry, i in ranks.items():
+            by_id[i] = entry
+        self.bytes_of = pa.array(by_id, pa.large_binary())
         self.pieces = regex.compile(pattern).findall
-        self.merged: dict[str, list[int]] = {}
+        self.pairs = pair_ranks(ranks)
+        # Merged pre-tokens asked for since the last change, and those before it.
+        self.merged: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def encode_batch(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """Ids of every text. The pre-tokens of up to a few MB of text are looked up together."""
+        """Ids of every text. The pre-tokens of up to ``LOOKED_UP`` characters are looked up together."""
         at = 0
         while at < len(texts):
             stop, size = at, 0
-            while stop < len(texts) and (stop == at or size + len(texts[stop]) <= 4 << 20):
+            while stop < len(texts) and (stop == at or size + len(texts[stop]) <= LOOKED_UP):
                 size += len(texts[stop])
                 stop += 1
             split = [self.pieces(t) for t in texts[at:stop]]
-            known = self._resolve(set().union(*split))
+            known = self._resolve(set().union(*split)).__getitem__
             for pieces in split:
-                yield np.fromiter((i for p in pieces for i in known[p]), np.uint32)
+                yield np.fromiter(chain.from_iterable(map(known, pieces)), np.uint32)
             at = stop
 
-    def _resolve(self, pieces: set[str]) -> dict[str, list[int]]:
-        merged = self.merged
+    def _resolve(self, pieces: set[str]) -> dict[str, tuple[int, ...]]:
+        if len(self.merged) > KEPT_MERGES:
+            self.older, self.merged = self.merged, {}
+        merged, ids = self.merged, self.ids
+        merged.update((p, self.older.pop(p)) for p in pieces & self.older.keys())
         known = {p: merged[p] for p in pieces & merged.keys()}
         new = list(pieces - known.keys())
         raw = [p.encode() for p in new]
-        ids, ranks = self.ids, self.ranks
-        if len(merged) > KEPT_MERGES:
-            merged.clear()
-        for piece, key, found in zip(new, raw, self.whole.find(raw), strict=True):
-            if found >= 0:
-                known[piece] = [ids[found]]
-            else:
-                known[piece] = merge_bytes(key, ranks)
-                if len(key) < 64:
-                    merged[piece] = known[piece]
+        places = self.whole.find(raw)
+        known.update((p, (ids[i],)) for p, i in zip(new, places, strict=True) if i >= 0)
+        apart = [(p, key) for p, key, i in zip(new, raw, places, strict=True) if i < 0]
+        for (piece, key), own in zip(apart, merge_pieces([key for _, key in apart], self.ranks, self.pairs), strict=True):
+            known[piece] = own
+            if len(key) < 64:
+                merged[piece] = own
         return known
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
+    def decode(self, ids: np.ndarray) -> pa.Buffer:
+        """The bytes of ids one after another."""
+        if not len(ids):
+            return pa.py_buffer(b"")
+        found = self.bytes_of.take(pa.array(ids))
+        if found.null_count:
+            raise KeyError(f"no entry has id {ids[found.is_null().index(True).as_py()]}")
+        first, last = np.frombuffer(found.buffers()[1], np.int64)[[found.offset, found.offset + len(found)]]
+        return found.buffers()[2].slice(first, last - first)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -202,49 +254,81 @@ def _sums(own: Encoder, ids: np.ndarray) -> tuple[str, str]:
 def encode_texts(docs: DataFrame, rank_path: str, pattern: str, text_col: str = "text", ids: bool = True, digests: bool = False) -> DataFrame:
     """Rows with n_tokens, ids (array<int>, if asked) and digests of ids and decoded bytes (if asked) of their whole text.
 
-    All come from one pass, and are given on a few MB of text at a time.
+    All come from one pass. Texts are taken out of their batch and results are given back a few MB at a time.
     """
     schema = T.StructType([COUNT, *(IDS.fields[1:] if ids else []), *(SUMS.fields if digests else [])])
 
-    @F.pandas_udf(schema)
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def result(rows: list[np.ndarray], sums: list[tuple[str, str]]) -> pa.Array:
+        counts = np.fromiter(map(len, rows), np.int64, len(rows))
+        columns = [pa.array(counts)]
+        if ids:
+            ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+            columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *rows]).astype(np.int32))))
+        if digests:
+            columns.extend(pa.array([s[i] for s in sums], pa.string()) for i in range(2))
+        return pa.StructArray.from_arrays(columns, names=schema.names)
+
+    @F.arrow_udf(schema)
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = encoder(rank_path, pattern)
-        for texts in batches:
-            rows, size = [], 0
-            for found in own.encode_batch(texts.fillna("").tolist()):
-                rows.append((len(found), *([found.astype(np.int32)] if ids else []), *(_sums(own, found) if digests else ())))
-                size += len(found)
-                if size >= YIELDED_TOKENS:
-                    yield pd.DataFrame(rows, columns=schema.names)
-                    rows, size = [], 0
-            if rows or not len(texts):
-                yield pd.DataFrame(rows, columns=schema.names)
+        for batch in batches:
+            rows, sums, size = [], [], 0
+            for texts in _held(batch):
+                for found in own.encode_batch(texts):
+                    rows.append(found)
+                    if digests:
+                        sums.append(_sums(own, found))
+                    size += len(found)
+                    if size >= YIELDED_TOKENS:
+                        yield result(rows, sums)
+                        rows, sums, size = [], [], 0
+            if rows or not len(batch):
+                yield result(rows, sums)
 
     return _widened(docs, encode(F.col(text_col)), schema)
 
 
+def _held(texts: pa.Array) -> Iterator[list[str]]:
+    """The texts of a batch in order, those of a few MB at a time; null is empty."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        before = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, before + HELD_BYTES, side="right")))
+        yield [t or "" for t in texts.slice(at, stop - at).to_pylist()]
+        at = stop
+
+
 def decode_ids(encoded: DataFrame, rank_path: str, pattern: str, ids_col: str = "ids") -> DataFrame:
     """Rows with the bytes of their ids as ``decoded``; null ids give empty bytes."""
+    schema = T.StructType([T.StructField("decoded", T.BinaryType())])
 
-    @F.pandas_udf("struct<decoded: binary>")
-    def decode(ids: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf(schema)
+    def decode(ids: pa.Array) -> pa.Array:
         decode = encoder(rank_path, pattern).decode
-        return pd.DataFrame({"decoded": [b"" if i is None else decode(np.asarray(i)) for i in ids]})
+        return pa.StructArray.from_arrays([pa.array([decode(i).to_pybytes() for i in _id_arrays(ids)], pa.binary())], names=schema.names)
 
-    return _widened(encoded, decode(F.col(ids_col)), T.StructType([T.StructField("decoded", T.BinaryType())]))
+    return _widened(encoded, decode(F.col(ids_col)), schema)
 
 
 def digest_ids(encoded: DataFrame, rank_path: str, pattern: str, ids_col: str = "ids") -> DataFrame:
     """Rows with the SHA-256 of their ids (little-endian, 32 bits) and of the bytes they decode to; null ids count as none."""
 
-    @F.pandas_udf(SUMS)
-    def digests(ids: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf(SUMS)
+    def digests(ids: pa.Array) -> pa.Array:
         own = encoder(rank_path, pattern)
-        return pd.DataFrame([_sums(own, np.empty(0, "<u4") if i is None else np.asarray(i, "<u4")) for i in ids], columns=SUMS.names)
+        sums = [_sums(own, i) for i in _id_arrays(ids)]
+        return pa.StructArray.from_arrays([pa.array([s[i] for s in sums], pa.string()) for i in range(2)], names=SUMS.names)
 
     return _widened(encoded, digests(F.col(ids_col)), SUMS)
 
 
+def _id_arrays(ids: pa.Array) -> Iterator[np.ndarray]:
+    """The ids of every row; null is none."""
+    for row in ids:
+        yield row.values.to_numpy(zero_copy_only=False).astype(np.uint32) if row.is_valid else np.empty(0, np.uint32)
+
+
 def round_trip(docs: DataFrame, rank_path: str, pattern: str, text_col: str = "text") -> DataFrame:
     """Rows with n_tokens and the digests of ids and decoded bytes; ids don't travel between processes."""
     return encode_texts(docs, rank_path, pattern, text_col, ids=False, digests=True)

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import string
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -295,6 +296,25 @@ def test_bpe_equals_tiktoken(spark):
     assert digests[5].ids_sha256 == hashlib.sha256(np.array(reference.encode_ordinary(awkward[5]), "<u4").tobytes()).hexdigest()
 
 
+def test_bpe_holds_few_pieces_and_merges_at_once(monkeypatch):
+    rnd = random.Random(4)
+    texts = [" ".join(rnd.choices(["ab", "cdx", "Zq7", "é", "...", "thanen"], k=40_000)) for _ in range(24)]
+    own = bpe.encoder(RANKS, public_tokenizers.PATTERN)
+    tracemalloc.start()
+    for _ in own.encode_batch(texts):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(map(len, texts)) > 3 << 20 and peak < 32 << 20
+    monkeypatch.setattr(bpe, "KEPT_MERGES", 50)
+    own = bpe.Encoder(bpe.read_ranks(RANKS), public_tokenizers.PATTERN)
+    reference = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=own.ranks, special_tokens={})
+    for n in range(60):
+        text = f"thanen {' '.join(''.join(rnd.choices('qzxkvé', k=9)) for _ in range(20))} thanen"
+        assert [a.tolist() for a in own.encode_batch([text])] == [reference.encode_ordinary(text)]
+        assert " thanen" in own.merged and len(own.merged) + len(own.older) <= 2 * (50 + 21)
+
+
 def test_perfect_hash_is_minimal_and_exact():
     keys = [str(i).encode() for i in range(5000)]
     table = bpe.PerfectHash(keys)
