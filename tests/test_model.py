@@ -354,3 +354,27 @@ def test_period_values_sort_no_rows(spark, rows):
     first = out._jdf.queryExecution().sparkPlan().toString().splitlines()[-3:]
     assert not any("SortAggregate" in line for line in first)
     assert rows(out, "metric_key", "person_id", "org_unit_id", "v_period") == [("estimation_accuracy", "a", "u2", 80.0), ("tasks_completed", "a", "u2", 5.0), ("x", "a", "u2", 3.0), ("x", "b", None, None)]
+
+
+COMMIT = "tenant_id string, source_id string, project_key string, repo_slug string, commit_hash string"
+
+
+def commit_rows(spark):
+    """Two commits of one hash in two repositories, one commit of no tenant."""
+    seen = [("t", "s", "p", "r1", "h", "a"), ("t", "s", "p", "r2", "h", "b"), (None, "s", "p", "r1", "g", "a")]
+    df = spark.createDataFrame([(*r[:5], "", r[5]) for r in seen], f"{COMMIT}, author_email string, author_name string")
+    return silver.git_commit_fact(df.withColumns({"date": F.lit("2024-01-03").cast("timestamp"), "is_merge_commit": F.lit(0)}))
+
+
+def file_rows(spark):
+    seen = [("t", "s", "p", "r1", "h", "f1", "a.py", 5), ("t", "s", "p", "r2", "h", "f2", "b.test.js", 7), ("t", "s", "p", "r3", "h", "f3", "c.py", 9)]
+    return spark.createDataFrame(seen, f"{COMMIT}, unique_key string, file_path string, lines_added bigint")
+
+
+def test_commits_meet_by_their_hash_first(spark, rows):
+    out = silver.git_file_change_fact(file_rows(spark), commit_rows(spark))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    join = next(line for line in plan.splitlines() if "Join Inner" in line)
+    assert join.index("commit_hash") < join.index("tenant_id")
+    assert out.columns[:7] == ["tenant_id", "source_id", "project_key", "repo_slug", "commit_hash", "unique_key", "file_path"]
+    assert rows(out, "unique_key", "repo_slug", "person_key", "file_category") == [("f1", "r1", "a", "code"), ("f2", "r2", "b", "spec")]
