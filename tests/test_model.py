@@ -378,3 +378,19 @@ def test_commits_meet_by_their_hash_first(spark, rows):
     assert join.index("commit_hash") < join.index("tenant_id")
     assert out.columns[:7] == ["tenant_id", "source_id", "project_key", "repo_slug", "commit_hash", "unique_key", "file_path"]
     assert rows(out, "unique_key", "repo_slug", "person_key", "file_category") == [("f1", "r1", "a", "code"), ("f2", "r2", "b", "spec")]
+
+
+def test_weekly_counts_are_dealt_once(spark, rows):
+    commits = commit_rows(spark)
+    cols = f"{COMMIT.replace('commit_hash', 'merge_commit_hash')}, author_email string, author_name string, state string"
+    seen = [("t", "s", "p", "r1", "h", "", "a", "MERGED"), ("t", "s", "p", "r1", "x", "", "c", "MERGED"), (None, "s", "p", "r1", "x", "", "a", "MERGED")]
+    at = F.lit("2024-01-04").cast("timestamp")
+    prs = silver.git_pr_fact(spark.createDataFrame(seen, cols).withColumns({"created_on": at, "closed_on": at}))
+    out = silver.git_person_weekly(prs, commits, silver.git_file_change_fact(file_rows(spark), commits))
+    # One join for the files' commits and one for merge commits.
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
+    week = datetime(2024, 1, 1).date()
+    assert {(r.week, r.unique_key) for r in out.collect() if r.tenant_id} == {(week, f"t|{p}|2024-01-01") for p in "abc"}
+    assert rows(out, "tenant_id", "person_key", "commits", "prs_merged", "code_loc", "spec_lines") == sorted(
+        [("t", "a", 1, 1, 5, 0), ("t", "b", 1, 0, 0, 7), ("t", "c", 0, 1, 0, 0), (None, "a", 1, 0, 0, 0), (None, "a", 0, 1, 0, 0)], key=repr
+    )
