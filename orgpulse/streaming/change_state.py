@@ -7,12 +7,14 @@ in one micro-batch give two versions, and the result depends neither on how rows
 batches nor on their order of arrival within ``delay``. Rows later than that are left out, as
 everywhere behind a watermark.
 
-What a key holds is one version and its rows of the last ``delay``. Tracked values are compared as
-they are, not by a hash.
+What a key holds is one version and its rows of the last ``delay``, each as pickled tuples, many
+rows to a value. Tracked values are compared as they are, not by a hash.
 """
 
 from __future__ import annotations
 
+import itertools
+import pickle
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -23,6 +25,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 # Time of rows that only move the watermark, see ``closing_row``.
 CLOSING_TIME = "9999-01-01 00:00:00"
+# Waiting rows of a key that make one value of its state: a call to the state store costs far more than a row.
+HELD_TOGETHER = 1_000
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -37,40 +41,53 @@ def versions(schema: T.StructType, cols: Sequence[str], order: Sequence[str]) ->
     need not find this package.
     """
 
+    names = schema.fieldNames()
+    at = names.index("_ms")
+    tracked = [names.index(c) for c in cols]
+    sorting = [names.index(c) for c in order]
+    given = [i for i, n in enumerate(names) if n != "_ms"]
+    version = Row(*[names[i] for i in given])
+
     class Versions(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
-            self.stored = handle.getValueState("stored", T.StructType([schema[c] for c in cols]))
-            self.waiting = handle.getListState("waiting", schema)
+            # Each element is a pickled pair: the newest version (or None) and rows that wait.
+            self.held = handle.getListState("held", "held binary")
 
         def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
             passed = timerValues.getCurrentWatermarkInMs()
-            fresh = [tuple(r) for r in rows if r["_ms"] > passed]
-            if fresh:
-                at = schema.fieldNames().index("_ms")
-                self.waiting.appendList(fresh)
-                self.handle.registerTimer(min(r[at] for r in fresh))
+            fresh = (tuple(r) for r in rows if r[at] > passed)
+            first = None
+            while some := list(itertools.islice(fresh, HELD_TOGETHER)):
+                self.held.appendValue((pickle.dumps((None, some)),))
+                lowest = min(r[at] for r in some)
+                first = lowest if first is None else min(first, lowest)
+            if first is not None:
+                self.handle.registerTimer(first)
             return iter(())
 
         def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
             passed = timerValues.getCurrentWatermarkInMs()
-            names = schema.fieldNames()
-            rows = [dict(zip(names, r, strict=True)) for r in self.waiting.get()]
+            before, rows = None, []
+            for (element,) in self.held.get():
+                newest, some = pickle.loads(element)
+                before = before if newest is None else newest
+                rows += some
             # A missing value comes before all others.
-            due = sorted((r for r in rows if r["_ms"] <= passed), key=lambda r: [(r[c] is not None, r[c]) for c in order])
-            left = [r for r in rows if r["_ms"] > passed]
-            before = tuple(self.stored.get()) if self.stored.exists() else None
+            due = sorted((r for r in rows if r[at] <= passed), key=lambda r: [(r[i] is not None, r[i]) for i in sorting])
+            # Another timer of this key came first; rows that still wait have timers of their own.
+            if not due:
+                return
+            left = [r for r in rows if r[at] > passed]
             for row in due:
-                now = tuple(row[c] for c in cols)
+                now = tuple(row[i] for i in tracked)
                 if now != before:
                     before = now
-                    yield Row(**{n: row[n] for n in names if n != "_ms"})
-            if due:
-                self.stored.update(before)
-            self.waiting.clear()
+                    yield version(*[row[i] for i in given])
+            parts = [left[i : i + HELD_TOGETHER] for i in range(0, len(left), HELD_TOGETHER)]
+            self.held.put([(pickle.dumps(held),) for held in [(before, []), *((None, some) for some in parts)]])
             if left:
-                self.waiting.appendList([tuple(r[n] for n in names) for r in left])
-                self.handle.registerTimer(min(r["_ms"] for r in left))
+                self.handle.registerTimer(min(r[at] for r in left))
 
         def close(self) -> None:
             pass

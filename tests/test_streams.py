@@ -4,7 +4,9 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from orgpulse.sources import versioned
 from orgpulse.streaming import change_state, incremental, windows
@@ -125,3 +127,60 @@ def test_days_settle_and_late_rows_count_until_then(inbox):
     assert run() == [(1, 3, True), (2, 2, False), (3, 1, False)]
     inbox.put([(8, "a", "x", at(100))])
     assert run() == [(1, 3, True), (2, 2, True), (3, 1, True), (5, 1, False)]
+
+
+class Kept:
+    """A list state of one key that counts the calls reaching the state store."""
+
+    def __init__(self):
+        self.values, self.calls = [], 0
+
+    def appendValue(self, value):  # noqa: N802
+        self.put([*self.values, value])
+
+    def put(self, values):
+        self.values, self.calls = list(values), self.calls + 1
+
+    def get(self):
+        return iter(self.values)
+
+
+class Handle:
+    def __init__(self):
+        self.timers = []
+
+    def getListState(self, name, schema):  # noqa: N802
+        self.held = Kept()
+        return self.held
+
+    def registerTimer(self, at_ms):  # noqa: N802
+        self.timers.append(at_ms)
+
+
+class Watermark:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return self.ms
+
+
+def test_rows_of_a_key_wait_in_few_values():
+    schema = T.StructType.fromDDL("id bigint, kind string, _ms bigint")
+    handle, row = Handle(), Row("id", "kind", "_ms")
+    versions = change_state.versions(schema, ["kind"], ["id"])
+    versions.init(handle)
+    rows = [row(i, "xy"[i // 10 % 2], i) for i in range(2500)]
+    list(versions.handleInputRows(("a",), iter(rows), Watermark(-1)))
+    assert len(handle.held.values) == 3
+    assert handle.timers == [0]
+    seen = list(versions.handleExpiredTimer(("a",), Watermark(1004), None))
+    assert [r.id for r in seen] == list(range(0, 1005, 10))
+    assert seen[1].asDict() == {"id": 10, "kind": "y"}
+    assert (len(handle.held.values), handle.held.calls, handle.timers) == (3, 4, [0, 1005])
+    calls = handle.held.calls
+    # A second timer behind the same watermark finds nothing to do.
+    assert list(versions.handleExpiredTimer(("a",), Watermark(1004), None)) == []
+    assert handle.held.calls == calls
+    assert [r.id for r in versions.handleExpiredTimer(("a",), Watermark(5000), None)] == list(range(1010, 2500, 10))
+    assert len(handle.held.values) == 1
