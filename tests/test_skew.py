@@ -68,6 +68,23 @@ def test_dense_rank(frame):
     assert all(r.n == ranks[r.sec] for r in ordered.dense_rank_all(frame.select("sec"), "sec", "n").collect())
 
 
+def test_dense_rank_by_ranges(spark):
+    odd = spark.createDataFrame([(None, None), (float("nan"), "z"), (-0.0, "é"), (0.0, ""), (1e300, None)], "x double, s string")
+    many = spark.range(5000).select((F.col("id") * 7919 % 997 - 400).cast("double").alias("x"), F.concat(F.lit("k"), F.col("id") % 83).alias("s"))
+    df = odd.unionByName(many)
+    for c in ("x", "s"):
+        out = ordered.dense_rank_all(df.select(c), c, "n")
+        # No value is looked for in a list of bounds.
+        assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()
+        seen = out.collect()
+        held = {str(r[0] + 0.0) if c == "x" else r[0]: r[0] for r in seen if r[0] is not None}
+        order = sorted(held, key=lambda k: (k == "nan", float(k)) if c == "x" else k.encode())
+        ranks = {k: n for n, k in enumerate(order, 1)}
+        assert len(seen) == 5005
+        assert all(r.n == (None if r[0] is None else ranks[str(r[0] + 0.0) if c == "x" else r[0]]) for r in seen)
+    assert ordered.dense_rank_all(df.where("false"), "x", "n").collect() == []
+
+
 def test_latest_row(frame):
     got = {r.key: r.id for r in ordered.latest_per_key(frame, ["key"], ["at", "id"]).collect()}
     assert got == {key: items[-1][1] for key, items in by_key().items()}
