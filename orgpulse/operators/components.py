@@ -71,8 +71,9 @@ def merge_batch(groups: DataFrame, tokens: DataFrame, batch: DataFrame) -> tuple
     """
     pairs = cut_lineage(batch.select("token", F.col("rid").cast("bigint").alias("rid")).distinct())
     known = groups.select("rid", F.col("group_id").alias("_own")).join(pairs.select("rid").distinct(), "rid", "left_semi")
-    seen = tokens.select("token", F.col("group_id").alias("_theirs")).join(pairs.select("token").distinct(), "token", "left_semi")
-    placed = pairs.join(known, "rid", "left").withColumn("node", F.coalesce("_own", "rid"))
+    seen = cut_lineage(tokens.select("token", F.col("group_id").alias("_theirs")).join(pairs.select("token").distinct(), "token", "left_semi"))
+    # What is stored about the batch is looked up once; the rounds, the accounts and the tokens all need it.
+    placed = cut_lineage(pairs.join(known, "rid", "left").withColumn("node", F.coalesce("_own", "rid")))
     # A token links what the batch says uses it, and the group that used it before.
     edges = placed.select("token", F.col("node").alias("rid")).unionByName(seen.select("token", F.col("_theirs").alias("rid")))
     moved = cut_lineage(identity_components(edges, rank=False).select(F.col("rid").alias("group_id"), F.col("group_id").alias("_new")))

@@ -257,3 +257,12 @@ def test_a_very_long_word_gives_few_keys(spark, rows):
     mails = spark.createDataFrame([("x" * 3000 + "meie" + "y" * 3000 + "@x.com", 3), ("ng@x.com", 2)], "email string, group_id int")
     got = rows(components.lastname_review_list(names, mails, [], 0.3), "last_name", "email_group")
     assert got == [("meier", 3)]
+
+
+def test_a_batch_looks_stored_groups_up_once(spark, rows):
+    stored = spark.createDataFrame([(1, 1), (2, 1), (9, 9)], "rid bigint, group_id bigint"), spark.createDataFrame([("t", 1), ("u", 9)], "token string, group_id bigint")
+    changed, changed_tokens = components.merge_batch(*stored, spark.createDataFrame([("t", 9), ("v", 2), ("v", 5)], "token string, rid bigint"))
+    joins = [df._jdf.queryExecution().optimizedPlan().toString().count("Join ") for df in (changed, changed_tokens)]
+    # Of each, one with what moved and one for members of merged groups; tokens also leave out the stored ones.
+    assert joins == [2, 3]
+    assert (rows(changed), rows(changed_tokens)) == ([(5, 1), (9, 1)], [("u", 1), ("v", 1)])
