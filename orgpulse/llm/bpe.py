@@ -3,7 +3,8 @@
 A pre-token that is a vocabulary entry is resolved whole, through a minimal perfect hash
 built once for each worker. Any other is merged: its bytes are a doubly linked list, and
 a heap holds the ranks of neighbouring pairs, so the lowest rank, the leftmost first, is
-merged until no pair is in the vocabulary.
+merged until no pair is in the vocabulary. The lists and heaps of many short pre-tokens lie
+side by side in arrays, and a step takes the top of each heap; a long one has its own.
 
 A null text encodes as an empty one. Rows are independent: repeated rows get equal
 results, an empty table gives an empty result. Very long texts are encoded whole, by
@@ -16,7 +17,7 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,13 @@ LOOKED_UP = 1 << 19
 # Bytes of texts that are Python strings at once, and tokens of the rows that are handed back to Spark at once.
 HELD_BYTES = 4 << 20
 YIELDED_TOKENS = 1 << 18
+# Places that a piece merged beside others takes: its bytes and at least one more, as a power of FAN, the width of a heap's nodes.
+FAN = 4
+WIDTHS = (4, 16, 64)
+# Places of the pieces merged side by side, and how many pieces are worth it.
+PLACES = 1 << 16
+SIDE_BY_SIDE = 64
+NONE = np.iinfo(np.int64).max
 _LOADED: dict[tuple[str, str], Encoder] = {}
 
 
@@ -134,25 +142,146 @@ def merge_bytes(piece: bytes, ranks: dict[bytes, int], due: list[int], heap: lis
     return tuple(ids)
 
 
-def pair_ranks(ranks: dict[bytes, int]) -> np.ndarray:
-    """Rank of every pair of bytes, -1 if it is no entry."""
-    out = np.full(1 << 16, -1, np.int64)
-    for entry, rank in ranks.items():
-        if len(entry) == 2:
-            out[entry[0] << 8 | entry[1]] = rank
+class PairRanks:
+    """Ranks of the entries that two parts make, by the numbers of the parts: an open table, a quarter of it taken at most.
+
+    The number of an entry is its rank; bytes that are no entries, and a last one for no part at all, have numbers above.
+    """
+
+    SPREAD = np.uint64(0x9E3779B97F4A7C15)
+    FREE = np.uint64((1 << 64) - 1)
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.beyond = max(ranks.values(), default=-1) + 1
+        self.no_part = self.beyond + 256
+        single = {bytes([b]): self.beyond + b for b in range(256)}
+        self.of_byte = np.array([ranks.get(b, number) for b, number in single.items()], np.int64)
+        number = (single | ranks).get
+        left, right, rank = [], [], []
+        for entry, own in ranks.items():
+            for cut in range(1, len(entry)):
+                if (a := number(entry[:cut])) is not None and (b := number(entry[cut:])) is not None:
+                    left.append(a)
+                    right.append(b)
+                    rank.append(own)
+        keys, rank = self._keys(np.array(left, np.int64), np.array(right, np.int64)), np.array(rank, np.int64)
+        bits = max(4, (4 * len(keys)).bit_length())
+        self.last, self.down = (1 << bits) - 1, np.uint64(64 - bits)
+        self.keys, self.ranks = np.full(1 << bits, self.FREE), np.full(1 << bits, -1, np.int64)
+        at = self._places(keys)
+        while len(keys):
+            free = self.keys[at] == self.FREE
+            self.keys[at[free]] = keys[free]
+            put = self.keys[at] == keys
+            self.ranks[at[put]] = rank[put]
+            keys, rank, at = keys[~put], rank[~put], (at[~put] + 1) & self.last
+
+    @staticmethod
+    def _keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return (left << 32 | right).view(np.uint64)
+
+    def _places(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * self.SPREAD >> self.down).view(np.int64)
+
+    def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of every pair of parts, -1 if it is no entry."""
+        keys = self._keys(left, right)
+        at = self._places(keys)
+        out, held = self.ranks[at], self.keys[at]
+        other = np.flatnonzero(held != keys)
+        out[other] = -1
+        other = other[held[other] != self.FREE]
+        at = at[other]
+        while len(other):
+            at = (at + 1) & self.last
+            held = self.keys[at]
+            hit = held == keys[other]
+            out[other[hit]] = self.ranks[at[hit]]
+            go_on = ~hit & (held != self.FREE)
+            other, at = other[go_on], at[go_on]
+        return out
+
+
+def merge_beside(pieces: list[bytes], width: int, pairs: PairRanks) -> list[tuple[int, ...]]:
+    """Ids of pieces of fewer than ``width`` bytes, as ``merge_bytes`` finds them; each step merges one pair of every piece.
+
+    A piece has ``width`` places for its bytes, for the links of its list and for the leaves of its heap. A leaf is the rank of
+    the pair that starts there before its place in the piece; the nodes above hold the least of ``FAN`` below, the last one the top.
+    """
+    n, bits, place = len(pieces), width.bit_length() - 1, width - 1
+    lengths = np.fromiter(map(len, pieces), np.int64, n)
+    ends = np.cumsum(lengths)
+    at = np.arange(ends[-1]) + np.repeat(np.arange(n) * width - ends + lengths, lengths)
+    part = np.full(n * width, pairs.no_part, np.int64)
+    part[at] = pairs.of_byte[np.frombuffer(b"".join(pieces), np.uint8)]
+    before = np.arange(-1, n * width - 1)
+    after = before + 2
+
+    def leaf(left: np.ndarray, right: np.ndarray, start: np.ndarray) -> np.ndarray:
+        rank = pairs.find(left, right)
+        return np.where(rank >= 0, rank << bits | start & place, NONE)
+
+    leaves = np.full(n * width, NONE)
+    leaves[at] = leaf(part[at], part[at + 1], at)
+    heap = [leaves]
+    while len(heap[-1]) > n:
+        heap.append(_least(heap[-1].reshape(-1, FAN)))
+    top, rows = heap[-1], np.arange(n)
+    while len(rows := rows[top[rows] != NONE]):
+        best = top[rows]
+        i, merged = rows * width + (best & place), best >> bits
+        j, p = after[i], before[i]
+        k = after[j]
+        part[i], part[j] = merged, pairs.no_part
+        after[i], before[k] = k, i
+        # Behind the last part, and before the first one, is a place without a part.
+        leaves[i], leaves[j], leaves[p] = leaf(merged, part[k], i), NONE, leaf(part[p], merged, p)
+        at = np.concatenate([i, j, p])
+        for below, above in pairwise(heap):
+            at //= FAN
+            above[at] = _least(below.reshape(-1, FAN)[at])
+    at = np.flatnonzero(part != pairs.no_part)
+    ids = part[at]
+    if len(at) and ids.max() >= pairs.beyond:
+        raise KeyError(f"byte {np.flatnonzero(pairs.of_byte == ids.max())[0]} is no entry")
+    ids, ends = ids.tolist(), np.cumsum(np.bincount(at // width, minlength=n)).tolist()
+    return [tuple(ids[a:b]) for a, b in pairwise([0, *ends])]
+
+
+def _least(nodes: np.ndarray) -> np.ndarray:
+    return np.minimum(np.minimum(nodes[:, 0], nodes[:, 1]), np.minimum(nodes[:, 2], nodes[:, 3]))
+
+
+def merge_pieces(pieces: list[bytes], ranks: dict[bytes, int], pairs: PairRanks) -> list[tuple[int, ...]]:
+    """Ids of every piece, none of them empty."""
+    out: list[tuple[int, ...]] = [()] * len(pieces)
+    lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    width_of = np.searchsorted(WIDTHS, lengths, side="right")
+    alone = np.flatnonzero(width_of == len(WIDTHS)).tolist()
+    for w, width in enumerate(WIDTHS):
+        own = np.flatnonzero(width_of == w).tolist()
+        if len(own) < SIDE_BY_SIDE:
+            alone += own
+            continue
+        for first in range(0, len(own), PLACES // width):
+            some = own[first : first + PLACES // width]
+            for i, ids in zip(some, merge_beside([pieces[i] for i in some], width, pairs), strict=True):
+                out[i] = ids
+    for i, ids in zip(alone, merge_each([pieces[i] for i in alone], ranks, pairs), strict=True):
+        out[i] = ids
     return out
 
 
-def merge_pieces(pieces: list[bytes], ranks: dict[bytes, int], pairs: np.ndarray) -> Iterator[tuple[int, ...]]:
-    """Ids of every piece, none of them empty. The ranks of their neighbouring bytes are looked up and put in order together."""
+def merge_each(pieces: list[bytes], ranks: dict[bytes, int], pairs: PairRanks) -> Iterator[tuple[int, ...]]:
+    """Ids of every piece by itself. The ranks of their neighbouring bytes are looked up and put in order together."""
     if not pieces:
         return
     lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
     ends = np.cumsum(lengths)
     starts = ends - lengths
-    data = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int64)
+    data = pairs.of_byte[np.frombuffer(b"".join(pieces), np.uint8)]
     due = np.full(len(data), -1, np.int64)
-    due[:-1] = pairs[data[:-1] << 8 | data[1:]]
+    due[:-1] = pairs.find(data[:-1], data[1:])
     due[ends - 1] = -1
     wide = int(lengths.max()).bit_length()
     # In order, the entries of a piece are a heap already.
@@ -181,7 +310,7 @@ class Encoder:
             by_id[i] = entry
         self.bytes_of = pa.array(by_id, pa.large_binary())
         self.pieces = regex.compile(pattern).findall
-        self.pairs = pair_ranks(ranks)
+        self.pairs = PairRanks(ranks)
         # Merged pre-tokens asked for since the last change, and those before it.
         self.merged: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
