@@ -1,8 +1,10 @@
 """Candidate matching of alias observations to persons, and the batch that applies it.
 
-Every rule is an equality on a derived key, so all rules share one equi-join on
-(tenant, rule family, key). Observations are folded to distinct values and
-aliases to distinct persons before it, so copies of one value cost one row.
+Every rule is an equality on a derived key, so the rules on mails, ids and
+usernames share one equi-join on (tenant, rule family, key). Observations are
+folded to distinct values and aliases to distinct persons before it, so copies of
+one value cost one row. Names of one sound can be very many: their pairs come
+straight from a join that gives each once, and aren't dealt again.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 from orgpulse.functions import scalars as fx
 from orgpulse.functions.similarity import jaro_winkler
 from orgpulse.operators.identity import strip_plus_tag
+from orgpulse.session import cut_lineage
 
 # Rule confidences, thresholds, and the similarity a name must reach.
 CONFIDENCE = {
@@ -32,6 +35,8 @@ CONFIDENCE = {
 FUZZY = ["name_jaro_winkler", "name_soundex"]
 LINK_AT, SUGGEST_AT = 1.0, 0.5
 NAME_SIMILARITY = 0.95
+# Values, and persons, of one sound that meet in one cell of a join; it sets no limit on pairs.
+CELL_SIDE = 1000
 
 VALUE = ["tenant_id", "source_type", "alias_type", "alias_value"]
 
@@ -63,7 +68,7 @@ def _with_domain(df: DataFrame, domain_groups: DataFrame | None) -> DataFrame:
     return rows.join(groups, "_domain", "left").withColumn("_home", F.coalesce("_group", "_domain")).drop("_group")
 
 
-def _keyed(df: DataFrame, side: str, fuzzy: bool) -> DataFrame:
+def _keyed(df: DataFrame, side: str) -> DataFrame:
     """One row per (rule family, key) a value takes part in."""
     k = _forms("")
     kind = F.col("alias_type")
@@ -80,9 +85,6 @@ def _keyed(df: DataFrame, side: str, fuzzy: bool) -> DataFrame:
         entry("mail_user" if side == "left" else "user_mail", k.local, mail),
         entry("user_mail" if side == "left" else "mail_user", k.folded, user),
     ]
-    if fuzzy:
-        named = (kind == "display_name") & (k.trimmed != "")
-        entries.append(entry("name", F.soundex(F.lower(k.trimmed)), named))
     found = F.filter(F.array(*entries), lambda e: e.isNotNull())
     return df.withColumn("_e", F.explode(found)).select("*", "_e.family", "_e.key").drop("_e")
 
@@ -196,23 +198,71 @@ def similar_names(left: DataFrame, right: DataFrame) -> DataFrame:
     return pairs.withColumn("similarity", jaro_winkler(F.col("name"), F.col("other"))).where(F.col("similarity") >= NAME_SIMILARITY)
 
 
+def _cell(side: Column, *cols: str) -> Column:
+    """Number of the cell, of as many as ``side`` rows need, that a row falls into."""
+    return F.pmod(F.xxhash64(*cols), F.ceil(side / CELL_SIDE))
+
+
+def _cells(side: Column) -> Column:
+    """Numbers of all cells of ``side`` rows."""
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(side / CELL_SIDE) - 1))
+
+
+def same_sound(mine: DataFrame, theirs: DataFrame, nearby: DataFrame) -> DataFrame:
+    """(value, person_id): all pairs of equal ``sound`` but those in ``nearby``, each once.
+
+    * ``mine``: distinct values, name, sound
+    * ``theirs``: distinct tenant_id, sound, person_id
+    * ``nearby``: distinct tenant_id, name, person_id
+
+    The l values and r persons of a sound meet in cells of ``CELL_SIDE`` to a side, so one sound that many share
+    is spread over tasks. A value carries those persons of a cell that it must not be paired with.
+    """
+    heard = ["tenant_id", "sound"]
+    sides = mine.groupBy(*heard).agg(F.count(F.lit(1)).alias("_l")).join(theirs.groupBy(*heard).agg(F.count(F.lit(1)).alias("_r")), heard)
+    column = _cell(F.col("_r"), "person_id").alias("_column")
+    # A list leaves out null, so a person without id is told by a flag.
+    listed = (
+        nearby.withColumn("sound", F.soundex("name"))
+        .join(sides, heard)
+        .groupBy("tenant_id", "name", column)
+        .agg(F.collect_list("person_id").alias("_near"), F.max(F.col("person_id").isNull()).alias("_near_null"))
+    )
+    cell = [*heard, "_row", "_column"]
+    # Few bytes give very many pairs, so cells are dealt to all cores, however few bytes they have.
+    tasks = 4 * mine.sparkSession.sparkContext.defaultParallelism
+    values = mine.join(sides, heard).select(*VALUE, "name", "sound", _cell(F.col("_l"), *VALUE).alias("_row"), _cells(F.col("_r")).alias("_column"))
+    values = values.join(listed, ["tenant_id", "name", "_column"], "left").select(*VALUE, *cell[1:], "_near", "_near_null").repartition(tasks, *cell)
+    persons = theirs.join(sides, heard).select(*heard, "person_id", column, _cells(F.col("_l")).alias("_row")).repartition(tasks, *cell)
+    near = F.coalesce(F.array_contains("_near", F.col("person_id")), F.col("_near_null"), F.lit(False))
+    return values.join(persons, cell).where(~near).select(*VALUE, "person_id")
+
+
 def _name_rules(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Display names that are similar, by whatever letters differ."""
+    """Display names that are similar, by whatever letters differ, or sound alike; where both hold, the stronger rule."""
     shown = (F.col("alias_type") == "display_name") & (F.trim("alias_value") != "")
-    mine = left.select(*VALUE).distinct().where(shown).withColumn("name", F.lower(F.trim("alias_value")))
+    mine = left.where(shown).select(*VALUE).distinct().withColumn("name", F.lower(F.trim("alias_value")))
     theirs = right.where(shown).select("tenant_id", "person_id", F.lower(F.trim("alias_value")).alias("other")).distinct()
     near = similar_names(mine, theirs.withColumnRenamed("other", "name"))
-    hits = mine.join(near, ["tenant_id", "name"]).join(theirs, ["tenant_id", "other"])
-    return hits.select(*VALUE, "person_id", F.lit("name").alias("family"), F.lit("name_jaro_winkler").alias("rule"))
+    # Both rules read these pairs, few beside the keys they are found by, so names are compared once.
+    nearby = cut_lineage(near.join(theirs, ["tenant_id", "other"]).select("tenant_id", "name", "person_id").distinct())
+    heard = theirs.select("tenant_id", F.soundex("other").alias("sound"), "person_id").distinct()
+    alike = same_sound(mine.withColumn("sound", F.soundex("name")), heard, nearby)
+
+    def rated(pairs: DataFrame, rule: str) -> DataFrame:
+        return pairs.select(*VALUE, "person_id", F.lit(rule).alias("rule"), F.lit(CONFIDENCE[rule]).alias("confidence"))
+
+    return rated(mine.join(nearby, ["tenant_id", "name"]), "name_jaro_winkler").unionByName(rated(alike, "name_soundex"))
 
 
 def match_candidates(
     observations: DataFrame, aliases: DataFrame, domain_groups: DataFrame | None = None, fuzzy: bool = False
 ) -> DataFrame:
     """(value, person, rule, confidence). Of the nested e-mail and username rules only the strongest one is given."""
-    left = _keyed(_with_domain(observations.select(*VALUE).distinct(), domain_groups), "left", fuzzy)
-    known = aliases.select("tenant_id", "person_id", "source_type", "alias_type", "alias_value").distinct()
-    right = _keyed(_with_domain(known, domain_groups), "right", fuzzy).select(
+    exact = F.col("alias_type").isin("email", "employee_id", "username")
+    left = _keyed(_with_domain(observations.where(exact).select(*VALUE).distinct(), domain_groups), "left")
+    known = aliases.where(exact).select("tenant_id", "person_id", "source_type", "alias_type", "alias_value").distinct()
+    right = _keyed(_with_domain(known, domain_groups), "right").select(
         "tenant_id", "family", "key", "person_id", *[F.col(c).alias(f"p_{c}") for c in ("source_type", "alias_type", "alias_value")]
     )
     pairs = left.join(right, ["tenant_id", "family", "key"])
@@ -228,13 +278,9 @@ def match_candidates(
         ((family == "username") & same_system, F.lit("username_same_sys")),
         (family == "username", F.lit("username_cross_sys")),
         (family.isin("mail_user", "user_mail") & ~same_system, F.lit("email_to_username")),
-        (family == "name", F.lit("name_soundex")),
         default=F.lit(None),
     )
     decided = pairs.withColumn("rule", rule).select(*VALUE, "person_id", "family", "rule")
-    if fuzzy:
-        # Both name rules are one group below, so where both hold the stronger one stays.
-        decided = decided.unionByName(_name_rules(observations, known))
     # A rule's number grows with its confidence, so the strongest one is a plain maximum.
     ranked = sorted(CONFIDENCE, key=lambda r: (CONFIDENCE[r], r))
     number = F.create_map(*[x for i, r in enumerate(ranked) for x in (F.lit(r), F.lit(i))])
@@ -242,7 +288,8 @@ def match_candidates(
     rated = decided.where(F.col("rule").isNotNull()).withColumn("_group", group)
     best = rated.groupBy(*VALUE, "person_id", "_group").agg(F.max(number[F.col("rule")]).alias("_rule"))
     rules, scores = F.array(*map(F.lit, ranked)), F.array(*[F.lit(CONFIDENCE[r]) for r in ranked])
-    return best.select(*VALUE, "person_id", rules[F.col("_rule")].alias("rule"), scores[F.col("_rule")].alias("confidence"))
+    found = best.select(*VALUE, "person_id", rules[F.col("_rule")].alias("rule"), scores[F.col("_rule")].alias("confidence"))
+    return found.unionByName(_name_rules(observations, aliases)) if fuzzy else found
 
 
 def composite_confidence(candidates: DataFrame, weights: DataFrame | None = None) -> DataFrame:

@@ -224,6 +224,60 @@ def test_long_similar_names_match_all_pairs(spark, rows):
     assert got == want and len(want) > 2 * len(base)
 
 
+def _sounding(rng, n):
+    """Names of one sound: consonants of r, b and t between vowels."""
+    return ["".join(x + "".join(rng.choice("aeiou") for _ in range(rng.randrange(1, 5))) for x in ("r", "b", "t")) for _ in range(n)]
+
+
+def _dealt(df):
+    """Rows that the plan of a frame, once collected, has written to shuffles."""
+
+    def walk(node):
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return walk(node.plan())
+        metric = node.metrics().get("shuffleRecordsWritten")
+        inner = node.children()
+        return (metric.get().value() if metric.isDefined() else 0) + sum(walk(inner.apply(i)) for i in range(inner.size()))
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_pairs_of_one_sound_are_not_dealt(spark, rows):
+    rng = random.Random(11)
+    base, others = sorted(set(_sounding(rng, 400))), sorted(set(_sounding(rng, 400)))
+    frame = lambda names, who: spark.createDataFrame([("t", "git", "display_name", n, f"P{i}") for i, n in enumerate(names)], "tenant_id string, source_type string, alias_type string, alias_value string, person_id string").drop(*who)
+    found = matching.match_candidates(frame(base, ["person_id"]), frame(others, []), fuzzy=True)
+    pairs = found.collect()
+    assert len({(r.alias_value, r.person_id) for r in pairs}) == len(pairs) == len(base) * len(others)
+    assert _dealt(found) < len(pairs) / 10
+
+
+def test_name_rules_match_all_pairs(spark, rows, monkeypatch):
+    # Cells of a few rows, persons of several names and of none, values of several sources and cases.
+    monkeypatch.setattr(matching, "CELL_SIDE", 3)
+    rng = random.Random(12)
+    names = sorted(set(_sounding(rng, 25))) + ["Marta Nowak", "marta nowak ", "Martha Nowack", "mike", " ", "", None, "42"]
+    values = sorted({(rng.choice("tu"), rng.choice(["git", "hr", None]), rng.choice([n, n and n.upper()])) for n in names * 4}, key=repr)
+    known = [(rng.choice("tu"), rng.choice([None, "P1", "P2", *(f"Q{i}" for i in range(20))]), n) for n in names * 4]
+    seen = spark.createDataFrame([(t, s, "display_name", v) for t, s, v in values * 2], "tenant_id string, source_type string, alias_type string, alias_value string")
+    aliases = spark.createDataFrame([(t, p, "hr", "display_name", n) for t, p, n in known], "tenant_id string, person_id string, source_type string, alias_type string, alias_value string")
+    sounds = {r[0]: r[1] for r in spark.createDataFrame([(n.strip().lower(),) for n in names if n], "n string").select("n", F.soundex("n")).collect()}
+    folded = lambda n: (n or "").strip().lower()
+    want = {}
+    for (t, s, v), (u, p, n) in itertools.product(values, known):
+        if t == u and folded(v) and folded(n):
+            near = _jaro_winkler(folded(v), folded(n)) >= matching.NAME_SIMILARITY
+            if near or sounds[folded(v)] == sounds[folded(n)]:
+                rule = ("name_jaro_winkler", 0.75) if near else ("name_soundex", 0.6)
+                want[t, s, v, p] = max(want.get((t, s, v, p), rule), rule, key=lambda x: x[1])
+    got = rows(matching.match_candidates(seen, aliases, fuzzy=True), "tenant_id", "source_type", "alias_value", "person_id", "rule", "confidence")
+    assert got == sorted(((*k, *r) for k, r in want.items()), key=repr)
+    assert {r for r, _ in want.values()} == set(matching.FUZZY) and any(k[3] is None for k in want)
+
+
 def test_two_supervisors_give_one_row(spark, rows):
     lines = [("t", "top", None), ("t", "b", "top"), ("t", "c", "top"), ("t", "d", "b"), ("t", "d", "c"), ("t", "d", "top"), ("t", "e", "d")]
     store = spark.createDataFrame(lines, "tenant_id string, person_id string, supervisor_id string")
