@@ -9,6 +9,7 @@ straight from a join that gives each once, and aren't dealt again.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -89,10 +90,20 @@ def _keyed(df: DataFrame, side: str) -> DataFrame:
     return df.withColumn("_e", F.explode(found)).select("*", "_e.family", "_e.key").drop("_e")
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, not for each element of a lambda in it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _numbered_letters(name: Column) -> Column:
     """Letters of a name as a set: the second e is another member than the first."""
-    letters = F.split(name, "")
-    return F.transform(letters, lambda c, i: F.concat(F.lpad(F.size(F.filter(F.slice(letters, F.lit(1), i + 1), lambda x: x == c)).cast("string"), 6, "0"), c))
+
+    def number(letter: Column, i: Column) -> Column:
+        start = F.substring(name, F.lit(1), i + 1)
+        times = F.length(start) - F.length(F.replace(start, letter, F.lit("")))
+        return F.concat(F.lpad(times.cast("string"), 6, "0"), letter)
+
+    return F.transform(F.split(name, ""), number)
 
 
 def _measured(numbered: Column) -> Column:
@@ -137,26 +148,40 @@ def _least(other: Column, length: Column) -> Column:
     return F.greatest(other, F.ceil(length * 3 / 4).cast("int"))
 
 
+def _kept_and_left(length: Column, other: Column) -> tuple[Column, Column]:
+    """Letters in a key of a name that meets those of a length treated as ``other``, and letters it can do without."""
+    own = _shortest(length)
+    # The same on both sides: least letters shared and most letters left out, of all lengths treated alike.
+    least = _shared(_least(own, other), _least(other, own))
+    most = F.greatest(own + _span(own), other + _span(other)) - 1 - least
+    k = F.least(least, F.when(most <= 0, least).when(most == 1, 35).when(most == 2, 7).when(most == 3, 4).otherwise(3))
+    return k, length - _shared(length, _least(other, length))
+
+
+def _all_letters(length: Column, other: Column) -> Column:
+    """Whether keys are of any letters of the name, so that no order of these matters."""
+    k, left_out = _kept_and_left(length, other)
+    return left_out + k >= length
+
+
 def shared_letter_keys(letters: Column, length: Column, other: Column) -> Column:
     """Keys of which a name and one of a length treated as ``other`` always have one in common, if they are near enough.
 
     Of n letters (``letters``, seldom ones first in one order for all names) at least m are shared, so the first
     k shared ones lie among the first n - m + k on both sides. A key is k of these. Of two names of 14 letters
     13 are shared, so keys are the name without one of its letters; where fewer are shared, k is less, so that
-    a name has few keys.
+    a name has few keys. A key is the XOR of its letters' hashes, whatever their order.
     """
-    own = _shortest(length)
-    # The same on both sides: least letters shared and most letters left out, of all lengths treated alike.
-    least = _shared(_least(own, other), _least(other, own))
-    most = F.greatest(own + _span(own), other + _span(other)) - 1 - least
-    k = F.least(least, F.when(most <= 0, least).when(most == 1, 35).when(most == 2, 7).when(most == 3, 4).otherwise(3))
-    left_out = length - _shared(length, _least(other, length))
-    start = F.array(F.struct(F.lit("").alias("key"), k.alias("take"), left_out.alias("leave")))
+    k, left_out = _kept_and_left(length, other)
+
+    def all_but_one(first: Column) -> Column:
+        whole = F.aggregate(first, F.lit(0).cast("long"), lambda key, letter: key.bitwiseXOR(letter))
+        return _bound(whole, lambda w: F.when(left_out <= 0, F.array(w)).otherwise(F.transform(first, lambda letter: w.bitwiseXOR(letter))))
 
     def add(found: Column, letter: Column) -> Column:
         taken = F.transform(
             F.filter(found, lambda f: f["take"] > 0),
-            lambda f: F.struct(F.concat(f["key"], letter).alias("key"), (f["take"] - 1).alias("take"), f["leave"].alias("leave")),
+            lambda f: F.struct(f["key"].bitwiseXOR(letter).alias("key"), (f["take"] - 1).alias("take"), f["leave"].alias("leave")),
         )
         left = F.transform(
             F.filter(found, lambda f: f["leave"] > 0),
@@ -164,8 +189,12 @@ def shared_letter_keys(letters: Column, length: Column, other: Column) -> Column
         )
         return F.concat(taken, left)
 
-    found = F.aggregate(F.slice(letters, F.lit(1), left_out + k), start, add)
-    return F.transform(found, lambda f: f["key"])
+    def chosen(first: Column) -> Column:
+        start = F.array(F.struct(F.lit(0).cast("long").alias("key"), k.alias("take"), left_out.alias("leave")))
+        return F.transform(F.aggregate(first, start, add), lambda f: f["key"])
+
+    hashed = F.transform(F.slice(letters, F.lit(1), left_out + k), lambda letter: F.xxhash64(letter))
+    return _bound(hashed, lambda first: F.when(left_out <= 1, all_but_one(first)).otherwise(chosen(first)))
 
 
 def similar_names(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -186,10 +215,11 @@ def similar_names(left: DataFrame, right: DataFrame) -> DataFrame:
         names = df.select("tenant_id", F.col("name").alias(out)).where(F.col(out) != "").distinct()
         n, other = F.length(out), F.col("_length")
         met = names.join(others, "tenant_id").where((other * 3 <= n * 4) & ((other + _span(other) - 1) * 4 >= n * 3))
-        rated = met.repartition(cores, "tenant_id", out).withColumn("_counts", counts).withColumn("_letters", seldom_letters(F.col(out), F.col("_counts")))
-        keys = rated.select("tenant_id", out, _shortest(n).alias(sides[0]), other.alias(sides[1]), F.explode(shared_letter_keys(F.col("_letters"), n, other)).alias("_text"))
+        rated = met.repartition(cores, "tenant_id", out).withColumn("_counts", F.when(~_all_letters(n, other), counts))
+        letters = F.when(F.col("_counts").isNull(), _numbered_letters(F.col(out))).otherwise(seldom_letters(F.col(out), F.col("_counts")))
+        keys = rated.select("tenant_id", out, _shortest(n).alias(sides[0]), other.alias(sides[1]), F.explode(shared_letter_keys(letters, n, other)).alias("_letters"))
         # A hash is short to deal; what it brings together by chance isn't similar and goes below.
-        return keys.select("tenant_id", out, F.xxhash64("_left", "_right", "_text").alias("_key"))
+        return keys.select("tenant_id", out, F.xxhash64("_left", "_right", "_letters").alias("_key"))
 
     # Three quarters of the longer name's letters are matched, so the shorter one has as many.
     near = (F.length("name") * 4 >= F.length("other") * 3) & (F.length("other") * 4 >= F.length("name") * 3)
